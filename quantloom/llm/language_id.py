@@ -14,14 +14,14 @@ repeated rows repeat; other columns are not read.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 UNKNOWN = "und"
 #: n-grams in a language's profile and in a document's.
@@ -40,7 +40,6 @@ def _fold() -> np.ndarray:
         if char.isalpha():
             low = char.lower()
             table[code] = ord(low) if len(low) == 1 and low.isalpha() else code
-    assert unicodedata.category("ª") == "Lo"
     return table
 
 
@@ -127,7 +126,6 @@ def gather(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     Bounded by languages times the profile's length, which is checked.
     """
-    spark = profiles.sparkSession
     languages = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -140,47 +138,53 @@ def gather(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     if rows:
         at = np.searchsorted(grams, np.array([r["gram"] for r in rows], np.uint64))
         ranks[at, [place[r["lang"]] for r in rows]] = [r["rank"] for r in rows]
-    del spark
     return languages, grams, ranks
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", own: int = OWN) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; only the text decides.  Map-only.
+def _predictor(model: tuple[list[str], np.ndarray, np.ndarray], own: int):
+    languages, grams, ranks = model
+    size = np.int32(max(int(ranks.max()) if ranks.size else 0, 1))
+
+    def of(text: str) -> tuple[str, float]:
+        mine = profile(text, own)
+        if not len(mine) or not languages:
+            return UNKNOWN, 0.0
+        at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
+        there = grams[at] == mine
+        places = np.where(there[:, None], ranks[at], size)
+        off = np.where(places < size, np.abs(places - np.arange(len(mine), dtype=np.int32)[:, None]), size)
+        distance = np.minimum(off, size).sum(axis=0)
+        best = int(np.argmin(distance))
+        return languages[best], 1.0 - float(distance[best]) / (float(size) * len(mine))
+
+    return of
+
+
+def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", own: int = OWN) -> DataFrame:
+    """All columns of docs with lang_pred and score (columns of these names are replaced).
 
-    score is 1 - distance / (the distance of a text that shares no n-gram).
+    Only the text decides.  score is 1 - distance / (the distance of a text that shares
+    no n-gram).  Map-only.
     """
-    spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
+    place = kept.columns.index(text)
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, grams, ranks = shared.value
-        limit = int(ranks.max()) if ranks.size else 0
-        size = np.int32(max(limit, 1))
+        of = _predictor(shared.value, own)
         for batch in batches:
-            names, scores = [], []
-            for value in batch.column(2):
-                mine = profile(value.as_py().decode("utf-8", "replace"), own)
-                if not len(mine) or not languages:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                at = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
-                there = grams[at] == mine
-                places = np.where(there[:, None], ranks[at], size)
-                off = np.where(places < size, np.abs(places - np.arange(len(mine), dtype=np.int32)[:, None]), size)
-                distance = np.minimum(off, size).sum(axis=0)
-                best = int(np.argmin(distance))
-                names.append(languages[best])
-                scores.append(1.0 - float(distance[best]) / (float(size) * len(mine)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
+            found = [(UNKNOWN, 0.0) if x.as_py() is None else of(x.as_py()) for x in batch.column(place)]
+            names, scores = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names, scores], names=[*batch.schema.names, "lang_pred", "score"])
+
+    return kept.mapInArrow(run, schema)
 
-    bytes_of = F.coalesce(F.col(text).cast("binary"), F.lit(b"").cast("binary"))
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), bytes_of).mapInArrow(
-        run, "doc_id long, held_out boolean, lang_pred string, score double"
-    )
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", own: int = OWN) -> DataFrame:
+    """doc_id, held_out, lang_pred, score."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col(text).alias("text"))
+    return annotate(rows, model, "text", own).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:

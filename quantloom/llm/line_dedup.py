@@ -180,3 +180,15 @@ def remaining(docs: DataFrame, text: str = "text", **limits: int) -> DataFrame:
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("lines_before"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_gone"),
     )
+
+
+def removals(docs: DataFrame, text: str = "text", **limits: int) -> DataFrame:
+    """doc_id, lines_before, lines_gone and the positions gone of each row, without its text."""
+    gone = repeated(docs, text, **limits).select(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash"), F.col("gone").alias("_gone"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("_own"),
+        F.coalesce(F.regexp_count(F.col(text), F.lit("\n")) + 1, F.lit(0)).cast("long").alias("lines_before"),
+    )
+    joined = rows.join(gone, (F.col("doc_id") == F.col("_of")) & (F.col("_own") == F.col("_hash")), "left")
+    return joined.select("doc_id", "lines_before", F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_gone"), F.array_join("_gone", ",").alias("gone"))

@@ -28,14 +28,18 @@ MAX_REPEATS = 2
 LEVELS, LEVEL_BITS = 4, 15
 
 
+def _hash():
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
 def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """doc_id, source, size (words of the whole text) and the document's hash."""
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("hash"),
+        _hash().alias("hash"),
     )
 
 
@@ -95,23 +99,47 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits:
     return state.select("of", (F.col("prefix") + F.when(2 * F.col("rest") >= F.col("words"), 1).otherwise(0)).alias("threshold"))
 
 
-def mix_sources(
-    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = MAX_REPEATS, text: str = "text", source: str = "source"
-) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row, with whole repeats first."""
-    scratch = Scratch(docs.sparkSession, "mixing")
-    sizes = scratch.write(sized(docs, text, source), "sizes")
+def _cuts(sizes: DataFrame, scratch: Scratch, weights: Sequence[int], share: float, repeats: int) -> DataFrame:
+    """One row per source: of, source_size, target, whole repeats and the threshold beyond."""
     targets = scratch.write(source_targets(sizes, weights, share, repeats), "targets")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("whole", whole.cast("long"))
     budgets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    cuts = scratch.write(
+    return scratch.write(
         budgets.join(thresholds(sizes, budgets), F.col("source").eqNullSafe(F.col("of")), "left").select(
             F.col("source").alias("of"), "source_size", "target", "whole", F.when(F.col("rest") > 0, F.col("threshold")).otherwise(0).alias("threshold")
         ),
         "cuts",
     )
-    once_more = F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
+
+
+_TIMES = "whole + CASE WHEN hash < threshold THEN 1 ELSE 0 END"
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = MAX_REPEATS, text: str = "text", source: str = "source"
+) -> DataFrame:
+    """The rows of docs as the mix takes them: each as often as it is taken.
+
+    A text without words costs nothing and is taken as a text of its hash would be.  The
+    names _size, _hash and those of the cuts must not occur in docs.
+    """
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.write(sized(docs, text, source), "sizes")
+    cuts = _cuts(sizes, scratch, weights, share, repeats)
+    cuts = cuts.select(F.col("of").alias("_of"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
+    times = F.col("_whole") + F.when(_hash() < F.col("_threshold"), 1).otherwise(0)
+    joined = docs.join(cuts, F.col(source).cast("string").eqNullSafe(F.col("_of")))
+    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
+
+
+def mix_sources(
+    docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, repeats: int = MAX_REPEATS, text: str = "text", source: str = "source"
+) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row, with whole repeats first."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    sizes = scratch.write(sized(docs, text, source), "sizes")
+    cuts = _cuts(sizes, scratch, weights, share, repeats)
     return sizes.join(cuts, F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + once_more)).alias("taken")
+        "doc_id", "size", "source_size", "target", F.expr(f"size * ({_TIMES})").alias("taken")
     )

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import byte_bpe, host_quality, language_id, mixing, secrets
+from quantloom.llm import ann, byte_bpe, host_quality, language_id, line_dedup, lm_score, mixing, ngram_join, secrets, substring_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,27 +19,59 @@ def op1_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.host_quality(_documents(spark, sf_dir))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(_documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.round_trip(_documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(_documents(spark, sf_dir))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_documents(spark, sf_dir))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    return lm_score.cross_entropy_difference(_documents(spark, sf_dir), good)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(_documents(spark, sf_dir))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(table, table.where(F.col("vec_id") % 20 == 0))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_documents(_documents(spark, sf_dir))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        f.__name__: f for f in (op1_host_quality, op3_byte_bpe, op5_mix_sources, op7_language_id, op9_secret_scan)
-    }
+    every = (
+        op1_host_quality,
+        op2_ngram_join,
+        op3_byte_bpe,
+        op4_line_dedup,
+        op5_mix_sources,
+        op6_lm_score,
+        op7_language_id,
+        op8_nearest_neighbours,
+        op9_secret_scan,
+        op10_substring_dedup,
+    )
+    return {f.__name__: f for f in every}
 
 
 def _rate(rule: str) -> str:
