@@ -76,6 +76,21 @@ def fingerprints(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndar
     return sizes, mix(_sums(row, mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), rows) + sizes.astype(np.uint64))
 
 
+#: Words of 64 bits in a parity sketch; in the join on signatures it is folded to half.
+SKETCH = 8
+
+
+def parities(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """For each row and bucket of the domain whether an odd number of elements falls there.
+
+    Two sets differ in at least as many elements as their sketches differ in bits.
+    """
+    out = np.zeros(rows * SKETCH, np.uint64)
+    bucket = (value >> np.uint64(7)) % np.uint64(64 * SKETCH)
+    np.bitwise_xor.at(out, row * SKETCH + (bucket >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bucket & np.uint64(63)))
+    return out.reshape(rows, SKETCH)
+
+
 class Bands:
     """The bands up to a size: lower and upper ends, reach (the largest partner) and k."""
 
@@ -147,21 +162,32 @@ def _link_own(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(docs), pa.array(kind)], names=["key", "doc", "kind"])
 
 
+_P = tuple(f"p{i}" for i in range(SKETCH))
+
+
+def _bound(n: str, m: str, percent: int) -> str:
+    """The elements that similar sets of n and m elements differ in, at most."""
+    return f"{100 - percent} * ({n} + {m}) div {100 + percent}"
+
+
 def set_table(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles and the set's hash, for every row."""
+    """doc_id, n_shingles, the set's hash and its parity sketch, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            sizes, prints, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((0, SKETCH), np.uint64)]
             for part in steps(batch.column(1)):
-                n, prints_of = fingerprints(*shingles(part, words), part.rows)
+                row, value = shingles(part, words)
+                n, prints_of = fingerprints(row, value, part.rows)
                 sizes.append(n)
                 prints.append(prints_of)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.concatenate(sizes).astype(np.int64)), pa.array(signed(np.concatenate(prints)))], names=["doc_id", "n_shingles", "print"]
-            )
+                sketches.append(parities(row, value, part.rows))
+            bits = np.concatenate(sketches).T
+            values = [np.concatenate(sizes).astype(np.int64), signed(np.concatenate(prints)), *(signed(np.ascontiguousarray(x)) for x in bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values)], names=["doc_id", "n_shingles", "print", *_P])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, "doc_id long, n_shingles long, print long")
+    schema = "doc_id long, n_shingles long, print long, " + ", ".join(f"{p} long" for p in _P)
+    return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, schema)
 
 
 def signature_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK_ROWS) -> DataFrame:
@@ -268,7 +294,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     # Equal sets are one class, named by its least document; a doc_id with several sets joins their classes.
     same = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held"))
     nodes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").join(same, ["n_shingles", "print"])
-    nodes = scratch.write(nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "print", "rep").distinct(), "nodes")
+    nodes = scratch.write(nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "print", "rep", *_P).distinct(), "nodes")
     loops = nodes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
 
     pivots = members.groupBy("key").agg(F.min("doc").alias("pivot"))
@@ -278,13 +304,19 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     labels = components(edges.unionAll(loops), scratch, "stars0_")
 
     # The exact rest: members of a signature whose documents are in different components.
-    known = nodes.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "rep", F.coalesce("component", "doc").alias("label"))
-    placed = members.join(known, "doc").select("key", F.col("rep").alias("doc"), "label").distinct()
-    split = members.join(known, "doc").groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last").select("key")
-    placed = scratch.write(placed.join(split, "key", "left_semi"), "placed")
+    half = [f"q{i}" for i in range(SKETCH // 2)]
+    folded = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(half)]
+    known = nodes.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "rep", "n", F.coalesce("component", "doc").alias("label"), *folded)
+    split = members.join(known.select("doc", "label"), "doc").groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
+    placed = members.join(split.select("key"), "key", "left_semi").join(known, "doc").drop("doc").distinct()
+    placed = scratch.write(placed, "placed")
     if placed.take(1):
-        x, y = placed.select("key", F.col("doc").alias("a"), F.col("label").alias("la")), placed.select("key", F.col("doc").alias("b"), F.col("label").alias("lb"))
-        rest = x.join(y, "key").where("la < lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        x = placed.select("key", *(F.col(c).alias(f"x_{c}") for c in ("rep", "label", "n", *half)))
+        y = placed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "label", "n", *half)))
+        apart = " + ".join(f"bit_count(x_{q} ^ y_{q})" for q in half)
+        near = f"x_label < y_label AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {apart} <= {_bound('x_n', 'y_n', percent)}"
+        rest = x.withColumnRenamed("key", "xk").join(y, F.expr(f"xk = key AND {near}"))
+        rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
         rest = _open_pairs(rest, nodes, percent).join(asked, ["a", "b"], "left_anti")
         rest = scratch.write(rest, "asked1")
         more = scratch.write(verified(rest, docs, text, words, percent), "links1")
@@ -295,8 +327,10 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
 
 
 def _open_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of class representatives that differ and are near enough in size."""
-    left = nodes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rep").alias("ra"))
-    right = nodes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("rb"))
-    near = pairs.join(left, "a").join(right, "b").where(f"ra != rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    """Pairs of class representatives that differ and that size and sketch allow to be similar."""
+    left = nodes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rep").alias("ra"), *(F.col(p).alias(f"a_{p}") for p in _P))
+    right = nodes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("rb"), *(F.col(p).alias(f"b_{p}") for p in _P))
+    apart = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in _P)
+    near = f"ra != rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {apart} <= {_bound('na', 'nb', percent)}"
+    near = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & F.expr(near))
     return near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
