@@ -34,13 +34,13 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = views.bars(spark, sf_dir)
     out = factors.volume(factors.momentum(factors.roc(factors.ma(bars, (5,)), (5,)), (10,)))
-    return out.withColumns({c: F.round(c, 9) for c in FEATURES})
+    return out.withColumns({c: F.round(c, 12) for c in FEATURES})
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features with the label that is neutral to the market."""
     out = preprocess.neutral_label(factors.label(_features(spark, sf_dir)))
-    return out.withColumn("label", F.round("label", 9))
+    return out.withColumn("label", F.round("label", 12))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -585,5 +585,16 @@ def slot_status(spark, sf_dir):
     return timeline.slot_status(views.journal(spark, sf_dir).where("seq % 7 < 2"), TODAY, STATUS_HOUR)
 
 
+def _written(query: Query) -> Query:
+    """The query with dates and times as text, which every reader compares alike."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        forms = {"date": "yyyy-MM-dd", "timestamp": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+        return df.select(*(F.date_format(c, forms[kind]).alias(c) if kind in forms else F.col(c) for c, kind in df.dtypes))
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return dict(_found)
+    return {name: _written(query) for name, query in _found.items()}

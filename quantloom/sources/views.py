@@ -122,12 +122,12 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((d * 13) % 300).alias("comments"),
         ((d * 11) % 400).alias("score"),
         F.when(kind == 2, F.concat(F.lit("and here "), F.substring("text", 1, 40))).alias("comments_text"),
-        F.when(kind == 1, F.create_map(F.ltrim(F.lit("$"), known), F.struct(score.alias("score"), F.when(score > 0, "up").otherwise("down").alias("label")))).alias("ticker_sentiments"),
+        F.when(kind == 1, F.create_map(F.ltrim(known, F.lit("$")), F.struct(score.alias("score"), F.when(score > 0, "up").otherwise("down").alias("label")))).alias("ticker_sentiments"),
     )
 
 
 def event_score():
-    return F.round(clamp((F.col("value") - 35) / 120.0), 4)
+    return clamp((F.col("value") - 35) / 120.7)
 
 
 def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
