@@ -171,7 +171,7 @@ MACRO = "macro AS (SELECT date_trunc('week', o_orderdate)::DATE AS date, " + ",
 _SCORE = "greatest(-1.0, least(1.0, (value - 35) / 120.7))"
 DAILY = f"""daily AS (SELECT DATE '1994-01-03' + (event_id % 150 * 7)::INT AS date,
   lpad((user_id % (SELECT count(*) FROM supplier) + 1)::VARCHAR, 6, '0') AS symbol,
-  round(avg({_SCORE}), 6) + 0 AS sentiment_score, count(*) AS news_count, round(stddev_pop({_SCORE}), 6) + 0 AS sentiment_std FROM events GROUP BY 1, 2)"""
+  round(avg({_SCORE}), 12) + 0 AS sentiment_score, count(*) AS news_count, round(stddev_pop({_SCORE}), 12) + 0 AS sentiment_std FROM events GROUP BY 1, 2)"""
 SNAP = f"""snap AS (SELECT event_id AS seq, ts AS timestamp,
   CASE event_type WHEN 'view' THEN 'US' WHEN 'signup' THEN 'KR' WHEN 'purchase' THEN 'JP' WHEN 'click' THEN 'CN' WHEN 'error' THEN 'CN' END AS market,
   CASE WHEN event_type = 'error' THEN 0.0 ELSE {_SCORE} END AS sentiment_score, user_id % 20 AS article_count FROM events),
@@ -248,7 +248,7 @@ def _panel() -> dict[str, str]:
         "distinct_symbols": f"WITH {BARS} SELECT market, count(DISTINCT symbol) AS symbols, count(DISTINCT date) AS dates FROM bars GROUP BY market",
         "label_t1": select({"label": "lead(close) OVER o / greatest(close, 1e-12) - 1"}, "bars", "symbol, date", WIN),
         "label_neutral": f"WITH {BARS}, l AS (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY date) / greatest(close, 1e-12) - 1 AS y FROM bars) SELECT symbol, date, {r('y - median(y) OVER (PARTITION BY market, date)')} AS label FROM l",
-        "join_sentiment": f"WITH {BARS}, {DAILY} SELECT symbol, date, {r('close')} AS close, coalesce(sentiment_score, 0) AS sentiment_score, least(coalesce(news_count, 0), 1000)::BIGINT AS news_count, coalesce(sentiment_std, 0) AS sentiment_std FROM bars LEFT JOIN daily USING (symbol, date)",
+        "join_sentiment": f"WITH {BARS}, {DAILY} SELECT symbol, date, {r('close')} AS close, {r('coalesce(sentiment_score, 0)')} AS sentiment_score, least(coalesce(news_count, 0), 1000)::BIGINT AS news_count, {r('coalesce(sentiment_std, 0)')} AS sentiment_std FROM bars LEFT JOIN daily USING (symbol, date)",
         "join_macro": f"WITH {BARS}, {MACRO} SELECT symbol, date, {r('close')} AS close, coalesce(urgent, 0) AS urgent, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium, coalesce(unspecified, 0) AS unspecified, coalesce(low, 0) AS low FROM (SELECT symbol, date, close FROM bars) LEFT JOIN macro USING (date)",
         "macro_change": f"WITH {MACRO} SELECT date, " + ", ".join(f"{c}, {r(z(f'{c} / {fl(f"lag({c}) OVER (ORDER BY date)")} - 1'))} AS {c}_change" for c in ("urgent", "high", "medium", "unspecified", "low")) + " FROM macro",
         "clean_nonfinite": f"WITH {BARS} SELECT symbol, date, CASE WHEN day(date) % 5 = 0 OR day(date) % 7 = 0 OR day(date) % 11 = 0 THEN 0.0 ELSE {r('close')} END AS x FROM bars",
@@ -372,7 +372,7 @@ def _text() -> dict[str, str]:
         "snapshot_score": f"WITH {tk}, m AS (SELECT market, sum(sentiment * weight) / sum(weight) AS s FROM an GROUP BY market), dy AS (SELECT market, date, ticker, avg(sentiment) AS s FROM tk GROUP BY market, date, ticker), da AS (SELECT market, avg(s) AS a FROM dy GROUP BY market) SELECT market, {r('coalesce(a, s)')} AS snapshot_score FROM m LEFT JOIN da USING (market)",
         "top_tickers": f"WITH {tk}, s AS (SELECT market, ticker, round(avg(sentiment), 9) + 0 AS sc, count(*) AS news_count FROM tk GROUP BY market, ticker) SELECT market, ticker, {r('sc')} AS sentiment_score, news_count, row_number() OVER (PARTITION BY market ORDER BY abs(sc) DESC, ticker) AS rank FROM s QUALIFY rank <= 10",
         "source_counts": f"WITH {ART} SELECT coalesce(source_cn, source) AS source, count(*) AS n FROM art GROUP BY 1",
-        "sentiment_daily": f"WITH {DAILY} SELECT * FROM daily",
+        "sentiment_daily": f"WITH {DAILY} SELECT date, symbol, {r('sentiment_score')} AS sentiment_score, news_count, {r('sentiment_std')} AS sentiment_std FROM daily",
         "sentiment_merge": f"WITH {DAILY}, u AS (SELECT date, symbol, sentiment_score, news_count FROM daily UNION ALL SELECT date, symbol, sentiment_score / 2, news_count FROM daily WHERE news_count > 1) SELECT date, symbol, {r('avg(sentiment_score)')} AS sentiment_score, sum(news_count)::BIGINT AS news_count FROM u GROUP BY date, symbol",
     }
 

@@ -476,7 +476,7 @@ def source_counts(spark, sf_dir):
 
 @_query
 def sentiment_daily(spark, sf_dir):
-    return views.daily_sentiment(spark, sf_dir)
+    return rounded(views.daily_sentiment(spark, sf_dir))
 
 
 @_query

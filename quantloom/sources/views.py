@@ -139,7 +139,7 @@ def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
         event_score().alias("score"),
     )
     return events.groupBy("date", "symbol").agg(
-        F.round(F.avg("score"), 6).alias("sentiment_score"), F.count(F.lit(1)).alias("news_count"), F.round(F.stddev_pop("score"), 6).alias("sentiment_std")
+        F.round(F.avg("score"), 12).alias("sentiment_score"), F.count(F.lit(1)).alias("news_count"), F.round(F.stddev_pop("score"), 12).alias("sentiment_std")
     )
 
 
