@@ -74,9 +74,9 @@ def count_trigrams(docs: DataFrame, targets: DataFrame, text: str = "text") -> D
     """
     chosen = targets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.count(F.lit(1)).alias("times"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("bytes"))
-    # Target texts are a part of all texts; only they are joined, the others are just counted.
+    # Targets grow with the corpus, so they are joined by a shuffle at every size; all texts are counted in place.
     every = rows.select(F.lit(0).cast("long").alias("times"), "bytes").mapInArrow(_count, "code long, target long, background long")
-    own = rows.join(chosen, F.col("doc_id") == F.col("of")).select("times", "bytes").mapInArrow(_count, "code long, target long, background long")
+    own = rows.join(chosen.hint("merge"), F.col("doc_id") == F.col("of")).select("times", "bytes").mapInArrow(_count, "code long, target long, background long")
     both = every.unionAll(own.select("code", "target", F.lit(0).cast("long").alias("background")))
     return both.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
