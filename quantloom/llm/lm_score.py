@@ -49,22 +49,27 @@ def trigrams(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (symbols[third - 2] * SYMBOLS + symbols[third - 1]) * SYMBOLS + symbols[third], row[third]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((0, 3), np.int64)
+def _summed(batches: Iterator[pa.RecordBatch], weighted: bool) -> pa.RecordBatch:
+    """One task's trigrams with their counts; weighted by the first column or not."""
+    codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        of_target = batch.column(0).to_numpy(zero_copy_only=False)
-        parts = [total]
-        for part in steps(batch.column(1)):
+        column = batch.column(batch.num_columns - 1)
+        times = batch.column(0).to_numpy(zero_copy_only=False) if weighted else None
+        for part in steps(column):
             code, row = trigrams(part)
-            weight = of_target[part.first_row + row]
-            codes, inverse = np.unique(code, return_inverse=True)
-            target = np.bincount(inverse, weight, len(codes)).astype(np.int64)
-            parts.append(np.stack([codes, target, np.bincount(inverse, minlength=len(codes))], axis=1))
-        every = np.concatenate(parts)
-        codes, inverse = np.unique(every[:, 0], return_inverse=True)
-        sums = [np.bincount(inverse, every[:, i], len(codes)).astype(np.int64) for i in (1, 2)]
-        total = np.stack([codes, *sums], axis=1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(total[:, i])) for i in range(3)], names=["code", "target", "background"])
+            found, inverse = np.unique(code, return_inverse=True)
+            n = np.bincount(inverse, times[part.first_row + row] if weighted else None, len(found)).astype(np.int64)
+            codes, at = np.unique(np.concatenate([codes, found]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
+
+
+def _count_background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _summed(batches, weighted=False)
+
+
+def _count_target(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield _summed(batches, weighted=True)
 
 
 def count_trigrams(docs: DataFrame, targets: DataFrame, text: str = "text") -> DataFrame:
@@ -75,9 +80,10 @@ def count_trigrams(docs: DataFrame, targets: DataFrame, text: str = "text") -> D
     chosen = targets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.count(F.lit(1)).alias("times"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("bytes"))
     # Targets grow with the corpus, so they are joined by a shuffle at every size; all texts are counted in place.
-    every = rows.select(F.lit(0).cast("long").alias("times"), "bytes").mapInArrow(_count, "code long, target long, background long")
-    own = rows.join(chosen.hint("merge"), F.col("doc_id") == F.col("of")).select("times", "bytes").mapInArrow(_count, "code long, target long, background long")
-    both = every.unionAll(own.select("code", "target", F.lit(0).cast("long").alias("background")))
+    own = rows.join(chosen.hint("merge"), F.col("doc_id") == F.col("of")).select("times", "bytes").mapInArrow(_count_target, "code long, n long")
+    every = rows.select("bytes").mapInArrow(_count_background, "code long, n long")
+    zero = F.lit(0).cast("long")
+    both = every.select("code", zero.alias("target"), F.col("n").alias("background")).unionAll(own.select("code", F.col("n").alias("target"), zero.alias("background")))
     return both.groupBy("code").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
