@@ -95,21 +95,21 @@ def host_verdicts(measures: DataFrame, max_rate: float = MAX_RATE) -> DataFrame:
     hosts = measures.groupBy("host").agg(
         F.count(F.lit(1)).alias("host_docs"), *(F.sum(F.when(F.expr(rule), 1).otherwise(0)).alias(name) for name, rule in RULES.items())
     )
-    corpus = hosts.agg(
-        F.sum("host_docs").alias("all_docs"),
+    corpus = hosts.agg(  # two sums a rule, whatever the corpus
+        F.sum("host_docs").alias("docs"),
         *(F.sum(name).alias(f"{name}_all") for name in RULES),
         *(F.sum(F.expr(f"cast({name} as double) * {name} / host_docs")).alias(f"{name}_sq") for name in RULES),
-    )
+    ).first()
     rates = []
     for name in RULES:
-        mean = f"({name}_all / cast(all_docs as double))"
-        spread = f"greatest({name}_sq / all_docs - {mean} * {mean}, 1e-12)"
-        strength = f"least(greatest({mean} * (1 - {mean}) / {spread} - 1, 1.0), 10000.0)"
-        rates.append(f"({name} + {mean} * {strength}) / (host_docs + {strength})")
-    worst = f"greatest({', '.join(rates)})"
-    return hosts.crossJoin(F.broadcast(corpus)).select(  # one row, by construction
-        "host", "host_docs", F.expr(worst).alias("host_rate"), F.expr(f"{worst} <= {max_rate}").alias("host_ok")
-    )
+        mean, strength = 0.0, 1.0
+        if corpus["docs"]:
+            mean = corpus[f"{name}_all"] / float(corpus["docs"])
+            spread = max(corpus[f"{name}_sq"] / corpus["docs"] - mean * mean, 1e-12)
+            strength = min(max(mean * (1 - mean) / spread - 1, 1.0), 10000.0)
+        rates.append((F.col(name) + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength)))
+    worst = F.greatest(*rates)
+    return hosts.select("host", "host_docs", worst.alias("host_rate"), (worst <= max_rate).alias("host_ok"))
 
 
 def host_quality(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
