@@ -343,6 +343,22 @@ def _signals(hours: int, name: str, snap: bool = True) -> str:
   ELSE least(1, 0.5 + abs(current) + abs(trend_all) / 0.3) END AS confidence FROM {name}3)"""
 
 
+FEED = r"""item AS (SELECT doc_id AS d, coalesce(substr(text, 1, 80), '') AS title, coalesce(substr(text, 81, 600), '') AS about, 'https://ex.org/' || doc_id AS url, source,
+  CASE lang WHEN 'en' THEN 'US' WHEN 'de' THEN 'KR' WHEN 'fr' THEN 'JP' WHEN 'es' THEN 'CN' END AS market, lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS day,
+  round(((doc_id * 37) % 201 - 100) / 100.0, 2) + 0 AS score, CASE WHEN (doc_id * 37) % 201 > 100 THEN 'up' ELSE 'down' END AS label FROM documents),
+plain AS (SELECT * REPLACE (regexp_replace(title, '^\s+|\s+$', '', 'g') AS title, regexp_replace(about, '^\s+|\s+$', '', 'g') AS about) FROM item),
+news AS (SELECT *, regexp_replace(title || ' ' || about, '^\s+|\s+$', '', 'g') AS text FROM plain)"""
+
+
+def _feeds() -> dict[str, str]:
+    return {
+        "feed_scored": f"WITH {FEED} SELECT url, market, title, substr(about, 1, 500) AS summary, substr(title || ' ' || about, 1, 2000) AS text, '2024-01-' || day || 'T08:30:15' AS published, {r('score')} AS sentiment, label AS sentiment_label, {r('score')} AS apple, 0.0::DOUBLE AS visa, 2::INT AS n_tickers FROM item",
+        "feed_news": f"WITH {FEED} SELECT url, market, coalesce(source, '') AS source_name, title, substr(about, 1, 500) AS summary, text, '2024-01-' || day AS published, CASE WHEN market = 'CN' THEN 'zh' ELSE 'en' END AS language, {r(_QUICK)} AS sentiment, {hits('text', ('the', 'Tion', 'zzz'))}::DOUBLE AS relevance FROM news WHERE text != ''",
+        "feed_daily": f"WITH {FEED} SELECT ('2024-01-' || day)::DATE AS date, lpad((d // 40 % 7 + 1)::VARCHAR, 6, '0') AS symbol, {r('avg(score)')} AS sentiment_score, count(*) AS news_count FROM item GROUP BY 1, 2",
+        "strongest_articles": f"WITH {FEED} SELECT url, {r('score')} AS sentiment FROM item ORDER BY abs(score) DESC, url, title LIMIT 40",
+    }
+
+
 def _text() -> dict[str, str]:
     an, tk = f"{ART}, {ANALYZED}", f"{ART}, {ANALYZED}, {TICKED}"
     watched = hits("text", ("the", "Tion", "zzz"))
@@ -418,6 +434,7 @@ _DATES = {name: ("date",) for name in (
     "cv_folds": ("train_last", "val_first", "val_last"),
     "wfa_windows": ("train_first", "train_last", "test_first", "test_last"),
     "yesterday_buys": ("entry_date",),
+    "feed_daily": ("date",),
 }
 _TIMES = {"cache_fresh": ("last_ts",), "hour_dedup": ("timestamp",), "poll_gaps": ("gap_start", "gap_end"), "curve_snapshot": ("first_ts", "last_ts"), "curve_display": ("timestamp",)}
 
@@ -429,5 +446,5 @@ def _written(name: str, sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    every = _factors() | _panel() | _text() | _timeline()
+    every = _factors() | _panel() | _feeds() | _text() | _timeline()
     return {name: _written(name, sql) for name, sql in every.items()}

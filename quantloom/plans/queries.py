@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.expr import clamp
 from quantloom.operators import factors, models, preprocess, selection, text, timeline, validation
-from quantloom.sources import views
+from quantloom.sources import feeds, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = ["close_ma_5_ratio", "roc_5", "momentum_10d", "volume_ratio_5"]
@@ -122,6 +122,29 @@ def html_links(spark, sf_dir):
     return text.links(views.table(spark, sf_dir, "pages"))
 
 
+@_query
+def feed_scored(spark, sf_dir):
+    rows = feeds.scored_articles(views.responses(spark, sf_dir, "scored"))
+    told = lambda t: F.col("ticker_sentiments")[t]["score"]
+    return rounded(rows.select("url", "market", "title", "summary", "text", "published", "sentiment", "sentiment_label", told("AAPL").alias("apple"), told("V").alias("visa"), F.size("ticker_sentiments").alias("n_tickers")))
+
+
+@_query
+def feed_news(spark, sf_dir):
+    rows = feeds.news_articles(views.responses(spark, sf_dir, "news"), WATCHED, lambda t, _: text.quick_sentiment(t, POSITIVE, NEGATIVE))
+    return rounded(rows.select("url", "market", "source_name", "title", "summary", "text", "published", "language", "sentiment", "relevance"))
+
+
+@_query
+def feed_daily(spark, sf_dir):
+    return rounded(feeds.scored_daily(views.responses(spark, sf_dir, "scored")))
+
+
+@_query
+def strongest_articles(spark, sf_dir):
+    return rounded(feeds.strongest(feeds.scored_articles(views.responses(spark, sf_dir, "scored")), 40).select("url", "sentiment"))
+
+
 # ------------------------------------------------------------------ factors
 
 

@@ -126,6 +126,33 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def responses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """market, symbol, collected_at and the JSON body of provider responses, ten items each."""
+    d = F.col("doc_id")
+    market = F.create_map(*(F.lit(x) for pair in (("en", "US"), ("de", "KR"), ("fr", "JP"), ("es", "CN")) for x in pair))
+    title, about, url = F.substring("text", 1, 80), F.substring("text", 81, 600), F.concat(F.lit("https://ex.org/"), d.cast("string"))
+    day = F.lpad((d % 28 + 1).cast("string"), 2, "0")
+    score = F.format_string("%.2f", ((d * 37) % 201 - 100) / 100.0)
+    label = F.when((d * 37) % 201 > 100, "up").otherwise("down")
+    told = lambda t, x: F.struct(F.lit(t).alias("ticker"), x.alias("ticker_sentiment_score"), label.alias("ticker_sentiment_label"))
+    if kind == "scored":
+        item = F.struct(
+            title.alias("title"),
+            about.alias("summary"),
+            url.alias("url"),
+            F.concat(F.lit("202401"), day, F.lit("T083015")).alias("time_published"),
+            score.alias("overall_sentiment_score"),
+            label.alias("overall_sentiment_label"),
+            F.array(told("AAPL", F.lit("0.9")), told("V", F.lit("n/a")), told("AAPL", score)).alias("ticker_sentiment"),
+        )
+        body = F.to_json(F.struct(F.collect_list(item).alias("feed")))
+    else:
+        item = F.struct(title.alias("title"), about.alias("description"), url.alias("url"), F.concat(F.lit("2024-01-"), day).alias("publishedAt"), F.struct(F.col("source").alias("name")).alias("source"))
+        body = F.to_json(F.struct(F.collect_list(item).alias("articles")))
+    rows = table(spark, sf_dir, "documents").groupBy(F.floor(d / 40).alias("_page"), market[F.col("lang")].alias("market")).agg(body.alias("body"))
+    return rows.select("market", F.format_string("%06d", F.col("_page") % 7 + 1).alias("symbol"), F.lit("2024-01-31T00:00:00+00:00").alias("collected_at"), "body")
+
+
 def event_score():
     return clamp((F.col("value") - 35) / 120.7)
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quantloom.operators.timeline import hour_dedup
+from quantloom.sources.tables import current, publish
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -79,23 +80,11 @@ def merge_into(path: str, retention_hours: int = 72):
         rows = hour_dedup(rows)
         newest = rows.agg(F.max("timestamp").alias("_newest"))
         rows = rows.crossJoin(F.broadcast(newest)).where(F.col("timestamp") >= F.col("_newest") - F.expr(f"INTERVAL {retention_hours} HOURS")).drop("_newest")  # one row
-        rows.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
-        spark.createDataFrame([(batch_id,)], "version long").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        publish(rows, path, batch_id)
 
     return merge
 
 
-def current(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version of a table that ``merge_into`` keeps."""
-    try:
-        version = spark.read.schema("version long").parquet(f"{path}/versions").agg(F.max("version")).first()[0]
-    except Exception as error:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None
-    return None if version is None else spark.read.parquet(f"{path}/v{version}")
-
-
 def run_available(rows: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Processes all that is there and stops, as an hourly job does."""
     query = rows.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
