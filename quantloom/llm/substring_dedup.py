@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import mix, signed, steps, text_bytes
+from quantloom.llm.common import Scratch, mix, signed, steps, text_bytes
 
 #: One cut in so many bytes on average; bytes of a chunk at least and at most.
 MEAN, LEAST, MOST = 16, 8, 2048
@@ -97,14 +97,29 @@ def chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.mapInArrow(_chunk, "digest long, doc_id long, place long")
 
 
+_LATER = "doc_id long, place long, owner long, digest long"
+
+
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (digest, doc_id): those of other documents than the digest's first.
 
     Streams: only the current digest and its owner are kept, however many rows it has.
+    A digest may go on over several ranges, so the rows of a range's first digest all come
+    out, with their digest, and the owners found of its first and last digest without a place.
     """
-    held = owner = None
+    held = owner = first = None
+
+    def made(doc: np.ndarray, place: np.ndarray, owners: np.ndarray, digest: np.ndarray) -> pa.RecordBatch:
+        # A digest other than the first is settled here and not needed again.
+        columns = [pa.array(doc), pa.array(place, mask=place < 0), pa.array(owners), pa.array(digest, mask=(digest != first) & (place >= 0))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "place", "owner", "digest"])
+
+    def edge(digest: int, of: int) -> pa.RecordBatch:
+        one = lambda x: np.array([x], np.int64)
+        return made(one(of), one(-1), one(of), one(digest))
+
     for batch in batches:
-        digest, doc = (batch.column(i).to_numpy() for i in (0, 1))
+        digest, doc, place = (batch.column(i).to_numpy() for i in range(3))
         if not len(digest):
             continue
         new = np.ones(len(digest), bool)
@@ -113,9 +128,29 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[0] = False
         last = np.maximum.accumulate(np.where(new, np.arange(len(digest)), -1))
         owners = np.where(last >= 0, doc[last], owner if owner is not None else 0)
+        if first is None:
+            first = digest[0]
+            yield edge(first, owners[0])
         held, owner = digest[-1], owners[-1]
-        later = np.flatnonzero(owners != doc)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.array(batch.column(2).to_numpy()[later]), pa.array(owners[later])], names=["doc_id", "place", "owner"])
+        out = np.flatnonzero((owners != doc) | (digest == first))
+        yield made(doc[out], place[out], owners[out], digest[out])
+    if held is not None:
+        yield edge(held, owner)
+
+
+def later_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, place, owner of the chunks whose digest an earlier document owns.
+
+    Chunks are dealt by ranges of (digest, doc_id): a digest that a large share of all chunks
+    has spreads over many tasks.  Owners at the ends of the ranges, two a range, put its
+    pieces together.
+    """
+    ranged = chunks(docs, text).repartitionByRange("digest", "doc_id").sortWithinPartitions("digest", "doc_id")
+    found = Scratch(docs.sparkSession, "substring_dedup").write(ranged.mapInArrow(_later, _LATER), "later")
+    ends = found.where("place IS NULL").groupBy("digest").agg(F.min("owner").alias("least"))
+    settled = found.where("place IS NOT NULL AND digest IS NULL").select("doc_id", "place", "owner")
+    rest = found.where("place IS NOT NULL AND digest IS NOT NULL").join(F.broadcast(ends), "digest")  # two rows a range
+    return settled.unionAll(rest.where("doc_id != least").select("doc_id", "place", "least")).distinct()
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:
@@ -123,8 +158,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", span_words: int = SPAN_W
 
     ``first_doc_id`` is the first document that holds the span's first chunk.
     """
-    sorted_chunks = chunks(docs, text).repartition("digest").sortWithinPartitions("digest", "doc_id")
-    later = sorted_chunks.mapInArrow(_later, "doc_id long, place long, owner long").distinct()
+    later = later_chunks(docs, text)
     later = later.select(
         "doc_id", "owner", F.shiftright("place", 24).alias("start"), F.shiftright("place", 12).bitwiseAND(F.lit(4095)).alias("size"), F.col("place").bitwiseAND(F.lit(4095)).alias("words")
     )

@@ -101,6 +101,45 @@ def test_copies_are_one_span(make):
     assert sorted((r.doc_id, r.start, r.end, r.first_doc_id) for r in found) == [(5, 0, len(text), 3), (9, 0, len(text), 3)]
 
 
+def test_a_digest_over_many_ranges(spark, make):
+    chunk = " ".join(f"word{i}" for i in range(30))
+    rows = [(i, " ".join([chunk] * (1 + i % 3)) + f" end{i}") for i in range(300, 0, -1)] + [(900 + i, f"own text {i} " * 9) for i in range(20)]
+    docs = make(rows)
+    owner, want = {}, set()
+    for r in substring_dedup.chunks(docs).orderBy("doc_id").collect():
+        if owner.setdefault(r.digest, r.doc_id) != r.doc_id:
+            want.add((r.doc_id, r.place, owner[r.digest]))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        found = [tuple(r) for r in substring_dedup.later_chunks(docs).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_later_chunks_stream_over_ranges():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    every = sorted((int(d), int(rng.integers(0, 9)), p) for p, d in enumerate(rng.integers(0, 6, 200)))
+    first = {}
+    for digest, doc, _ in every:
+        first.setdefault(digest, doc)
+    want = sorted((doc, p, first[digest]) for digest, doc, p in every if doc != first[digest])
+    for cuts in ([0, 200], [0, 50, 60, 61, 150, 200], list(range(0, 201, 4))):
+        rows = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*every[i : min(i + 7, b)], strict=True)], names=["digest", "doc_id", "place"]) for i in range(a, b, 7)]
+            rows += [r for out in substring_dedup._later(iter(batches)) for r in out.to_pylist()]
+        ends = {}
+        for r in rows:
+            if r["place"] is None:
+                ends[r["digest"]] = min(r["owner"], ends.get(r["digest"], r["owner"]))
+        found = [(r["doc_id"], r["place"], r["owner"] if r["digest"] is None else ends[r["digest"]]) for r in rows if r["place"] is not None]
+        assert sorted(x for x in found if x[0] != x[2]) == want
+
+
 def test_chunks_resist_shifts():
     import numpy as np
 
