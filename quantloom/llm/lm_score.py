@@ -49,6 +49,18 @@ def trigrams(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     return (symbols[third - 2] * SYMBOLS + symbols[third - 1]) * SYMBOLS + symbols[third], row[third]
 
 
+def _counts(code: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Codes with their counts; one may come twice, for what counts once and for what counts more often."""
+    if times is None:
+        return np.unique(code, return_counts=True)
+    once = times == 1
+    found, n = np.unique(code[once], return_counts=True)
+    if once.all():
+        return found, n
+    more, at = np.unique(code[~once], return_inverse=True)
+    return np.concatenate([found, more]), np.concatenate([n, np.bincount(at, times[~once], len(more)).astype(np.int64)])
+
+
 def _summed(batches: Iterator[pa.RecordBatch], weighted: bool) -> pa.RecordBatch:
     """One task's trigrams with their counts; weighted by the first column or not."""
     codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -57,8 +69,7 @@ def _summed(batches: Iterator[pa.RecordBatch], weighted: bool) -> pa.RecordBatch
         times = batch.column(0).to_numpy(zero_copy_only=False) if weighted else None
         for part in steps(column):
             code, row = trigrams(part)
-            found, inverse = np.unique(code, return_inverse=True)
-            n = np.bincount(inverse, times[part.first_row + row] if weighted else None, len(found)).astype(np.int64)
+            found, n = _counts(code, times[part.first_row + row] if weighted else None)
             codes, at = np.unique(np.concatenate([codes, found]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
     return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["code", "n"])
