@@ -104,12 +104,16 @@ def article_weight() -> Column:
     return base * followers * F.when(engagement > 1000, F.least(F.lit(1.5), 1 + engagement / 10000)).otherwise(1.0)
 
 
+def listed(code: Column) -> Column:
+    """A six-digit code with its exchange, the form that tickers found in texts have; others as they are."""
+    return F.when(code.rlike(r"^\d{6}$"), F.concat(code, F.when(F.substring(code, 1, 2).isin("00", "30"), ".SZ").otherwise(".SS"))).otherwise(code)
+
+
 def tickers(text: Column, market: Column) -> Column:
     """Tickers in the order found, each once."""
     codes = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_])(\d{6})(?![\p{L}\p{N}_])"), F.lit(1))
-    listed = F.transform(codes, lambda c: F.concat(c, F.when(F.substring(c, 1, 2).isin("00", "30"), ".SZ").otherwise(".SS")))
     names = F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(t).alias("t")) for n, t in CN_NAMES.items())), lambda x: F.contains(text, x["n"]))
-    chinese = F.array_distinct(F.concat(listed, F.transform(names, lambda x: x["t"])))
+    chinese = F.array_distinct(F.concat(F.transform(codes, listed), F.transform(names, lambda x: x["t"])))
     marked = F.regexp_extract_all(text, F.lit(r"\$([A-Z]{1,5})\b"), F.lit(1))
     bare = F.filter(F.regexp_extract_all(text, F.lit(r"\b([A-Z]{1,5})\b"), F.lit(1)), lambda w: w.isin(US_SYMBOLS))
     return F.when(market == "CN", chinese).otherwise(F.array_distinct(F.concat(marked, bare)))

@@ -99,6 +99,13 @@ def rank_ic(df: DataFrame, features: list[str], label: str = "label") -> DataFra
     return ranked.groupBy("name").agg(correlation(F.col("_rx"), F.col("_ry")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
+def ic_report(ics: DataFrame, least: int = 10) -> DataFrame:
+    """Adds t_stat, the correlation by its error at n - 2 degrees; with too few rows both are 0.  One row a feature."""
+    enough = (F.col("n") >= least) & (F.abs("ic") < 1)
+    t = F.when(enough, F.col("ic") * F.sqrt(F.greatest(F.col("n") - 2, F.lit(0)) / F.greatest(1 - F.col("ic") * F.col("ic"), F.lit(EPS)))).otherwise(0.0)
+    return ics.withColumns({"t_stat": t, "ic": F.when(F.col("n") >= least, F.col("ic")).otherwise(0.0)})
+
+
 def prune_by_ic(ics: DataFrame, threshold: float = 0.01, least: int = 30) -> DataFrame:
     """Adds kept: over the threshold, or among the ``least`` best.  One row a feature."""
     place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.abs("ic")), "name"))

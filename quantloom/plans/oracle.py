@@ -317,6 +317,8 @@ def _panel() -> dict[str, str]:
       rx AS (SELECT name, {avg_rank('value')} AS a, {avg_rank('label')} AS b FROM un), ic AS (SELECT name, corr(a, b) AS ic, count(*) AS n FROM rx GROUP BY name)"""
     out["rank_ic"] = f"WITH {lab}, {ics} SELECT 'pred_ret' AS name, {r('ic')} AS ic, n FROM ic WHERE name = 'close_ma_5_ratio'"
     out["ic_topn"] = f"WITH {lab}, {ics} SELECT name, {r('ic')} AS ic, n FROM ic ORDER BY abs(ic) DESC, name LIMIT 3"
+    out["ic_report"] = f"WITH {lab}, {ics} SELECT name, {r('CASE WHEN n >= 10 THEN ic ELSE 0 END')} AS ic, n, {r('CASE WHEN n >= 10 AND abs(ic) < 1 THEN ic * sqrt((n - 2) / (1 - ic * ic)) ELSE 0 END')} AS t_stat FROM ic"
+    out["listed_symbols"] = f"WITH {BARS} SELECT DISTINCT market, symbol, CASE WHEN market != 'CN' THEN symbol WHEN symbol[1:2] IN ('00', '30') THEN symbol || '.SZ' ELSE symbol || '.SS' END AS listed FROM bars"
     out["ic_prune"] = f"WITH {lab}, {ics} SELECT name, {r('ic')} AS ic, n, abs(ic) >= 0.01 OR row_number() OVER (ORDER BY abs(ic) DESC, name) <= 2 AS kept FROM ic"
     out["ndcg_at_k"] = f"""WITH {pred}, gr AS (SELECT *, least(4, floor({pct('label', 'date')} * 5)) AS rel FROM pred),
       od AS (SELECT *, row_number() OVER (PARTITION BY date {best}) AS a, row_number() OVER (PARTITION BY date ORDER BY rel DESC, symbol) AS b FROM gr),

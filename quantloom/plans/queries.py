@@ -362,6 +362,11 @@ def ic_topn(spark, sf_dir):
     return rounded(ics.orderBy(F.desc(F.abs("ic")), "name").limit(3))
 
 
+@_query
+def ic_report(spark, sf_dir):
+    return rounded(validation.ic_report(validation.rank_ic(_labelled(spark, sf_dir), FEATURES)))
+
+
 @_query
 def ic_prune(spark, sf_dir):
     return rounded(validation.prune_by_ic(validation.rank_ic(_labelled(spark, sf_dir), FEATURES), 0.01, 2))
@@ -434,6 +439,12 @@ def extract_tickers(spark, sf_dir):
     return views.articles(spark, sf_dir).select("seq", found.alias("tickers"))
 
 
+@_query
+def listed_symbols(spark, sf_dir):
+    every = views.bars(spark, sf_dir).select("market", "symbol").distinct()
+    return every.select("market", "symbol", F.when(F.col("market") == "CN", text.listed(F.col("symbol"))).otherwise(F.col("symbol")).alias("listed"))
+
+
 @_query
 def json_ticker_map(spark, sf_dir):
     rows = views.articles(spark, sf_dir).withColumn("json", F.to_json("ticker_sentiments"))

@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quantloom.operators import factors, preprocess, selection, validation
+from quantloom.operators import factors, models, preprocess, selection, validation
+from quantloom.plans import queries
 
 SCHEMA = "market string, symbol string, name string, industry string, date date, open double, high double, low double, close double, volume double, amount double, turnover double"
 
@@ -103,3 +104,24 @@ def test_folds_keep_the_embargo(spark, walk):
     dates = {r.fold: r for r in validation.cv_folds(bars(spark, walk), least_train=1, least_val=1).collect()}
     assert sorted(dates) == [1, 2, 3]
     assert all((r.val_first - r.train_last).days == 7 * 6 for r in dates.values())
+
+
+def test_training_picks_a_fold_and_stacks(spark, sf_dir):
+    panel = queries._labelled(spark, sf_dir).select("market", "symbol", "date", "label", *queries.FEATURES)
+    got = models.train(panel, queries.FEATURES, least=2, threshold=1.0, maxIter=2, maxDepth=2)
+    assert len(got.features) == 2 and got.fold in (1, 2, 3) and 0 < got.ndcg <= 1 and all(map(np.isfinite, got.weights))
+    out = got.predict(panel)
+    assert out.columns == [*panel.columns, "pred_ret"] and out.count() == panel.count()
+    assert models.train(panel, queries.FEATURES, least_rows=10**6) is None
+    ((value, params),) = models.search([(panel, panel)], queries.FEATURES[:1], trials=1)
+    assert 0 < value <= 1 and set(params) == {"maxDepth", "stepSize", "subsamplingRate", "maxIter"}
+
+
+def test_walk_forward_models_see_only_the_past(spark, sf_dir):
+    panel = queries._labelled(spark, sf_dir).select("market", "symbol", "date", "label", *queries.FEATURES)
+    n = panel.where("label IS NOT NULL").select("date").distinct().count()
+    out = models.walk_forward_fit(panel, queries.FEATURES, n - 8, 5, maxIter=1, maxDepth=2)
+    assert {r.start for r in out.select("start").distinct().collect()} == {0, 5}
+    assert out.groupBy("symbol", "date").count().where("count > 1").isEmpty()
+    assert out.select("date").distinct().count() == 8
+    assert models.walk_forward_fit(panel, queries.FEATURES, n - 8, 5, least_rows=10**6) is None
