@@ -2,11 +2,10 @@
 
 Lines are hashed; every hash of a line with enough words has an owner, the first
 document (by doc_id) that holds it.  A document is compared with the owners of its lines
-only, so work is linear in lines however many copies there are.  A pair counts as
-overlapping if it shares a rare line (few documents hold it); frequent lines, such as
-those of a large group of copies, are evidence together: ``CROWD_WORDS`` words of them
-that belong to one owner.  Overlapping pairs are aligned by patience diff over line
-hashes, and the aligned common blocks are deleted from the later document.
+only, so work is linear in lines however many copies there are.  Every shared line is
+evidence, however many documents hold it, so results do not depend on the corpus size.
+A document and each owner of its lines are aligned by patience diff over line hashes, and
+the aligned common blocks are deleted from the later document.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line;
 rows with a null doc_id are returned unchanged; rows that repeat both doc_id and text are
@@ -28,10 +27,8 @@ from quantloom.llm.common import Scratch, signed, steps, text_bytes
 
 #: Words of a line that is evidence, and of a block that is deleted, at least.
 LINE_WORDS = 8
-#: Documents that hold a rare line, at most.
-RARE_DOCS = 100
-#: Words of frequent lines that a pair must share to count as overlapping.
-CROWD_WORDS = 40
+#: Documents that may hold a line that is evidence: any number.
+RARE_DOCS = float("inf")
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,14 +63,12 @@ def line_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", "hashes", "words")).alias("x")).select("doc_id", "x.*")
 
 
-def overlapping(lines: DataFrame, line_words: int = LINE_WORDS, rare_docs: int = RARE_DOCS, crowd_words: int = CROWD_WORDS) -> DataFrame:
-    """owner, doc_id: later documents with the earlier ones they overlap with."""
-    each = lines.select("doc_id", F.explode(F.array_distinct(F.arrays_zip("hashes", "words"))).alias("line"))
+def overlapping(lines: DataFrame, line_words: int = LINE_WORDS) -> DataFrame:
+    """owner, doc_id: later documents with the owner of every line that they share."""
+    each = lines.select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("line"))
     each = each.select("doc_id", F.col("line.hashes").alias("hash"), F.col("line.words").alias("n")).where(F.col("n") >= line_words)
-    owners = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("held")).where("held > 1")
-    shared = each.join(owners, "hash").where("doc_id > owner")
-    pairs = shared.groupBy("owner", "doc_id").agg(F.min("held").alias("rarest"), F.sum("n").alias("n"))
-    return pairs.where((F.col("rarest") <= rare_docs) | (F.col("n") >= crowd_words)).select("owner", "doc_id")
+    owners = each.groupBy("hash").agg(F.min("doc_id").alias("owner"))
+    return each.join(owners, "hash").where("doc_id > owner").select("owner", "doc_id").distinct()
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:

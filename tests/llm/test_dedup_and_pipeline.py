@@ -66,6 +66,14 @@ def test_lines_equal_brute_force(make):
     assert found[2] == [1, 2] and found[3] == [0, 1, 2, 3, 4] and 1 not in found and 8 not in found
 
 
+def test_a_line_goes_however_many_documents_hold_it(make):
+    for copies in (3, 100, 101, 150):
+        rows = [(i, f"own {i}\n" + line(7, 8) + f"\nend {i}") for i in range(copies)]
+        rows += [(500 + i, line(200 + i) + f"\nof {i}") for i in range(4)] + [(600, "\n".join(line(200 + i) for i in range(4)))]
+        found = {r.doc_id: list(r.gone) for r in line_dedup.repeated(make(rows)).collect()}
+        assert found == {i: [1] for i in range(1, copies)} | {600: [0, 1, 2, 3]}
+
+
 def test_lines_taken_out(make):
     rows = dedup_rows() + [(8, "another text")]
     out = line_dedup.remaining(make(rows))
