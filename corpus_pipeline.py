@@ -33,8 +33,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of similar documents the one with the least doc_id."""
-    found = ngram_join.similar_documents(docs)
+    """Keeps of each group of documents similar by five words and 80 % the one with the least doc_id."""
+    found = ngram_join.similar_documents(docs, words=5, percent=80)
     gone = found.where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

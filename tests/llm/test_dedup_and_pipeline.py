@@ -199,3 +199,15 @@ def test_stages_return_documents(make, spark, sf_dir, pipeline):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "print", "label"]
     assert pipeline.STAGES[-1][1](spark, docs, sf_dir).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert mixing.mixed(make([(1, "x")]).where("false")).collect() == []
+
+
+def test_near_duplicates_by_five_words_and_four_fifths(make, spark, sf_dir, pipeline):
+    rows = []
+    for i in range(12):
+        words = [f"t{i}x{j}" for j in range(46 + i)]
+        near = [*words[:20], "other", *words[21:]]
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(near))]
+    five = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    gone = {b for (_, x), (b, y) in zip(rows[::2], rows[1::2], strict=True) if 5 * len(five(x) & five(y)) >= 4 * len(five(x) | five(y))}
+    kept = {r.doc_id for r in pipeline.drop_near_duplicates(spark, make(rows), sf_dir).collect()}
+    assert 0 < len(gone) < 12 and kept == {d for d, _ in rows} - gone
