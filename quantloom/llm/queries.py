@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, byte_bpe, host_quality, language_id, line_dedup, lm_score, mixing, ngram_join, secrets, substring_dedup
+from quantloom.llm import ann, byte_bpe, host_quality, language_id, line_dedup, mixing, ngram_join, secrets, substring_dedup, word_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
-    return lm_score.cross_entropy_difference(_documents(spark, sf_dir), good)
+    return word_lm.cross_entropy_difference(_documents(spark, sf_dir), good)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
