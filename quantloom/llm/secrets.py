@@ -4,7 +4,7 @@ A credential often has parts that say little alone: an identifier, a secret and
 endpoint.  Strong findings (the base kinds) always count.  Weak candidates are reported
 only if complementary parts lie near: within a scope, here a window of bytes that no form
 feed interrupts, a weak secret needs an identifier or an endpoint, and a weak identifier
-or endpoint needs a secret.
+or endpoint needs a secret; a part that overlaps the candidate does not support it.
 Parts are joined by a sweep over their sorted intervals, so a text with thousands of
 parts stays linear, and a document is a row: nothing is shuffled.
 
@@ -73,24 +73,32 @@ def weak_parts(text: bytes, strong: list[Span]) -> list[Span]:
 
 def link(strong: list[Span], weak: list[Span], breaks: list[int], scope: int = SCOPE) -> list[Span]:
     """The weak parts that complementary parts support within their scope."""
-    roles = {"assign": "secret", "hex": "secret", "weak_secret": "secret", "access": "id", "weak_id": "id", "endpoint": "endpoint"}
-    places: dict[str, list[tuple[int, int]]] = {"secret": [], "id": [], "endpoint": []}
+    roles = {"secret": ("assign", "hex", "weak_secret"), "id": ("access", "weak_id"), "endpoint": ("endpoint",)}
+    role_of = {kind: role for role, kinds in roles.items() for kind in kinds}
+    places: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     for start, end, kind in strong + weak:
-        places[roles[kind]].append((start, end))
-    order = {role: sorted(spans) for role, spans in places.items()}
-    begins = {role: [s for s, _ in spans] for role, spans in order.items()}
+        places[kind].append((start, end))
+    # Spans of one kind do not overlap, so their ends rise with their starts.
+    order = {kind: sorted(spans) for kind, spans in places.items()}
+    begins = {kind: [s for s, _ in spans] for kind, spans in order.items()}
 
     def near(span: Span, role: str) -> bool:
-        """Another part of the role starts within the scope, in the same section."""
+        """A part of the role that does not overlap the span starts within the scope, in the same section."""
         start, end, _ = span
         section = bisect_right(breaks, start)
         low = max(start - scope, breaks[section - 1] if section else 0)
         high = min(end + scope, breaks[section] if section < len(breaks) else end + scope)
-        return bisect_right(begins[role], high) > bisect_left(begins[role], low)
+        for kind in roles[role]:
+            first = bisect_left(begins[kind], low)
+            if first < len(order[kind]) and order[kind][first][1] <= start:
+                return True
+            if bisect_right(begins[kind], high) > bisect_left(begins[kind], max(low, end)):
+                return True
+        return False
 
     out = []
     for span in weak:
-        role = roles[span[2]]
+        role = role_of[span[2]]
         if role == "secret":
             good = near(span, "id") or near(span, "endpoint")
         else:

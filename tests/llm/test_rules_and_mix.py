@@ -137,3 +137,14 @@ def test_weak_parts_need_their_scope(make):
     cut = "user: bob1 \f " + key
     found = {r.doc_id: r.n_linked for r in secrets.scan_documents(make([(1, far), (2, cut), (3, "user: bob1 " + key)])).collect()}
     assert found == {1: 0, 2: 0, 3: 2}
+
+
+def test_a_part_does_not_support_itself():
+    key = b"Ab3" * 13 + b"x"
+    line, url = b"access_key = " + key, b"https://example.org/files/" + key + b"/page"
+    for text in (line, url, b"some words " + url + b" and more words", url + b"\f" + line):
+        assert secrets.scan_text(text)[1] == []
+    found = secrets.scan_text(b"user: bob1 " + key + b" https://example.org/a")[1]
+    assert [k for *_, k in sorted(found)] == ["weak_id", "weak_secret", "endpoint"]
+    before = secrets.scan_text(key + b" user: bob1")[1]
+    assert [k for *_, k in sorted(before)] == ["weak_secret", "weak_id"]
