@@ -7,12 +7,18 @@ subpart of some part, so leaving one subpart out at a time (the enumeration of s
 gives them a signature in common.  A set that may meet sets of the band below has
 signatures there too.
 
+Some parts are spare: similar sets agree in more parts than one, so a set may leave out
+its most popular signatures, as many as its band's spare parts allow, and still meets
+every similar set under another one.  Equal sets are one class that its least document
+stands for.
+
 No group of equal signatures is turned into all its pairs.  Each task links its own rows
 of a signature to their least and sends one of them on, so a signature that a third of
-all rows have costs a shuffle one row a task; then every member is compared with its
-signature's least document only.  Verified links give components, and what is still to
-be compared are members of one signature in different components, which is the exact
-rest: documents of the same component need no further comparison.
+all rows have costs a shuffle one row a task.  Then a signature's members are compared in
+rounds of stars: with its least one, then with the next few, and so on, four times as many
+each round.  After a round its centres have met everyone and leave, verified links join
+documents to components, and a signature whose members are all of one component is done.
+Two documents that share several signatures meet under the first.
 
 Defined cases: null or blank texts have no set, n_shingles 0, and form components of
 their own; rows without doc_id are counted but linked with nothing (component_id null);
@@ -27,7 +33,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import Scratch, Texts, mix, signed, steps, text_bytes, windows
@@ -38,6 +44,12 @@ WORDS, PERCENT = 4, 85
 BAND_RATIO = 1.5
 #: Signatures that a task gathers before it links its own equal ones and sends the rest.
 CHUNK_ROWS = 1 << 20
+#: Members of a signature up to which it is not worth leaving out.
+UNPOPULAR = 4
+#: Centres of each signature in the first round of stars, and how much more in each next.
+STARS, MORE_STARS = 1, 4
+#: Signatures that a row remembers, to meet each partner once.
+REMEMBERED = 4
 
 
 def shingles(part: Texts, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -70,50 +82,79 @@ def _sums(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def fingerprints(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size and a 64-bit hash of each row's set."""
+def fingerprints(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each row's set and two 64-bit hashes of it."""
     sizes = np.bincount(row, minlength=rows)
-    return sizes, mix(_sums(row, mix(value ^ np.uint64(0xA5A5A5A5A5A5A5A5)), rows) + sizes.astype(np.uint64))
+    salts = (np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x3C3C3C3C3C3C3C3C))
+    first, second = (mix(_sums(row, mix(value ^ x), rows) + sizes.astype(np.uint64)) for x in salts)
+    return sizes, first, second
 
 
-#: Words of 64 bits in a parity sketch; in the join on signatures it is folded to half.
+#: Words of 64 bits in a short parity sketch; in the join on signatures it is folded to half.
 SKETCH = 8
 
 
+def _parity_bits(place: np.ndarray, bucket: np.ndarray, words: int) -> np.ndarray:
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, place + (bucket >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bucket & np.uint64(63)))
+    return out
+
+
 def parities(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
     """For each row and bucket of the domain whether an odd number of elements falls there.
 
     Two sets differ in at least as many elements as their sketches differ in bits.
     """
-    out = np.zeros(rows * SKETCH, np.uint64)
     bucket = (value >> np.uint64(7)) % np.uint64(64 * SKETCH)
-    np.bitwise_xor.at(out, row * SKETCH + (bucket >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bucket & np.uint64(63)))
-    return out.reshape(rows, SKETCH)
+    return _parity_bits(row * SKETCH, bucket, rows * SKETCH).reshape(rows, SKETCH)
+
+
+def long_parities(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """As parities(), with two to four buckets an element (a power of two, 512 at least)."""
+    words = SKETCH << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / (32 * SKETCH)))).astype(np.int64)
+    ends = np.cumsum(words)
+    starts = ends - words
+    bucket = (value >> np.uint64(7)) & (words[row].astype(np.uint64) * np.uint64(64) - np.uint64(1))
+    bits = _parity_bits(starts[row], bucket, int(ends[-1]) if len(ends) else 0)
+    return [bits[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two long sketches differ, the longer one folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 class Bands:
-    """The bands up to a size: lower and upper ends, reach (the largest partner) and k."""
+    """The bands up to a size: lower and upper ends, reach (the largest partner) and k.
+
+    Of a band's parts, similar sets differ in two or more subparts of k // 2 at most.  Of
+    the others one must remain; ``spare`` ones may be without elements in a signature and
+    each of two sets may leave out ``leave`` more.
+    """
 
     def __init__(self, largest: int, percent: int = PERCENT, ratio: float = BAND_RATIO):
-        low, self.low, self.reach, self.parts, self.spare = 1, [], [], [], []
+        low, self.low, self.reach, self.parts, self.spare, self.leave = 1, [], [], [], [], []
         while low <= largest:
             high = max(low, ceil(low * ratio) - 1)
             reach = high * 100 // percent
             k = (100 - percent) * (high + reach) // (100 + percent)
             self.low.append(low)
             self.reach.append(reach)
-            # Two sets differ in two or more subparts of at most k // 2 parts.
-            spare = k // 40
+            spare, leave = k // 40, 0 if k < 16 else 1 + k // 32
             self.spare.append(spare)
-            self.parts.append(0 if k == 0 else k // 2 + 1 + spare)
+            self.leave.append(leave)
+            self.parts.append(0 if k == 0 else k // 2 + 1 + spare + 2 * leave)
             low = high + 1
 
 
-def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Row and key of every signature of the sets."""
+def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and band of every signature of the sets."""
     low = np.array(bands.low)
     own = np.searchsorted(low, sizes, "right") - 1
-    out_row, out_key = [], []
+    out_row, out_key, out_band = [], [], []
     first = np.searchsorted(row, np.arange(len(sizes) + 1))
     for band in np.unique(np.concatenate([own, own - 1])):
         if band < 0:
@@ -131,6 +172,7 @@ def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Ban
         if n == 0:  # no difference is allowed: the whole set is the signature
             out_row.append(chosen)
             out_key.append(mix(_sums(local, body, len(chosen)) ^ salt))
+            out_band.append(np.full(len(chosen), band, np.int16))
             continue
         place = ((element >> np.uint64(32)) * np.uint64(3 * n) >> np.uint64(32)).astype(np.int64)
         size = len(chosen) * 3 * n
@@ -145,12 +187,13 @@ def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Ban
         emit = filled | bare[:, None, None]
         out_row.append(np.repeat(chosen, emit.reshape(len(chosen), -1).sum(axis=1)))
         out_key.append(keys[emit])
+        out_band.append(np.full(len(out_key[-1]), band, np.int16))
     if not out_row:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_row), np.concatenate(out_key)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int16)
+    return np.concatenate(out_row), np.concatenate(out_key), np.concatenate(out_band)
 
 
-def _link_own(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+def _link_own(keys: np.ndarray, docs: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
     """One task's rows of a key: the least goes on to its key, the others stay apart."""
     order = np.lexsort((docs, keys))
     keys, docs = keys[order], docs[order]
@@ -159,10 +202,11 @@ def _link_own(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     last = np.ones(len(keys), bool)
     last[:-1] = new[1:]
     kind = np.where(new, np.where(last, 0, 1), 2).astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(docs), pa.array(kind)], names=["key", "doc", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(docs), pa.array(kind), pa.array(bands[order])], names=["key", "doc", "kind", "band"])
 
 
 _P = tuple(f"p{i}" for i in range(SKETCH))
+_Q = tuple(f"q{i}" for i in range(SKETCH // 2))
 
 
 def _bound(n: str, m: str, percent: int) -> str:
@@ -171,87 +215,91 @@ def _bound(n: str, m: str, percent: int) -> str:
 
 
 def set_table(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, the set's hash and its parity sketch, for every row."""
+    """doc_id, n_shingles, the set's two hashes and its parity sketches, for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, sketches = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros((0, SKETCH), np.uint64)]
+            sizes, prints, others, sketches, long = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros((0, SKETCH), np.uint64)], []
             for part in steps(batch.column(1)):
                 row, value = shingles(part, words)
-                n, prints_of = fingerprints(row, value, part.rows)
+                n, print_of, other = fingerprints(row, value, part.rows)
                 sizes.append(n)
-                prints.append(prints_of)
+                prints.append(print_of)
+                others.append(other)
                 sketches.append(parities(row, value, part.rows))
+                long += long_parities(row, value, n)
             bits = np.concatenate(sketches).T
-            values = [np.concatenate(sizes).astype(np.int64), signed(np.concatenate(prints)), *(signed(np.ascontiguousarray(x)) for x in bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, values)], names=["doc_id", "n_shingles", "print", *_P])
+            values = [np.concatenate(sizes).astype(np.int64), signed(np.concatenate(prints)), signed(np.concatenate(others)), *(signed(np.ascontiguousarray(x)) for x in bits)]
+            columns = [batch.column(0), *map(pa.array, values), pa.array(long, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "print", "print2", *_P, "sketch"])
 
-    schema = "doc_id long, n_shingles long, print long, " + ", ".join(f"{p} long" for p in _P)
+    schema = "doc_id long, n_shingles long, print long, print2 long, " + ", ".join(f"{p} long" for p in _P) + ", sketch binary"
     return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, schema)
 
 
 def signature_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """key, doc, kind (0: alone in its task, 1: the task's least, 2: another of the task)."""
+    """key, doc, kind (0: alone in its task, 1: the task's least, 2: another of the task), band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(1 << 12, percent)
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        seen: dict[int, bool] = {}
-        held = 0
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
+        size = 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for part in steps(batch.column(1)):
                 row, value = shingles(part, words)
-                sizes, prints = fingerprints(row, value, part.rows)
+                sizes, prints, _ = fingerprints(row, value, part.rows)
                 fresh = np.zeros(part.rows, bool)  # exact copies are known by their hash already
                 for i, x in enumerate(prints.tolist()):
                     if sizes[i] and x not in seen:
-                        seen[x] = fresh[i] = True
+                        seen.add(x)
+                        fresh[i] = True
                 sizes = np.where(fresh, sizes, 0)
                 keep = fresh[row]
                 if not keep.any():
                     continue
                 if bands.reach[-1] < sizes.max():
                     bands = Bands(2 * int(sizes.max()), percent)
-                at, key = signatures(row[keep], value[keep], sizes, bands)
-                keys.append(key)
-                owners.append(ids[part.first_row + at])
-                held += len(key)
-                if held >= chunk:
-                    yield _link_own(np.concatenate(keys), np.concatenate(owners))
-                    keys, owners, held = [], [], 0
+                at, key, band = signatures(row[keep], value[keep], sizes, bands)
+                held.append((key, ids[part.first_row + at], band))
+                size += len(key)
+                if size >= chunk:
+                    yield _link_own(*map(np.concatenate, zip(*held, strict=True)))
+                    held, size = [], 0
                     seen.clear()
-        if held:
-            yield _link_own(np.concatenate(keys), np.concatenate(owners))
+        if size:
+            yield _link_own(*map(np.concatenate, zip(*held, strict=True)))
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
-    return rows.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, "key long, doc long, kind byte")
+    return rows.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, "key long, doc long, kind byte, band short")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key those whose key has several documents.  Holds one row."""
-    pending: tuple[int, int] | None = None
+    names = ["key", "doc", "kind", "band"]
+    pending: pa.RecordBatch | None = None
     emitted_key = None
     for batch in batches:
-        key, doc, kind = (batch.column(i).to_numpy() for i in range(3))
-        if not len(key):
+        if not batch.num_rows:
             continue
         if pending is not None:
-            key, doc, kind = np.concatenate([[pending[0]], key]), np.concatenate([[pending[1]], doc]), np.concatenate([np.zeros(1, np.int8), kind])
+            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(y.type), y]) for x, y in zip(pending.columns, batch.columns, strict=True)], names=names)
+        key, kind = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         same = key[1:] == key[:-1]
         many = kind > 0
         many[1:] |= same
         many[:-1] |= same
         many[0] |= emitted_key is not None and key[0] == emitted_key
-        pending, emitted_key = (None, int(key[-1])) if many[-1] else ((int(key[-1]), int(doc[-1])), None)
-        yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(doc[many])], names=["key", "doc"])
+        pending, emitted_key = (None, int(key[-1])) if many[-1] else (batch.slice(batch.num_rows - 1), None)
+        out = batch.filter(pa.array(many))
+        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(3)], names=["key", "doc", "band"])
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
-    """key, doc of the signatures that more than one document has."""
+    """key, doc, band of the signatures that more than one document has."""
     spread = F.when(F.col("kind") == 2, F.xxhash64("key", "doc")).otherwise(F.col("key"))
-    return rows.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "key long, doc long")
+    return rows.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "key long, doc long, band short")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -285,52 +333,104 @@ def _sets(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
             yield part.first_row + i, value[first[i] : first[i + 1]]
 
 
+def _screen(percent: int):
+    """Of rows (a, b, sizes and long sketches of both) the pairs that may be similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            most = (100 - percent) * (n + m) // (100 + percent)
+            apart = [bits_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)]
+            good = pa.array(np.array(apart, np.int64) <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    return run
+
+
+def _open_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes that sizes and sketches allow to be similar."""
+
+    def side(x: str) -> DataFrame:
+        return classes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"sketch_{x}"), *(F.col(p).alias(f"{x}_{p}") for p in _P))
+
+    apart = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in _P)
+    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND {apart} <= {_bound('na', 'nb', percent)}"
+    met = pairs.join(side("a"), "a").join(side("b").withColumnRenamed("b", "bb"), F.expr(f"b = bb AND {near}"))
+    return met.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_screen(percent), "a long, b long")
+
+
+def _met(members: DataFrame, nodes: DataFrame, leave: list[int]) -> DataFrame:
+    """key, rep and the row's earlier keys k1, k2, ... of what the classes keep of their signatures.
+
+    Each class leaves out its ``leave[band]`` most popular signatures of a band.
+    """
+    held = members.join(nodes.select("doc", "rep"), "doc").select("key", "band", "rep").distinct()
+    popular = held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    held = held.join(popular, "key").repartition("rep")
+    by_popularity = Window.partitionBy("rep", "band").orderBy(F.desc("m"), "key")
+    allowed = F.element_at(F.array(*map(F.lit, leave)), F.col("band").cast("int") + 1)
+    held = held.withColumn("place", F.row_number().over(by_popularity)).where((F.col("m") <= UNPOPULAR) | (F.col("place") > allowed))
+    by_key = Window.partitionBy("rep").orderBy("key")
+    return held.select("key", "rep", *(F.lag("key", i).over(by_key).alias(f"k{i}") for i in range(1, REMEMBERED + 1)))
+
+
+def _round(placed: DataFrame, stars: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of one round of stars that may be similar, and what is left of ``placed``.
+
+    A signature's ``stars`` least members meet all its members of other components; rows
+    that share an earlier signature have their meeting there.
+    """
+    first = placed.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("place") <= stars).drop("place")
+    x = first.select(*(F.col(c).alias(f"x_{c}") for c in first.columns))
+    y = placed.select(*(F.col(c).alias(f"y_{c}") for c in placed.columns))
+    earlier = ", ".join(f"{{0}}_k{i}" for i in range(1, REMEMBERED + 1))
+    apart = " + ".join(f"bit_count(x_{q} ^ y_{q})" for q in _Q)
+    near = (
+        f"x_key = y_key AND x_rep < y_rep AND x_label != y_label AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
+        f" AND {apart} <= {_bound('x_n', 'y_n', percent)} AND NOT arrays_overlap(array({earlier.format('x')}), array({earlier.format('y')})) IS TRUE"
+    )
+    pairs = x.join(y, F.expr(near)).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
+    done = first.groupBy("key").agg(F.max("rep").alias("last"))
+    return pairs, placed.join(done, "key").where("rep > last").drop("last")
+
+
+def _undecided(placed: DataFrame) -> DataFrame:
+    """The rows of signatures whose members are of several components."""
+    split = placed.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
+    return placed.join(split.select("key"), "key", "left_semi")
+
+
 def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     scratch = Scratch(docs.sparkSession, "ngram_join")
     members = scratch.write(shared_signatures(signature_rows(docs, text, words, percent)), "members")
-    sets = set_table(docs, text, words)
-    sets = scratch.write(sets, "sets")
+    sets = scratch.write(set_table(docs, text, words), "sets")
     # Equal sets are one class, named by its least document; a doc_id with several sets joins their classes.
-    same = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "print").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("held"))
-    nodes = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").join(same, ["n_shingles", "print"])
-    nodes = scratch.write(nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "print", "rep", *_P).distinct(), "nodes")
-    loops = nodes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-
-    pivots = members.groupBy("key").agg(F.min("doc").alias("pivot"))
-    pairs = members.join(pivots, "key").where("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
-    asked = scratch.write(_open_pairs(pairs, nodes, percent), "asked0")
-    edges = scratch.write(verified(asked, docs, text, words, percent), "links0")
-    labels = components(edges.unionAll(loops), scratch, "stars0_")
-
-    # The exact rest: members of a signature whose documents are in different components.
-    half = [f"q{i}" for i in range(SKETCH // 2)]
-    folded = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(half)]
-    known = nodes.join(labels, F.col("doc") == F.col("node"), "left").select("doc", "rep", "n", F.coalesce("component", "doc").alias("label"), *folded)
-    split = members.join(known.select("doc", "label"), "doc").groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
-    placed = members.join(split.select("key"), "key", "left_semi").join(known, "doc").drop("doc").distinct()
-    placed = scratch.write(placed, "placed")
-    if placed.take(1):
-        x = placed.select("key", *(F.col(c).alias(f"x_{c}") for c in ("rep", "label", "n", *half)))
-        y = placed.select("key", *(F.col(c).alias(f"y_{c}") for c in ("rep", "label", "n", *half)))
-        apart = " + ".join(f"bit_count(x_{q} ^ y_{q})" for q in half)
-        near = f"x_label < y_label AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n) AND {apart} <= {_bound('x_n', 'y_n', percent)}"
-        rest = x.withColumnRenamed("key", "xk").join(y, F.expr(f"xk = key AND {near}"))
-        rest = rest.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-        rest = _open_pairs(rest, nodes, percent).join(asked, ["a", "b"], "left_anti")
-        rest = scratch.write(rest, "asked1")
-        more = scratch.write(verified(rest, docs, text, words, percent), "links1")
-        if more.take(1):
-            labels = components(edges.unionAll(more).unionAll(loops), scratch, "stars1_")
+    filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    same = filled.groupBy("n_shingles", "print", "print2").agg(F.min("doc_id").alias("rep"))
+    nodes = filled.join(same, ["n_shingles", "print", "print2"])
+    nodes = scratch.write(nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "rep", *_P, "sketch").distinct(), "nodes")
+    links = nodes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    # One row of each class; a doc_id with several sets may have other rows of the same doc.
+    classes = nodes.where("doc = rep")
+    largest = nodes.agg(F.max("n")).first()[0] or 1
+
+    folded = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
+    known = classes.select("rep", "n", *folded)
+    placed = scratch.write(_met(members, nodes, Bands(int(largest), percent).leave).join(known, "rep").withColumn("label", F.col("rep")), "placed")
+    scratch.drop("members")
+    labels = components(links, scratch, "copies_")
+    stars, step = STARS, 0
+    while placed.take(1):
+        pairs, rest = _round(placed, stars, percent)
+        asked = scratch.write(_open_pairs(pairs, classes, percent), f"asked{step}")
+        found = scratch.write(verified(asked, docs, text, words, percent), f"links{step}")
+        if found.take(1):
+            links = links.unionAll(found)
+            labels = components(links, scratch, f"stars{step}_")
+            rest = rest.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+        placed = scratch.write(_undecided(rest), f"placed{step}")
+        scratch.drop(f"placed{step - 1}" if step else "placed")
+        stars, step = stars * MORE_STARS, step + 1
     found = sets.join(labels, F.col("doc_id") == F.col("node"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def _open_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of class representatives that differ and that size and sketch allow to be similar."""
-    left = nodes.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("rep").alias("ra"), *(F.col(p).alias(f"a_{p}") for p in _P))
-    right = nodes.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("rep").alias("rb"), *(F.col(p).alias(f"b_{p}") for p in _P))
-    apart = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in _P)
-    near = f"ra != rb AND 100 * least(na, nb) >= {percent} * greatest(na, nb) AND {apart} <= {_bound('na', 'nb', percent)}"
-    near = pairs.join(left, "a").join(right, (pairs["b"] == right["b"]) & F.expr(near))
-    return near.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()

@@ -1,7 +1,9 @@
+import random
 import re
 
 import numpy as np
 import pyspark.sql.functions as F
+import pytest
 
 from quantloom.llm import ngram_join
 from quantloom.llm.components import components
@@ -19,11 +21,11 @@ def ngrams(text, n=4):
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def brute(rows):
+def brute(rows, n=4, percent=85):
     nodes = {}
     for doc, text in rows:
         if doc is not None:
-            nodes.setdefault(doc, []).append(ngrams(text))
+            nodes.setdefault(doc, []).append(ngrams(text, n))
     label = {d: d for d in nodes}
 
     def root(x):
@@ -34,10 +36,10 @@ def brute(rows):
     ids = sorted(nodes)
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
-            if any(x & y and 100 * len(x & y) >= 85 * len(x | y) for x in nodes[a] for y in nodes[b]):
+            if any(x & y and 100 * len(x & y) >= percent * len(x | y) for x in nodes[a] for y in nodes[b]):
                 ra, rb = sorted((root(a), root(b)))
                 label[rb] = ra
-    return sorted(((d, len(ngrams(t)), root(d) if d is not None else None) for d, t in rows), key=str)
+    return sorted(((d, len(ngrams(t, n)), root(d) if d is not None else None) for d, t in rows), key=str)
 
 
 def test_equals_brute_force(make, corpus):
@@ -72,11 +74,55 @@ def test_every_similar_pair_shares_a_signature():
                 continue
             a, b = np.unique(a), np.unique(b)
             row = np.repeat([0, 1], [len(a), len(b)])
-            at, keys = ngram_join.signatures(row, np.concatenate([a, b]), np.array([len(a), len(b)]), bands)
+            at, keys, _ = ngram_join.signatures(row, np.concatenate([a, b]), np.array([len(a), len(b)]), bands)
             missed += not set(keys[at == 0]) & set(keys[at == 1])
     assert missed == 0
 
 
+def test_long_sketches_bound_the_difference_from_below():
+    rng = np.random.default_rng(9)
+    for n, m, common in [(3, 3, 2), (200, 260, 150), (500, 530, 480), (3000, 2000, 1900), (5, 4000, 5)]:
+        both = rng.integers(0, 1 << 63, n + m - common, dtype=np.uint64)
+        a, b = both[:n], both[n - common :]
+        x, y = (ngram_join.long_parities(np.zeros(len(v), np.int64), v, np.array([len(v)]))[0] for v in (a, b))
+        assert ngram_join.bits_apart(x, x) == 0
+        assert ngram_join.bits_apart(x, y) == ngram_join.bits_apart(y, x) <= n + m - 2 * common
+
+
+def crowd(seed, groups=6, members=14, length=130):
+    """Groups of variants of one text, most of them less alike than the threshold but under common signatures,
+    and in every text a passage that all texts share."""
+    rng = random.Random(seed)
+    shared = [f"s{i}" for i in range(14)]
+    rows = []
+    for g in range(groups):
+        base = [f"g{g}w{i}" for i in range(length)]
+        for m in range(members):
+            words = list(base)
+            start = rng.randrange(length // 2)
+            for i in range(start, start + rng.choice([3, 10, 20, 25, 30, 35])):  # one run, so that signatures beside it stay
+                words[i] = f"v{g}x{m}y{i}"
+            rows.append((len(rows) * 3 + 1, " ".join(words + shared)))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("words,percent,seed", [(4, 85, 1), (5, 80, 2)])
+def test_crowds_under_one_signature(make, words, percent, seed):
+    rows = crowd(seed)
+    found = sorted(map(tuple, ngram_join.similar_documents(make(rows), words=words, percent=percent).collect()), key=str)
+    assert found == brute(rows, words, percent)
+    assert len(rows) > len({r[2] for r in found}) > 12  # some are linked, many are not
+
+
+def test_a_doc_id_with_several_texts_joins_their_groups(make):
+    texts = [" ".join(f"{k}{i}" for i in range(40)) for k in "abc"]
+    rows = [(7, texts[0]), (7, texts[1]), (3, texts[1]), (9, texts[0]), (5, texts[2]), (6, None), (6, texts[2] + " more")]
+    found = sorted(map(tuple, ngram_join.similar_documents(make(rows)).collect()), key=str)
+    assert found == brute(rows)
+    assert {r[0]: r[2] for r in found} == {7: 3, 3: 3, 9: 3, 5: 5, 6: 5}
+
+
 def test_empty_table(make):
     assert ngram_join.similar_documents(make([(1, "x")]).where("false")).collect() == []
 
