@@ -16,30 +16,60 @@ repeated rows give repeated results; an empty table gives an empty result; only
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import text_bytes
+from quantloom.llm.common import Texts, steps, text_bytes
 
-#: Encoded stretches and pieces and judged pairs that a Python worker keeps; beyond that
-#: many the table starts anew.
-CACHE_PIECES, KEPT_PIECES, KEPT_PAIRS = 300_000, 200_000, 1_000_000
-#: White space in Unicode.  A place after another character and before one of these is
-#: a boundary of pieces whatever stands around it, because no piece has white space
-#: behind other characters and patterns look ahead past white space only.
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-stretches = re.compile(f"[{_WHITE}]*[^{_WHITE}]+|[{_WHITE}]+").findall
+#: Bytes of encoded stretches that a Python worker keeps, about, and judged pairs of
+#: tokens (about 130 bytes each); beyond that the table starts anew.
+KEPT_BYTES, KEPT_PAIRS = 24 << 20, 200_000
+#: White space of one byte, and the rest of Unicode's: two or three bytes.
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_WIDE_WHITE = [chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+def white_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    white = _WHITE[data]
+    for lead in sorted({x[0] for x in _WIDE_WHITE}):
+        at = np.flatnonzero(data == lead)
+        if len(at):
+            for char in (x for x in _WIDE_WHITE if x[0] == lead):
+                found = at[at + len(char) <= len(data)]
+                for i, byte in enumerate(char[1:], 1):
+                    found = found[data[found + i] == byte]
+                for i in range(len(char)):
+                    white[found + i] = True
+    return white
+
+
+def stretches(part: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the stretches, and for each row the range of its stretches.
+
+    A place after another character and before white space is a boundary of pieces
+    whatever stands around it, because no piece has white space behind other characters
+    and patterns look ahead past white space only.  A stretch is what lies between two.
+    """
+    white = white_space(part.data)
+    cut = np.zeros(len(white) + 1, bool)
+    cut[1:-1] = white[1:] & ~white[:-1]
+    cut[part.bounds] = True
+    places = np.flatnonzero(cut)
+    starts, ends = places[:-1], places[1:]
+    return starts, ends, np.searchsorted(starts, part.bounds)
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
     """The ranks of a tiktoken file: base64 token, space, rank on each line."""
     with open(path, "rb") as lines:
@@ -50,7 +80,10 @@ class PrefixBPE:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.tokens = ranks, {rank: token for token, rank in ranks.items()}
+        self.ranks = ranks
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
         self.pieces = regex.compile(pattern).finditer
         self.longest = max(map(len, ranks))
@@ -60,7 +93,11 @@ class PrefixBPE:
             self.matcher.add_word(token.decode("latin-1"), (len(token), rank))
         self.matcher.make_automaton()
         self.valid: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.halves: dict[int, tuple[int, int] | None] = {}
+        #: What tokens decode to, and their decimal form with a blank behind.
+        self.bytes_of = pa.array(self.tokens, pa.large_binary())
+        self.decimal_of = pa.array([b"%d " % i for i in range(len(self.tokens))], pa.large_binary())
+        self.kept = Stretches(self)
 
     def merged(self, text: bytes) -> list[bytes]:
         """The encoding of a short text by its definition: merge the lowest rank first."""
@@ -72,14 +109,50 @@ class PrefixBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def parts_of(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes the token; none for a byte or what merging never makes."""
+        if token not in self.halves:
+            text, found = self.tokens[token], None
+            parts = [text[i : i + 1] for i in range(len(text))]
+            while len(parts) > 2:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], len(self.tokens)), i) for i in range(len(parts) - 1))
+                if rank >= token:
+                    break
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            if len(parts) == 2:
+                found = self.ranks[parts[0]], self.ranks[parts[1]]
+            self.halves[token] = found
+        return self.halves[token]
+
     def follows(self, left: int, right: int) -> bool:
-        """Whether encoding the two tokens' bytes gives the two again (left -1: the start)."""
-        parts = [self.tokens[right]] if left < 0 else [self.tokens[left], self.tokens[right]]
+        """Whether encoding the two tokens' bytes gives the two again (left -1: the start).
+
+        The halves at the boundary are undone from the last merge to the first.  If
+        what then meets there merges before the merge just undone, the boundary is lost.
+        Of equal ranks the one to the left merges first.
+        """
         if len(self.valid) >= KEPT_PAIRS:
             self.valid.clear()
-        found = self.valid[left << 32 | right] = self.merged(b"".join(parts)) == parts
+        found = self.valid[left << 32 | right] = self._follows(left, right)
         return found
 
+    def _follows(self, left: int, right: int) -> bool:
+        if any(len(self.tokens[x]) > 1 and self.parts_of(x) is None for x in (left, right) if x >= 0):
+            return False  # no text is encoded to a token that merging never makes
+        if left < 0:
+            return True
+        ranks, tokens, before = self.ranks, self.tokens, len(self.tokens)
+        while True:
+            if ranks.get(tokens[left] + tokens[right], before) < before:
+                return False
+            halves = (self.parts_of(left), self.parts_of(right))
+            if halves[0] and (left > right or not halves[1]):
+                before, left = left, halves[0][1]
+            elif halves[1]:
+                before, right = right + 1, halves[1][0]
+            else:
+                return True
+
     def extend(self, text: bytes, last: list[int]) -> list[int]:
         """Adds to ``last`` (which starts as [-1]) the entries of the prefixes it lacks."""
         done, valid = len(last), self.valid.get
@@ -107,20 +180,76 @@ class PrefixBPE:
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.split(text):
-            found = self.known.get(piece)
-            if found is None:
-                found = self.encode_piece(piece.encode())
-                if len(piece) <= 64:
-                    if len(self.known) >= KEPT_PIECES:
-                        self.known.clear()
-                    self.known[piece] = found
-            out += found
+            out += self.encode_piece(piece.encode())
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Stretches:
+    """The ids of the stretches met so far, found by hash; texts are put together from them."""
+
+    def __init__(self, bpe: PrefixBPE):
+        self.bpe = bpe
+        self._reset()
+
+    def _reset(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.starts = self.sizes = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _add(self, part: Texts, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        data = part.data.tobytes()
+        found = [self.bpe.encode(data[i:j].decode("utf-8", "replace")) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        begin = len(self.ids) + np.cumsum(sizes) - sizes
+        self.ids = np.concatenate([self.ids, np.fromiter((x for ids in found for x in ids), np.int32, int(sizes.sum()))])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.starts, self.sizes = (np.insert(x, at, y) for x, y in ((self.hashes, hashes), (self.starts, begin), (self.sizes, sizes)))
+
+    def encode(self, part: Texts) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The ids of some texts, the bounds of each text's ids, and the tokens' bytes."""
+        if self.ids.nbytes + 3 * self.hashes.nbytes > KEPT_BYTES:
+            self._reset()
+        starts, ends, ranges = stretches(part)
+        distinct, first, place = np.unique(part.hash_spans(starts, ends), return_index=True, return_inverse=True)
+        at = np.searchsorted(self.hashes, distinct)
+        new = np.ones(len(distinct), bool)
+        new[at < len(self.hashes)] = self.hashes[at[at < len(self.hashes)]] != distinct[at < len(self.hashes)]
+        if new.any():
+            self._add(part, distinct[new], starts[first[new]], ends[first[new]])
+            at = np.searchsorted(self.hashes, distinct)
+        sizes = self.sizes[at][place]
+        total = np.zeros(len(sizes) + 1, np.int64)
+        np.cumsum(sizes, out=total[1:])
+        ids = self.ids[np.repeat(self.starts[at][place] - total[:-1], sizes) + np.arange(total[-1])]
+        bounds = total[ranges]
+        tokens = self.bpe.bytes_of.take(pa.array(ids))
+        decoded, offsets = _content(tokens)
+        if not np.array_equal(decoded, part.data):  # invalid UTF-8, or hashes that met by chance
+            return self._one_by_one(part, ids, bounds, decoded, offsets)
+        return ids, bounds, tokens
+
+    def _one_by_one(self, part: Texts, ids: np.ndarray, bounds: np.ndarray, decoded: np.ndarray, offsets: np.ndarray):
+        rows = []
+        for i, (a, b) in enumerate(zip(part.bounds[:-1], part.bounds[1:], strict=True)):
+            if np.array_equal(decoded[offsets[bounds[i]] : offsets[bounds[i + 1]]], part.data[a:b]):
+                rows.append(ids[bounds[i] : bounds[i + 1]])
+            else:
+                rows.append(np.array(self.bpe.encode(part.data[a:b].tobytes().decode("utf-8", "replace")), np.int32))
+        ids = np.concatenate(rows)
+        return ids, np.cumsum([0, *map(len, rows)]), self.bpe.bytes_of.take(pa.array(ids))
+
+
+def _content(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column's values, one behind the other, and their bounds."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    every = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return every[: bounds[-1]], bounds
+
+
 class Encoded:
     """A text with its pieces' prefix tables, open to exact appends and edits."""
 
@@ -175,34 +304,16 @@ def encoder(path: str, pattern: str) -> PrefixBPE:
     return PrefixBPE(load_ranks(path), pattern)
 
 
-def _texts(column: pa.Array) -> Iterator[str]:
-    for value in column:
-        yield value.as_py().decode("utf-8", "replace")
-
-
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of each whole text; map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path, pattern)
-        cache: dict[str, list[int]] = {}
+        kept = encoder(path, pattern).kept
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = []
-                for value in _texts(part.column(1)):
-                    if len(cache) > CACHE_PIECES:
-                        cache.clear()
-                    row: list[int] = []
-                    for stretch in stretches(value):
-                        found = cache.get(stretch)
-                        if found is None:
-                            found = bpe.encode(stretch)
-                            if len(stretch) <= 64:
-                                cache[stretch] = found
-                        row += found
-                    ids.append(row)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            for part in steps(batch.column(1)):
+                ids, bounds, _ = kept.encode(part)
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first_row, part.rows), lists], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -219,36 +330,28 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
+def _digests(column: pa.Array, bounds: np.ndarray, less: int = 0) -> list[str]:
+    """Of each range of values the digest of their bytes (without the last ``less`` ones, if there are any)."""
+    data, offsets = _content(column)
+    ends = offsets[bounds].tolist()
+    return [sha256(data[a : max(a, b - less)]).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of what they decode to.
 
-    Encoding and decoding share a pass, so neither ids nor texts are shuffled.  The
-    cache keeps each stretch's ids together with their decimal form.
+    Encoding and decoding share a pass, so neither ids nor texts are shuffled.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path, pattern)
-        cache: dict[str, tuple[bytes, int, bytes]] = {}
         for batch in batches:
-            counts, ids_digests, text_digests = [], [], []
-            for value in _texts(batch.column(1)):
-                if len(cache) > CACHE_PIECES:
-                    cache.clear()
-                row = []
-                for stretch in stretches(value):
-                    found = cache.get(stretch)
-                    if found is None:
-                        ids = bpe.encode(stretch)
-                        found = (" ".join(map(str, ids)).encode(), len(ids), bpe.decode(ids))
-                        if len(stretch) <= 64:
-                            cache[stretch] = found
-                    row.append(found)
-                counts.append(sum([x[1] for x in row]))
-                ids_digests.append(sha256(b" ".join([x[0] for x in row])).hexdigest())
-                text_digests.append(sha256(b"".join([x[2] for x in row])).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            for part in steps(batch.column(1)):
+                ids, bounds, tokens = bpe.kept.encode(part)
+                decimal = bpe.decimal_of.take(pa.array(ids))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(part.first_row, part.rows), pa.array(np.diff(bounds)), pa.array(_digests(decimal, bounds, 1), pa.string()), pa.array(_digests(tokens, bounds), pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, _SCHEMA)
