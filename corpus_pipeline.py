@@ -19,9 +19,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that have a language; ``und`` goes.  A document without doc_id goes too."""
-    found = language_id.annotate(docs, language_id.gather(language_id.learn(docs.where(~language_id.held_out()))))
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(docs.columns)
+    """Keeps the documents that have a language, with or without a doc_id; ``und`` goes."""
+    model = language_id.gather(language_id.learn(docs.where(~language_id.held_out())))
+    return docs.where(language_id.language(docs, model) != language_id.UNKNOWN)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
