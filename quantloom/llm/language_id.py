@@ -19,16 +19,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+
+from quantloom.llm.common import Scratch
 
 UNKNOWN = "und"
 #: n-grams in a language's profile and in a document's.
 PROFILE, OWN = 1000, 400
-#: Languages up to which the profiles (16 bytes an n-gram) are shipped to the tasks.
+#: Languages up to which the profiles are shipped to the tasks; more are an error.
 MAX_LANGUAGES = 2000
-_BITS = np.uint64(21)
+_BITS, _BLANK = np.uint64(21), np.uint64(1)
 
 
 @lru_cache(maxsize=1)
@@ -44,14 +45,14 @@ def _fold() -> np.ndarray:
 
 
 def letters(text: str) -> np.ndarray:
-    """Folded code points, 0 at the start, the end and once between words."""
+    """Folded code points, 1 at the start, the end and once between words."""
     codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
     folded = np.zeros(len(codes) + 2, np.uint64)
     folded[1:-1] = _fold()[codes]
     keep = folded != 0
     keep[1:] |= folded[:-1] != 0
     keep[0] = True
-    return folded[keep]
+    return np.maximum(folded[keep], _BLANK)
 
 
 def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +62,7 @@ def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     pairs = c[:-1] << _BITS | c[1:]
     triples = pairs[:-1] << _BITS | c[2:]
-    grams = np.concatenate([c[c != 0], pairs, triples[c[1:-1] != 0]])
+    grams = np.concatenate([c[c != _BLANK], pairs, triples[c[1:-1] != _BLANK]])
     return np.unique(grams, return_counts=True)
 
 
@@ -118,7 +119,8 @@ def learn(training: DataFrame, text: str = "text", lang: str = "lang", size: int
     counts = rows.select(F.col(lang).cast("string"), F.col(text).cast("binary")).mapInArrow(_count, "lang string, gram long, n long")
     counts = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < size).drop("n")
+    counts = counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)
+    return counts.select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 def gather(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -126,6 +128,7 @@ def gather(profiles: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     Bounded by languages times the profile's length, which is checked.
     """
+    profiles = Scratch(profiles.sparkSession, "language_id").write(profiles, "profiles")
     languages = [r[0] for r in profiles.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -160,25 +163,32 @@ def _predictor(model: tuple[list[str], np.ndarray, np.ndarray], own: int):
     return of
 
 
-def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", own: int = OWN) -> DataFrame:
-    """All columns of docs with lang_pred and score (columns of these names are replaced).
+def predictor(spark: SparkSession, model: tuple[list[str], np.ndarray, np.ndarray], own: int = OWN):
+    """A function from a text column to a struct of lang_pred and score.
 
-    Only the text decides.  score is 1 - distance / (the distance of a text that shares
-    no n-gram).  Map-only.
+    Only the text goes to Python, in Arrow batches.  score is 1 - distance / (the distance
+    of a text that shares no n-gram).
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select([c for c in docs.columns if c not in ("lang_pred", "score")])
-    place = kept.columns.index(text)
-    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = _predictor(shared.value, own)
-        for batch in batches:
-            found = [(UNKNOWN, 0.0) if x.as_py() is None else of(x.as_py()) for x in batch.column(place)]
-            names, scores = pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, names, scores], names=[*batch.schema.names, "lang_pred", "score"])
-
-    return kept.mapInArrow(run, schema)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double")
+    def of(texts: pa.Array) -> pa.Array:
+        one = _predictor(shared.value, own)
+        found = [(UNKNOWN, 0.0) if x.as_py() is None else one(x.as_py()) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["lang_pred", "score"])
+
+    return of
+
+
+def language(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", own: int = OWN) -> Column:
+    """The predicted language of each row of docs, as a column."""
+    return predictor(docs.sparkSession, model, own)(F.col(text).cast("string"))["lang_pred"]
+
+
+def annotate(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", own: int = OWN) -> DataFrame:
+    """All columns of docs with lang_pred and score (columns of these names are replaced)."""
+    found = docs.withColumn("lang_pred", predictor(docs.sparkSession, model, own)(F.col(text).cast("string")))
+    return found.withColumns({"score": F.col("lang_pred.score"), "lang_pred": F.col("lang_pred.lang_pred")})
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text: str = "text", own: int = OWN) -> DataFrame:

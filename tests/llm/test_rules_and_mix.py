@@ -109,6 +109,55 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert sum(r.lang_pred == lang[r.doc_id] for r in tested) >= 0.95 * len(tested) > 0
 
 
+def brute_languages(rows):
+    """Predictions with dictionaries and sorting only."""
+
+    def grams(text):
+        folded, out = [None], Counter()
+        for char in text:
+            if char.isalpha():
+                low = char.lower()
+                folded.append(low if len(low) == 1 and low.isalpha() else char)
+            elif folded[-1] is not None:
+                folded.append(None)
+        if folded[-1] is not None:
+            folded.append(None)
+        for n in (1, 2, 3):
+            for i in range(len(folded) - n + 1):
+                gram = folded[i : i + n]
+                if (n > 1 or gram[0]) and (n < 3 or gram[1]):
+                    out[tuple(1 if c is None else ord(c) for c in gram)] += 1
+        return out
+
+    def ranked(counts, size):
+        best = sorted(counts, key=lambda g: (-counts[g], len(g), g))[:size]
+        return {g: i for i, g in enumerate(best)}
+
+    learned = {}
+    for doc, text, lang in rows:
+        if text is not None and lang is not None and not (doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2):
+            learned.setdefault(lang, Counter()).update(grams(text))
+    profiles = {lang: ranked(counts, language_id.PROFILE) for lang, counts in learned.items() if counts}
+    size = max(map(len, profiles.values()))
+    out = []
+    for doc, text, _ in rows:
+        own = ranked(grams(text or ""), language_id.OWN)
+        far = {lang: sum(min(abs(ranks[g] - i), size) if g in ranks else size for g, i in own.items()) for lang, ranks in profiles.items()}
+        lang = min(far, key=lambda x: (far[x], x)) if own else "und"
+        out.append((doc, lang, 1 - far[lang] / (size * len(own)) if own else 0.0))
+    return out
+
+
+def test_languages_equal_brute_force(make, spark, sf_dir):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    twin = "zwei gleiche Profile hier " * 4  # two languages at the same distance: the first by name
+    rows += [(5000 + i, twin, "zb" if i % 2 else "za") for i in range(40)] + [(6000, "zwei gleiche", None), (6000, "zwei gleiche", None)]
+    rows += [(6001, "ǅ İstanbul ß", "en"), (6002, "語" * 30, None), (6003, ("very long text é " * 90_000), None), (6004, " 1 ", "fr"), (None, "the and", None)]
+    found = sorted(((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language_id.identify(make(rows)).collect()), key=str)
+    assert found == sorted(((d, x, round(y, 9)) for d, x, y in brute_languages(rows)), key=str)
+    assert {x for d, x, _ in found if d == 6000} == {"za"}
+
+
 def base(text):
     text, out = text or "", []
     for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
