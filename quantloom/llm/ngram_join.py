@@ -15,7 +15,7 @@ stands for.
 No group of equal signatures is turned into all its pairs.  Each task links its own rows
 of a signature to their least and sends one of them on, so a signature that a third of
 all rows have costs a shuffle one row a task.  Then a signature's members are compared in
-rounds of stars: with its least one, then with the next few, and so on, four times as many
+rounds of stars: with its least one, then with the next few, and so on, some times as many
 each round.  After a round its centres have met everyone and leave, verified links join
 documents to components, and a signature whose members are all of one component is done.
 Two documents that share several signatures meet under the first.
@@ -46,8 +46,8 @@ BAND_RATIO = 1.5
 CHUNK_ROWS = 1 << 20
 #: Members of a signature up to which it is not worth leaving out.
 UNPOPULAR = 4
-#: Centres of each signature in the first round of stars, and how much more in each next.
-STARS, MORE_STARS = 1, 4
+#: Centres of each signature in the second round of stars (the first has one), and how many times more in each next.
+STARS, MORE_STARS = 4, 8
 #: Signatures that a row remembers, to meet each partner once.
 REMEMBERED = 4
 
@@ -359,19 +359,19 @@ def _open_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return met.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_screen(percent), "a long, b long")
 
 
-def _met(members: DataFrame, nodes: DataFrame, leave: list[int]) -> DataFrame:
-    """key, rep and the row's earlier keys k1, k2, ... of what the classes keep of their signatures.
+def _placed(met: DataFrame, leave: list[int]) -> DataFrame:
+    """Of rows with key, band and rep what the classes keep, with each row's earlier keys k1, k2, ...
 
     Each class leaves out its ``leave[band]`` most popular signatures of a band.
     """
-    held = members.join(nodes.select("doc", "rep"), "doc").select("key", "band", "rep").distinct()
-    popular = held.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    held = held.join(popular, "key").repartition("rep")
+    met = met.distinct()
+    popular = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    met = met.join(popular, "key").repartition("rep")
     by_popularity = Window.partitionBy("rep", "band").orderBy(F.desc("m"), "key")
     allowed = F.element_at(F.array(*map(F.lit, leave)), F.col("band").cast("int") + 1)
-    held = held.withColumn("place", F.row_number().over(by_popularity)).where((F.col("m") <= UNPOPULAR) | (F.col("place") > allowed))
+    met = met.withColumn("place", F.row_number().over(by_popularity)).where((F.col("m") <= UNPOPULAR) | (F.col("place") > allowed))
     by_key = Window.partitionBy("rep").orderBy("key")
-    return held.select("key", "rep", *(F.lag("key", i).over(by_key).alias(f"k{i}") for i in range(1, REMEMBERED + 1)))
+    return met.drop("band", "m", "place").withColumns({f"k{i}": F.lag("key", i).over(by_key) for i in range(1, REMEMBERED + 1)})
 
 
 def _round(placed: DataFrame, stars: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -415,22 +415,36 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     classes = nodes.where("doc = rep")
     largest = nodes.agg(F.max("n")).first()[0] or 1
 
-    folded = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
-    known = classes.select("rep", "n", *folded)
-    placed = scratch.write(_met(members, nodes, Bands(int(largest), percent).leave).join(known, "rep").withColumn("label", F.col("rep")), "placed")
+    met = scratch.write(members.join(nodes.select("doc", "rep"), "doc").select("key", "band", "rep"), "met")
     scratch.drop("members")
-    labels = components(links, scratch, "copies_")
-    stars, step = STARS, 0
-    while placed.take(1):
-        pairs, rest = _round(placed, stars, percent)
+    centres = met.groupBy("key").agg(F.min("rep").alias("a"))
+    pairs = met.join(centres, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
+
+    def linked(pairs: DataFrame, links: DataFrame, step: int) -> tuple[DataFrame, bool]:
+        """The links so far with what the pairs add, and whether they add any."""
         asked = scratch.write(_open_pairs(pairs, classes, percent), f"asked{step}")
         found = scratch.write(verified(asked, docs, text, words, percent), f"links{step}")
-        if found.take(1):
-            links = links.unionAll(found)
+        return (links.unionAll(found), True) if found.take(1) else (links, False)
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+
+    links, _ = linked(pairs, links, 0)
+    labels = components(links, scratch, "stars0_")
+    folded = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
+    met = _undecided(labelled(met)).drop("label")
+    placed = _placed(met, Bands(int(largest), percent).leave).join(classes.select("rep", "n", *folded), "rep")
+    placed = scratch.write(labelled(placed), "placed0")
+    scratch.drop("met")
+    stars, step = STARS, 1
+    while placed.take(1):
+        pairs, rest = _round(placed, stars, percent)
+        links, more = linked(pairs, links, step)
+        if more:
             labels = components(links, scratch, f"stars{step}_")
-            rest = rest.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+            rest = labelled(rest.drop("label"))
         placed = scratch.write(_undecided(rest), f"placed{step}")
-        scratch.drop(f"placed{step - 1}" if step else "placed")
+        scratch.drop(f"placed{step - 1}")
         stars, step = stars * MORE_STARS, step + 1
     found = sets.join(labels, F.col("doc_id") == F.col("node"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
