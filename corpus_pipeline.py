@@ -25,11 +25,13 @@ def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the later documents; a document left without a word goes."""
-    rest = line_dedup.remaining(docs)
-    emptied = (F.col("lines_gone") > 0) & ~F.col("text").rlike(mixing.WORD)
-    rest = rest.where(~emptied)
-    return rest.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else rest.select(docs.columns)
+    """Takes repeated lines out of the later documents; a document left without a word goes.
+
+    n_chars of a shortened text is counted anew; all else stays as it is.
+    """
+    found = line_dedup.trimmed(docs).where((F.col("lines_gone") == 0) | F.col("rest").rlike(mixing.WORD))
+    new = {"text": F.col("rest"), "n_chars": F.when(F.col("lines_gone") > 0, F.length("rest")).otherwise(F.col("row.n_chars"))}
+    return found.select(*(new.get(c, F.col("row").getField(c)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
