@@ -8,8 +8,9 @@ bits, until single hash values remain.  Thresholds of growing budgets are nested
 document is ever sorted, and a rerun takes the same documents.
 
 Defined cases: a null text has size 0; documents with a null source form a source that
-comes last; rows with the same doc_id have the same hash and are taken together; an
-empty table gives an empty result; other columns of the input are not read.
+comes last; rows with the same doc_id have the same hash and are taken together, and rows
+without one are taken by their text's hash; an empty table gives an empty result; other
+columns of the input are not read and pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +29,9 @@ MAX_REPEATS = 2
 LEVELS, LEVEL_BITS = 4, 15
 
 
-def _hash():
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+def _hash(text: str):
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(":"), F.col(text).cast("string")), F.lit(""))
+    digest = F.md5(name.cast("binary"))
     return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
 
@@ -39,7 +41,7 @@ def sized(docs: DataFrame, text: str = "text", source: str = "source") -> DataFr
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        _hash().alias("hash"),
+        _hash(text).alias("hash"),
     )
 
 
@@ -73,7 +75,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: fl
     )
 
 
-def thresholds(sizes: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits: int = LEVEL_BITS) -> DataFrame:
+def thresholds(sizes: DataFrame, budgets: DataFrame, scratch: Scratch, levels: int = LEVELS, bits: int = LEVEL_BITS) -> DataFrame:
     """source, threshold: documents whose hash is below it hold about ``rest`` words.
 
     ``budgets`` has source and rest.  The last document at the boundary is taken if
@@ -81,6 +83,8 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, levels: int = LEVELS, bits:
     """
     state = budgets.select(F.col("source").alias("of"), F.col("rest").cast("double").alias("rest"), F.lit(0).cast("long").alias("prefix"))
     for level in range(1, levels + 1):
+        # One row a source, written so that no level plans the ones before it again.
+        state = scratch.write(state.select("of", "rest", "prefix"), f"state{level}")
         shift = bits * (levels - level)
         wide = 1 << bits
         inside = sizes.join(state, F.col("source").eqNullSafe(F.col("of")) & (F.shiftright("hash", shift + bits) == F.col("prefix")))
@@ -106,7 +110,7 @@ def _cuts(sizes: DataFrame, scratch: Scratch, weights: Sequence[int], share: flo
     targets = targets.withColumn("whole", whole.cast("long"))
     budgets = targets.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     return scratch.write(
-        budgets.join(thresholds(sizes, budgets), F.col("source").eqNullSafe(F.col("of")), "left").select(
+        budgets.join(thresholds(sizes, budgets, scratch), F.col("source").eqNullSafe(F.col("of")), "left").select(
             F.col("source").alias("of"), "source_size", "target", "whole", F.when(F.col("rest") > 0, F.col("threshold")).otherwise(0).alias("threshold")
         ),
         "cuts",
@@ -121,16 +125,14 @@ def mixed(
 ) -> DataFrame:
     """The rows of docs as the mix takes them: each as often as it is taken.
 
-    A text without words costs nothing and is taken as a text of its hash would be.  The
-    names _size, _hash and those of the cuts must not occur in docs.
+    A text without words costs nothing and is taken as a text of its hash would be.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     sizes = scratch.write(sized(docs, text, source), "sizes")
-    cuts = _cuts(sizes, scratch, weights, share, repeats)
-    cuts = cuts.select(F.col("of").alias("_of"), F.col("whole").alias("_whole"), F.col("threshold").alias("_threshold"))
-    times = F.col("_whole") + F.when(_hash() < F.col("_threshold"), 1).otherwise(0)
-    joined = docs.join(cuts, F.col(source).cast("string").eqNullSafe(F.col("_of")))
-    return joined.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(docs.columns)
+    cuts = _cuts(sizes, scratch, weights, share, repeats).select("of", "whole", "threshold")
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("own"), _hash(text).alias("hash"))
+    joined = rows.join(cuts, F.col("own").eqNullSafe(F.col("of")))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), F.expr(_TIMES).cast("int")))).select("row.*")
 
 
 def mix_sources(

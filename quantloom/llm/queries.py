@@ -130,7 +130,7 @@ FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, ':' || text, '')), 1, 15))::BIGINT AS hash
   FROM documents),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

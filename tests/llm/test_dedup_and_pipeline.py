@@ -30,25 +30,61 @@ def test_patience_is_a_common_subsequence():
     assert len(line_dedup.patience([1, 2, 3, 4], [9, 2, 3, 8])) == 2
 
 
-def brute_lines(rows):
-    """Positions gone of each document, by the operator's rules and without Spark."""
-    texts = {d: t.split("\n") for d, t in rows if d is not None and t is not None}
+def aligned(a, b):
+    """Patience diff by its definition, recursively; without unique common lines the n-th equal lines are matched."""
+    if not a or not b:
+        return []
+    if a[0][1] == b[0][1]:
+        return [(a[0][0], b[0][0]), *aligned(a[1:], b[1:])]
+    if a[-1][1] == b[-1][1]:
+        return [*aligned(a[:-1], b[:-1]), (a[-1][0], b[-1][0])]
+    once = [{x: [k for k, (_, y) in enumerate(side) if y == x] for _, x in side} for side in (a, b)]
+    common = [(once[0][x][0], once[1][x][0]) for x in once[0] if len(once[0][x]) == 1 == len(once[1].get(x, ()))]
+    if not common:
+        common = [p for x in once[0] for p in zip(once[0][x], once[1].get(x, ()), strict=False)]
+    common.sort(key=lambda p: p[1])
+    best = []  # by place in b: the longest chain that ends here, the one with the least end in a first
+    for i, j in common:
+        before = [c for c in best if c[-1][0] < i]
+        best.append([*max(before, key=lambda c: (len(c), -c[-1][0]), default=[]), (i, j)])
+    if not best:
+        return []
+    chain = max(best, key=lambda c: (len(c), -c[-1][0]))
+    out, at = [], (0, 0)
+    for i, j in chain:
+        out += [*aligned(a[at[0] : i], b[at[1] : j]), (a[i][0], b[j][0])]
+        at = i + 1, j + 1
+    return out + aligned(a[at[0] :], b[at[1] :])
+
+
+def brute_lines(rows, least=8):
+    """Positions gone of each document: pairs found by comparing runs of lines as texts."""
+    texts = {}
+    for d, t in rows:
+        if d is not None and t is not None:
+            texts.setdefault(d, t.split("\n"))
     words = lambda x: len(WORD.findall(x))
-    owner, held = {}, Counter()
+    owner, runs = {}, defaultdict(set)
     for d in sorted(texts):
-        for x in set(texts[d]):
-            if words(x) >= line_dedup.LINE_WORDS:
-                owner.setdefault(x, d)
-                held[x] += 1
+        lines = texts[d]
+        for i in range(len(lines)):
+            n, j = 0, i
+            while j < len(lines) and n < least:
+                n, j = n + words(lines[j]), j + 1
+            if words(lines[i]) and n >= least:
+                runs[d].add(tuple(lines[i:j]))
+        for run in runs[d]:
+            owner.setdefault(run, d)
     gone = defaultdict(set)
-    for d in texts:
-        shared = defaultdict(list)
-        for x in set(texts[d]):
-            if x in owner and owner[x] != d:
-                shared[owner[x]].append(x)
-        for o, lines in shared.items():
-            if min(held[x] for x in lines) <= line_dedup.RARE_DOCS or sum(map(words, lines)) >= line_dedup.CROWD_WORDS:
-                gone[d] |= set(line_dedup.repeated_lines(texts[o], texts[d], [words(x) for x in texts[d]]))
+    for d, lines in texts.items():
+        for o in {owner[run] for run in runs[d]} - {d}:
+            block = []
+            for pair in [*aligned(list(enumerate(texts[o])), list(enumerate(lines))), (-9, -9)]:
+                if block and pair != (block[-1][0] + 1, block[-1][1] + 1):
+                    if sum(words(lines[j]) for _, j in block) >= least:
+                        gone[d] |= {j for _, j in block}
+                    block = []
+                block.append(pair)
     return {d: sorted(g) for d, g in gone.items() if g}
 
 
@@ -56,13 +92,28 @@ def dedup_rows():
     rows = [(1, "\n".join(line(i) for i in range(5))), (2, "new start\n" + line(1) + "\n" + line(2) + "\nnew end"), (3, "\n".join(line(i) for i in range(5)))]
     rows += [(4, "short line\nshort line"), (5, "short line"), (6, None), (7, ""), (None, line(1)), (8, line(50)), (9, line(51) + "\n" + line(0) + "\n" + line(51))]
     rows += [(20 + i, line(99) + f"\nown {i}") for i in range(120)]
+    verse = "\n".join(line(300 + i, 4) for i in range(14))
+    rows += [(200, "its title\n" + verse), (201, "another\n" + verse + "\nend"), (202, line(300, 4) + "\nx"), (203, "a\n\n" + line(301, 4) + "\n" + line(302, 4))]
+    rows += [(210, "\n".join([line(60), line(61), line(60)])), (211, "\n".join([line(61), line(60), line(60), line(61)]))]
+    rng = random.Random(8)
+    rows += [(220 + i, "\n".join(line(400 + rng.randrange(6), rng.choice([3, 9])) for _ in range(rng.randrange(12)))) for i in range(40)]
+    rows.append((300, "\n".join(line(500 + i % 70, 3) for i in range(40_000))))
     return rows
 
 
+def test_repetition_never_keeps_lines(make):
+    # Many documents hold all lines of several one-line documents: the more there are, the same goes.
+    for copies in (20, 150):
+        rows = [(i, line(700 + i)) for i in range(5)] + [(10 + i, "\n".join(line(700 + k) for k in range(5))) for i in range(copies)]
+        found = {r.doc_id: list(r.gone) for r in line_dedup.repeated(make(rows)).collect()}
+        assert found == {10 + i: [0, 1, 2, 3, 4] for i in range(copies)}
+
+
 def test_lines_equal_brute_force(make):
     rows = dedup_rows()
     found = {r.doc_id: list(r.gone) for r in line_dedup.repeated(make(rows)).collect()}
     assert found == brute_lines(rows)
+    assert found[201] == list(range(1, 15)) and 202 not in found and found[203] == [2, 3] and 211 in found
     assert found[2] == [1, 2] and found[3] == [0, 1, 2, 3, 4] and 1 not in found and 8 not in found
 
 
@@ -201,6 +252,29 @@ def test_stages_return_documents(make, spark, sf_dir, pipeline):
     assert mixing.mixed(make([(1, "x")]).where("false")).collect() == []
 
 
+CLASHING = "_of _hash _gone _copy _whole row rest whole own hash gone of of_hash text_hash size source_size target taken threshold component_id node lines_gone lines_before lang_pred print label key rep n".split()
+
+
+def test_no_stage_touches_columns_of_its_names(spark, sf_dir, pipeline):
+    texts = [" ".join(f"word{i}x{j}" for j in range(30)) for i in range(6)]
+    rows = [(i, texts[i % 6] + ("\nsame line in every one of these documents here" if i % 2 else ""), "en", f"s{i % 3}", 7, 0.25, *(f"{c}{i}" for c in CLASHING)) for i in range(9)]
+    rows.append((None, texts[0], "en", None, 7, 0.25, *(f"{c}9" for c in CLASHING)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "score", *CLASHING]
+        kept = docs.collect()
+        assert kept and all(r[c] == f"{c}{9 if r.doc_id is None else r.doc_id}" for r in kept for c in CLASHING) and {r.score for r in kept} == {0.25}
+        assert all(r.n_chars in (7, len(r.text)) for r in kept)
+    assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_rows_without_an_id_are_not_taken_as_one_block(make):
+    docs = make([(None, f"text number {i} " * 5, "en", "a") for i in range(400)] + [(i, "w " * 40, "en", "b") for i in range(400)])
+    taken = mixing.mix_sources(docs, share=0.7).groupBy("source_size").agg({"taken": "sum", "target": "max"}).collect()
+    assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 40 for r in taken)
+
+
 def test_near_duplicates_by_five_words_and_four_fifths(make, spark, sf_dir, pipeline):
     rows = []
     for i in range(12):
