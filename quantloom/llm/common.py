@@ -8,7 +8,7 @@ a word's hash does not depend on where it stands.
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,16 +25,17 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made.
+    Only in local mode (tests on one machine) a temporary folder takes its place; on a
+    cluster, where tasks would not find each other's files in one, its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return context._jsc.sc().getCheckpointDir().get().rstrip("/")
-    made = "file://" + tempfile.mkdtemp(prefix="quantloom-")
-    context.setCheckpointDir(made)
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quantloom-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -72,6 +73,12 @@ class Scratch:
     def drop(self, name: str) -> None:
         drop_path(self.spark, f"{self.root}/{name}")
 
+    def release(self) -> None:
+        """Has the shuffle files of finished steps deleted now: Spark deletes them when the
+        driver's garbage is collected, which without memory pressure is long after."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def text_bytes(column: str = "text"):
     """A string column as UTF-8 bytes, null as empty."""

@@ -404,6 +404,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     """doc_id, n_shingles, component_id of every row of docs."""
     scratch = Scratch(docs.sparkSession, "ngram_join")
     members = scratch.write(shared_signatures(signature_rows(docs, text, words, percent)), "members")
+    scratch.release()
     sets = scratch.write(set_table(docs, text, words), "sets")
     # Equal sets are one class, named by its least document; a doc_id with several sets joins their classes.
     filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -436,6 +437,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     placed = _placed(met, Bands(int(largest), percent).leave).join(classes.select("rep", "n", *folded), "rep")
     placed = scratch.write(labelled(placed), "placed0")
     scratch.drop("met")
+    scratch.release()
     stars, step = STARS, 1
     while placed.take(1):
         pairs, rest = _round(placed, stars, percent)
