@@ -147,10 +147,11 @@ def later_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     ranged = chunks(docs, text).repartitionByRange("digest", "doc_id").sortWithinPartitions("digest", "doc_id")
     found = Scratch(docs.sparkSession, "substring_dedup").write(ranged.mapInArrow(_later, _LATER), "later")
-    ends = found.where("place IS NULL").groupBy("digest").agg(F.min("owner").alias("least"))
-    settled = found.where("place IS NOT NULL AND digest IS NULL").select("doc_id", "place", "owner")
-    rest = found.where("place IS NOT NULL AND digest IS NOT NULL").join(F.broadcast(ends), "digest")  # two rows a range
-    return settled.unionAll(rest.where("doc_id != least").select("doc_id", "place", "least")).distinct()
+    ends = found.where("place IS NULL").groupBy(F.col("digest").alias("end")).agg(F.min("owner").alias("least"))
+    # At most two rows a range; a chunk that is settled has no digest and meets none of them.
+    later = found.where("place IS NOT NULL").join(F.broadcast(ends), F.col("digest") == F.col("end"), "left")
+    later = later.select("doc_id", "place", F.coalesce("least", "owner").alias("owner"))
+    return later.where("doc_id != owner").distinct()
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", span_words: int = SPAN_WORDS) -> DataFrame:

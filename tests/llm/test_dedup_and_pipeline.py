@@ -154,6 +154,46 @@ def test_substrings(make):
     assert substring_dedup.repeated_spans(make(rows).where("false")).collect() == []
 
 
+def brute_spans(rows, least_words):
+    """Chunks byte by byte, their owners in a dictionary, and runs of chunks that others own."""
+    values = [int(x) for x in substring_dedup.GEAR]
+    owner, chunked = {}, {}
+    for doc, text in sorted(((d, t) for d, t in rows if d is not None and t), key=lambda r: r[0]):
+        data, start, out = text.encode(), 0, []
+        for i in range(len(data)):
+            state = sum(values[data[i - k]] << k for k in range(min(16, i + 1))) % 2**32
+            whole = i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80
+            if i + 1 == len(data) or i + 1 - start >= 8 and state < 2**28 and whole:
+                out.append(data[start : i + 1])
+                start = i + 1
+        chunked.setdefault(doc, []).append(out)
+        for chunk in out:
+            owner.setdefault(chunk, doc)
+    spans = set()
+    for doc, texts in chunked.items():
+        for out in texts:
+            at, before, run = 0, b" ", None
+            for chunk in [*out, None]:
+                if chunk is not None and owner[chunk] != doc:
+                    words = sum(1 for x, y in zip(before[-1:] + chunk, chunk, strict=False) if y not in b" \t\n\v\f\r" and x in b" \t\n\v\f\r")
+                    size = len(chunk.decode())
+                    run = (run[0], run[1] + size, run[2] + words, run[3]) if run else (at, at + size, words, owner[chunk])
+                elif run:
+                    if run[2] >= least_words:
+                        spans.add((doc, *run))
+                    run = None
+                if chunk is not None:
+                    at, before = at + len(chunk.decode()), chunk
+    return spans
+
+
+def test_spans_equal_brute_force(make, corpus):
+    rows = [(d, t) for d, t, *_ in corpus if d != 5] + [(2000 + i, "the same passage of words that many share " * 5 + f"tail {i}") for i in range(60)]
+    rows.append((3000, "".join(f"word{i % 500} é" for i in range(9_000))))
+    found = [tuple(r) for r in substring_dedup.repeated_spans(make(rows), span_words=8).select("doc_id", "start", "end", "n_words", "first_doc_id").collect()]
+    assert len(found) == len(set(found)) > 60 and set(found) == brute_spans(rows, 8)
+
+
 def test_copies_are_one_span(make):
     text = " ".join(f"word{i}" for i in range(200))
     found = substring_dedup.repeated_spans(make([(3, text), (5, text), (9, text), (3, text)])).collect()
