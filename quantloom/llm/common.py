@@ -75,7 +75,8 @@ class Scratch:
 
     def release(self) -> None:
         """Has the shuffle files of finished steps deleted now: Spark deletes them when the
-        driver's garbage is collected, which without memory pressure is long after."""
+        driver's garbage is collected, which without memory pressure is long after.  Those of
+        a DataFrame that still has a name stay."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 

@@ -436,6 +436,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     met = _undecided(labelled(met)).drop("label")
     placed = _placed(met, Bands(int(largest), percent).leave).join(classes.select("rep", "n", *folded), "rep")
     placed = scratch.write(labelled(placed), "placed0")
+    del met, pairs, centres
     scratch.drop("met")
     scratch.release()
     stars, step = STARS, 1

@@ -182,18 +182,28 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "word_lm")
-    chosen = targets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.count(F.lit(1)).alias("times"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("bytes"))
-    # Targets grow with the corpus, so they are joined by a shuffle at every size.
-    rows = rows.join(chosen.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("doc_id", F.coalesce("times", F.lit(0).cast("long")).alias("times"), "bytes")
-    chunks = scratch.write(rows.mapInArrow(_chunked(chunk), _CHUNK), "chunks")
-    scratch.release()  # texts are in the chunks now
+    # No name is given to what is shuffled, so that release() finds it unused.
+    chunks = scratch.write(_marked(docs, targets, text).mapInArrow(_chunked(chunk), _CHUNK), "chunks")
+    scratch.release()
     size = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / BUCKET_BYTES))
-    grams = chunks.mapInArrow(_count(buckets), "bucket long, chunk long, keys binary, target binary, background binary")
-    totals = grams.groupBy("bucket").applyInArrow(_total, "chunk long, bucket long, target binary, background binary, words long, n_target long, n_background long")
-    totals = scratch.write(totals, "totals")
+    totals = scratch.write(_totals(chunks, buckets), "totals")
     scratch.release()
     sums = [x or 0 for x in totals.agg(F.sum("words"), F.sum("n_target"), F.sum("n_background")).first()]
     back = totals.select("chunk", "bucket", "target", "background")
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda a, b: _losses(a, b, *sums, prior), _SCORES)
+
+
+def _marked(docs: DataFrame, targets: DataFrame, text: str) -> DataFrame:
+    """doc_id, how often it is a target, and its bytes."""
+    chosen = targets.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("of")).agg(F.count(F.lit(1)).alias("times"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes(text).alias("bytes"))
+    # Targets grow with the corpus, so they are joined by a shuffle at every size.
+    rows = rows.join(chosen.hint("merge"), F.col("doc_id") == F.col("of"), "left")
+    return rows.select("doc_id", F.coalesce("times", F.lit(0).cast("long")).alias("times"), "bytes")
+
+
+def _totals(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Each chunk's totals by bucket, from the n-grams of all chunks."""
+    grams = chunks.mapInArrow(_count(buckets), "bucket long, chunk long, keys binary, target binary, background binary")
+    return grams.groupBy("bucket").applyInArrow(_total, "chunk long, bucket long, target binary, background binary, words long, n_target long, n_background long")
