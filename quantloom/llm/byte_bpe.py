@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 from hashlib import sha256
 
 import ahocorasick
@@ -27,11 +26,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import Texts, steps, text_bytes
+from quantloom.llm.common import Texts, bound_batches, steps, text_bytes
 
 #: Bytes of encoded stretches that a Python worker keeps, about, and judged pairs of
 #: tokens (about 130 bytes each); beyond that the table starts anew.
-KEPT_BYTES, KEPT_PAIRS = 24 << 20, 200_000
+KEPT_BYTES, KEPT_PAIRS = 16 << 20, 150_000
 #: White space of one byte, and the rest of Unicode's: two or three bytes.
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -298,9 +297,8 @@ class Encoded:
         self.text, self.parts = text, parts
 
 
-@lru_cache(maxsize=4)
 def encoder(path: str, pattern: str) -> PrefixBPE:
-    """One encoder for each Python worker; the path is the same on every machine."""
+    """An encoder, of which each task makes its own and keeps nothing; the path is the same on every machine."""
     return PrefixBPE(load_ranks(path), pattern)
 
 
@@ -315,6 +313,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first_row, part.rows), lists], names=["doc_id", "ids"])
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -354,4 +353,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, _SCHEMA)

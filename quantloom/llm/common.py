@@ -45,6 +45,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of the session's Python tasks by bytes, unless it has them smaller.
+
+    By default they hold up to 64 MB of texts, several times over in the task and its worker.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = (spark.conf.get(key, None) or "").rstrip("bB")
+    if not held.isdigit() or not 0 < int(held) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder to cut its lineage.
 
@@ -55,6 +66,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/quantloom/{name}-{uuid.uuid4().hex}"
         atexit.register(self._clean)
 
@@ -97,7 +109,9 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes that one vectorised step holds; its temporaries take about 40 times this.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
+#: Bytes that a task and its Python worker exchange at a time, about.
+BATCH_BYTES = 4 << 20
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 
@@ -117,7 +131,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     global _powers
     if len(_powers[0]) < n:
-        size = max(n, 2 * STEP_BYTES)
+        size = -(-n // STEP_BYTES) * STEP_BYTES
         both = []
         for base in (_BASE, _BASE_INVERSE):
             steps = np.full(size, base, np.uint64)

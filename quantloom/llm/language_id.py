@@ -104,7 +104,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if i % 500 == 499:
                 flush()
         flush()
-        if sum(map(len, sums.values())) > 1_000_000:
+        if sum(map(len, sums.values())) > 250_000:
             yield from drain()
     yield from drain()
 

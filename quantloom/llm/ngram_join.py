@@ -43,7 +43,7 @@ WORDS, PERCENT = 4, 85
 #: Upper end of a band over its lower end.
 BAND_RATIO = 1.5
 #: Signatures that a task gathers before it links its own equal ones and sends the rest.
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 19
 #: Members of a signature up to which it is not worth leaving out.
 UNPOPULAR = 4
 #: Centres of each signature in the second round of stars (the first has one), and how many times more in each next.
