@@ -7,9 +7,11 @@ give null below ``least`` of them.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log1p
+from operator import add
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 EPS = 1e-12
@@ -63,18 +65,35 @@ def shifted(x: str | Column, n: int = 1, series: WindowSpec | None = None) -> Co
     return F.lag(col(x), n).over(series) if n >= 0 else F.lead(col(x), -n).over(series)
 
 
-def ema(x: str | Column, span: int, series: WindowSpec | None = None, depth: int | None = None) -> Column:
-    """Exponential mean with weight 2 / (span + 1), started at the first value that is not null.
+#: Values of a block in ``with_emas``.
+BLOCK = 64
 
-    The series up to each row is folded; ``depth`` bounds it.  By default it is the rows
-    after which a value weighs less than 1e-17, so long series stay linear.
+
+def with_emas(df: DataFrame, means: dict[str, tuple[str, int]], key: str = "symbol", order: str = "date") -> DataFrame:
+    """Adds exponential means: name -> (column, span), with weight 2 / (span + 1) and started at
+    the first value that is not null; a row without a value has the mean before it.
+
+    A series is cut in blocks of 64 values.  Inside a block the mean is a running sum of values
+    that are scaled up by their place; what came before enters as the sums of earlier blocks,
+    as many as weigh more than 1e-17.  So a row costs the same whatever the span.
     """
-    alpha = 2.0 / (span + 1)
-    depth = depth or int(40 / -log1p(-alpha)) + 1
-    values = F.collect_list(col(x)).over(frame(depth, series))
-    start = F.struct(F.lit(None).cast("double").alias("m"))
-    step = lambda acc, v: F.struct(F.coalesce(acc["m"] * (1 - alpha) + v * alpha, v).alias("m"))
-    return F.aggregate(values, start, step, lambda acc: acc["m"])
+    series = Window.partitionBy(key).orderBy(order)
+    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    for x in dict.fromkeys(x for x, _ in means.values()):
+        mine = {name: 2.0 / (span + 1) for name, (y, span) in means.items() if y == x}
+        df = df.withColumn("_nth", F.count(x).over(series.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+        df = df.withColumns({"_block": F.floor(F.col("_nth") / BLOCK), "_at": F.col("_nth") % BLOCK})
+        share = lambda a: F.when(F.col("_nth") == 0, 1.0).otherwise(a)
+        df = df.withColumns({f"_t_{n}": F.col(x) * share(a) * F.pow(F.lit(1 - a), -F.col("_at")) for n, a in mine.items()})
+        df = df.withColumns({f"_i_{n}": F.sum(f"_t_{n}").over(inside) for n in mine})
+        blocks = Window.partitionBy(key).orderBy("_block")
+        for n, a in mine.items():
+            depth = int(40 / -log1p(-a)) // BLOCK + 1
+            before = [F.coalesce(F.sum(f"_t_{n}").over(blocks.rangeBetween(-i, -i)), F.lit(0.0)) * (1 - a) ** (BLOCK * i) for i in range(1, depth + 1)]
+            total = reduce(add, before, F.coalesce(F.col(f"_i_{n}"), F.lit(0.0)))
+            df = df.withColumn(n, F.when(F.col("_nth") >= 0, total * F.pow(F.lit(1 - a), F.col("_at"))))
+        df = df.drop("_nth", "_block", "_at", *(f"_{k}_{n}" for k in "ti" for n in mine))
+    return df
 
 
 def rolling_corr(x: str | Column, y: str | Column, w: int, least: int | None = None) -> Column:
@@ -87,6 +106,20 @@ def rolling_corr(x: str | Column, y: str | Column, w: int, least: int | None = N
     return F.when(enough & (spread > EPS), F.covar_pop(x, y).over(f) / spread)
 
 
+def window_quantiles(x: str | Column, w: int, *shares: float) -> list[Column]:
+    """Interpolated quantiles of the last w rows, all from one sorted frame; null below w // 2 values."""
+    values = F.sort_array(F.collect_list(col(x)).over(frame(w)))
+    n = F.size(values)
+
+    def at(q: float) -> Column:
+        place = (n - 1) * F.lit(q)
+        low = F.floor(place).cast("int")
+        a, b = F.get(values, low), F.get(values, F.ceil(place).cast("int"))
+        return F.when(n >= max(1, w // 2), a + (b - a) * (place - low))
+
+    return [at(q) for q in shares]
+
+
 def pct_rank(x: str | Column, *keys: str) -> Column:
     """Rank of x among its group's values as a share, ties at their mean; null for null."""
     x = col(x)

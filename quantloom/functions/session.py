@@ -12,7 +12,10 @@ def materialised(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint, in the folder that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quantloom-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quantloom-"))
     return df.checkpoint()
 
 

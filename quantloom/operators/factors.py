@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import EPS, by_date, ema, frame, guarded, over_floor, over_shifted, rolling, rolling_corr, shifted
+from quantloom.functions.expr import EPS, by_date, frame, guarded, over_floor, over_shifted, rolling, rolling_corr, shifted, window_quantiles, with_emas
 
 MA = (3, 5, 10, 20, 30, 60)
 ROC = (5, 10, 20, 60)
@@ -54,7 +54,8 @@ def bollinger(bars: DataFrame, w: int = 20) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    bars = bars.withColumn("macd", ema("close", fast) - ema("close", slow)).withColumn("macd_signal", ema("macd", signal))
+    bars = with_emas(bars, {"_fast": ("close", fast), "_slow": ("close", slow)}).withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    bars = with_emas(bars, {"macd_signal": ("macd", signal)})
     return bars.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
@@ -63,8 +64,9 @@ def rsi(bars: DataFrame, period: int = 14) -> DataFrame:
     delta = F.col("close") - _prior_close()
     bars = bars.withColumns({"_gain": F.greatest(delta, F.lit(0.0)), "_loss": F.greatest(-delta, F.lit(0.0)), "_delta": delta})
     bars = bars.withColumns({"_gain": F.when(F.col("_delta").isNotNull(), F.col("_gain")), "_loss": F.when(F.col("_delta").isNotNull(), F.col("_loss"))})
-    value = 100 - 100 / (1 + over_floor(ema("_gain", period), ema("_loss", period), 1e-10))
-    return bars.withColumn(f"rsi_{period}", F.coalesce(value, F.lit(50.0))).drop("_gain", "_loss", "_delta")
+    bars = with_emas(bars, {"_up": ("_gain", period), "_down": ("_loss", period)})
+    value = 100 - 100 / (1 + over_floor("_up", "_down", 1e-10))
+    return bars.withColumn(f"rsi_{period}", F.coalesce(value, F.lit(50.0))).drop("_gain", "_loss", "_delta", "_up", "_down")
 
 
 def cci(bars: DataFrame, w: int = 20) -> DataFrame:
@@ -160,8 +162,11 @@ def regression(bars: DataFrame, windows=WINDOWS, kinds=("BETA", "RSQR", "RESI"))
 
 def quantile(bars: DataFrame, windows=WINDOWS) -> DataFrame:
     first = F.first("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
-    at = lambda w, q: over_floor(F.coalesce(rolling(lambda x: F.percentile(x, F.lit(q)), "close", w), first), "close")
-    return bars.withColumns({f"QTLU_{w}": at(w, 0.8) for w in windows} | {f"QTLD_{w}": at(w, 0.2) for w in windows})
+    out = {}
+    for w in windows:
+        for name, value in zip((f"QTLU_{w}", f"QTLD_{w}"), window_quantiles("close", w, 0.8, 0.2), strict=True):
+            out[name] = over_floor(F.coalesce(value, first), "close")
+    return bars.withColumns(out)
 
 
 def rank(bars: DataFrame, windows=WINDOWS) -> DataFrame:

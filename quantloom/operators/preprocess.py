@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import by_date, finite, frame, over_floor, pct_rank, rolling, shifted
+from quantloom.functions.session import materialised, running_total
 
 
 def clean_nonfinite(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -13,17 +14,38 @@ def clean_nonfinite(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(finite(c), F.lit(0.0)) for c in columns})
 
 
+def column_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...]) -> DataFrame:
+    """name, quantiles: exact interpolated quantiles of whole columns, in no task's memory."""
+    long = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).unpivot([], columns, "name", "value").where("value IS NOT NULL")
+    counts = materialised(long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("_n")))
+    ranked = running_total(counts, ["name", "value"], "_n", "_before")
+    sums = counts.groupBy("name").agg(F.sum("_n").alias("_total"))
+    first = ranked.groupBy("name").agg(F.min("_before").alias("_first"))
+    ranked = ranked.join(F.broadcast(sums.join(first, "name")), "name")  # a row a column
+    before = F.col("_before") - F.col("_first")
+
+    def value(q: float):
+        place = (F.col("_total") - 1) * F.lit(q)
+        at = lambda rank: F.max(F.when((before <= rank) & (rank < before + F.col("_n")), F.col("value")))
+        low, share = at(F.floor(place)), F.max(place - F.floor(place))
+        return low + (at(F.ceil(place)) - low) * share
+
+    return ranked.groupBy("name").agg(F.array(*map(value, shares)).alias("quantiles"))
+
+
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, accuracy: int | None = None) -> DataFrame:
     """Clips each column to its own quantiles; bounds 0 and 1 do nothing.
 
-    Quantiles are exact and interpolated; with ``accuracy`` they are approximate, in
-    bounded memory whatever the number of distinct values.
+    Quantiles are exact and interpolated, from the distinct values in range partitions; with
+    ``accuracy`` they are approximate and cost one aggregate.  Memory is bounded either way.
     """
     if low <= 0 and high >= 1:
         return df
-    at = F.array(F.lit(low), F.lit(high))
-    quantiles = (lambda c: F.percentile_approx(c, [low, high], accuracy)) if accuracy else (lambda c: F.percentile(c, at))
-    bounds = df.agg(*(quantiles(c).alias(f"_q_{c}") for c in columns))
+    if accuracy:
+        bounds = df.agg(*(F.percentile_approx(c, [low, high], accuracy).alias(f"_q_{c}") for c in columns))
+    else:
+        bounds = column_quantiles(df, columns, (low, high)).groupBy().pivot("name", columns).agg(F.first("quantiles"))
+        bounds = bounds.select(*(F.col(c).alias(f"_q_{c}") for c in columns))
     clipped = {c: F.greatest(F.col(f"_q_{c}")[0], F.least(F.col(f"_q_{c}")[1], F.col(c))) for c in columns}
     clipped = {c: F.when(F.col(c).isNotNull(), x) for c, x in clipped.items()}
     return df.crossJoin(F.broadcast(bounds)).withColumns(clipped).drop(*(f"_q_{c}" for c in columns))  # one row

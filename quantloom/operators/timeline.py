@@ -105,14 +105,15 @@ def slot_of(ts: Column) -> Column:
 def signal_stats(snapshots: DataFrame) -> DataFrame:
     """current, recent_avg (last three), trend_latest, trend_all, volatility, n by market.
 
+    Under three points there is nothing but n: rules then take the values as missing.
     Only the last three scores are kept as rows; the rest are aggregates.
     """
     x, at = F.col("sentiment_score"), F.struct("timestamp", "seq")
     order = Window.partitionBy("market").orderBy(F.desc("timestamp"), F.desc("seq"))
     last = snapshots.withColumn("_n", F.row_number().over(order)).where("_n <= 3").groupBy("market").agg(F.avg(x).alias("recent_avg"), F.max(F.when(F.col("_n") == 2, x)).alias("_prior"))
     sums = snapshots.groupBy("market").agg(F.max_by(x, at).alias("current"), F.min_by(x, at).alias("_first"), F.stddev_pop(x).alias("volatility"), F.count(x).alias("n"))
-    joined = sums.join(last, "market")
-    return joined.select("market", "current", "recent_avg", F.coalesce(F.col("current") - F.col("_prior"), F.lit(0.0)).alias("trend_latest"), (F.col("current") - F.col("_first")).alias("trend_all"), "volatility", "n")
+    found = {"current": F.col("current"), "recent_avg": F.col("recent_avg"), "trend_latest": F.col("current") - F.col("_prior"), "trend_all": F.col("current") - F.col("_first"), "volatility": F.col("volatility")}
+    return sums.join(last, "market").select("market", *(F.when(F.col("n") >= 3, x).alias(name) for name, x in found.items()), "n")
 
 
 def classify(stats: DataFrame) -> DataFrame:

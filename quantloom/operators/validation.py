@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import EPS, pct_rank
-from quantloom.functions.session import running_total
+from quantloom.functions.session import materialised, running_total
 
 
 def query_groups(df: DataFrame) -> DataFrame:
@@ -62,6 +62,7 @@ def walk_forward_linear(df: DataFrame, x: str, y: str, train: int = 504, step: i
 
     Moments are summed by date first, so a window costs its dates and not its rows.
     """
+    df = materialised(df)  # read for the dates, the moments and the rows to predict
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     a, b = F.col(x), F.col(y)
     moments = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(a * b).alias("sxy"))
@@ -92,7 +93,7 @@ def correlation(x: Column, y: Column) -> Column:
 def rank_ic(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """name, ic, n: Spearman correlation of each feature with the label."""
     rows = df.where(F.col(label).isNotNull())
-    pairs = rows.unpivot([label], features, "name", "value").where("value IS NOT NULL")
+    pairs = materialised(rows.unpivot([label], features, "name", "value").where("value IS NOT NULL"))  # read four times
     labels = average_ranks(pairs.select("name", F.col(label).alias("value"))).select("name", F.col("value").alias(label), F.col("rank").alias("_ry"))
     values = average_ranks(pairs.select("name", "value")).withColumnRenamed("rank", "_rx")
     ranked = pairs.join(values, ["name", "value"]).join(labels, ["name", label])

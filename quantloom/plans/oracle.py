@@ -178,12 +178,12 @@ SNAP = f"""snap AS (SELECT event_id AS seq, ts AS timestamp,
 hourly AS (SELECT * FROM snap QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', timestamp), market ORDER BY timestamp DESC, seq DESC) = 1)"""
 ART = r"""art0 AS (SELECT *, doc_id AS d, DATE '2024-01-01' + (doc_id % 30)::INT AS day, regexp_extract(source, '(\d+)$', 1)::INT % 3 AS kind FROM documents),
 art AS (SELECT d AS seq, source, 'cn_' || source AS source_cn, (['rss', 'api', 'social'])[kind + 1] AS type, substr(text, 1, 200) AS title,
-  substr(text, 1, 2000) || CASE WHEN d % 7 < 6 THEN ' ' || (['$AAPL', '$MSFT', '$TSLA', '$NVDA', 'V', 'AMZN'])[(d % 7 + 1)::INT] ELSE '' END AS text,
+  text || CASE WHEN d % 7 < 6 THEN ' ' || (['$AAPL', '$MSFT', '$TSLA', '$NVDA', 'V', 'AMZN'])[(d % 7 + 1)::INT] ELSE '' END AS text,
   CASE WHEN d % 50 = 0 THEN '' ELSE 'https://ex.org/' || (d % 600) END AS url,
   CASE WHEN d % 6 = 4 THEN '' WHEN d % 6 = 5 THEN '' ELSE strftime(day, '%Y-%m-%d') END AS iso_day,
   CASE lang WHEN 'en' THEN 'US' WHEN 'de' THEN 'KR' WHEN 'fr' THEN 'JP' WHEN 'es' THEN 'CN' END AS market,
   (d * 7919) % 200000 AS followers, (d * 31) % 500 AS retweets, (d * 17) % 900 AS likes, (d * 13) % 300 AS comments, (d * 11) % 400 AS score,
-  CASE WHEN kind = 2 THEN 'and here ' || substr(text, 1, 40) END AS comments_text,
+  CASE WHEN kind = 2 THEN 'and here from ' || source END AS comments_text,
   CASE WHEN kind = 1 THEN (['AAPL', 'MSFT', 'TSLA', 'NVDA'])[(d % 4 + 1)::INT] END AS known,
   CASE WHEN kind = 1 THEN round(((d * 37) % 201 - 100) / 100.0, 4) + 0 END AS known_score,
   coalesce(nullif(CASE WHEN d % 6 < 4 THEN strftime(day, '%Y-%m-%d') ELSE '' END, ''), '2024-01-31') AS date FROM art0)"""
@@ -338,14 +338,15 @@ def _signals(hours: int, name: str, snap: bool = True) -> str:
     pre = f"{SNAP}, " if snap else ""
     return f"""{pre}{name}0 AS (SELECT * FROM (SELECT * FROM snap WHERE timestamp >= {since}) QUALIFY row_number() OVER (PARTITION BY date_trunc('hour', timestamp), market ORDER BY timestamp DESC, seq DESC) = 1),
 {name}1 AS (SELECT market, list(sentiment_score ORDER BY timestamp, seq) AS l, stddev_pop(sentiment_score) AS volatility FROM {name}0 GROUP BY market),
-{name}2 AS (SELECT market, l[-1] AS current, list_avg(l[-3:]) AS recent_avg, coalesce(l[-1] - l[-2], 0) AS trend_latest, l[-1] - l[1] AS trend_all, volatility, len(l) AS n FROM {name}1),
+{name}2 AS (SELECT market, len(l) AS n, len(l) >= 3 AS known, CASE WHEN known THEN l[-1] END AS current, CASE WHEN known THEN list_avg(l[-3:]) END AS recent_avg, CASE WHEN known THEN l[-1] - l[-2] END AS trend_latest,
+  CASE WHEN known THEN l[-1] - l[1] END AS trend_all, CASE WHEN known THEN s.volatility END AS volatility FROM {name}1 s),
 {name}3 AS (SELECT *, CASE WHEN n < 3 THEN 'insufficient_data' WHEN current > 0.15 AND trend_latest >= 0 THEN 'bullish' WHEN current < -0.15 AND trend_latest <= 0 THEN 'bearish'
   WHEN trend_all > 0.1 AND current > -0.05 THEN 'improving' WHEN trend_all < -0.1 AND current < 0.05 THEN 'deteriorating' ELSE 'neutral' END AS signal FROM {name}2),
 {name} AS (SELECT *, CASE signal WHEN 'insufficient_data' THEN 0 WHEN 'neutral' THEN 0.3 WHEN 'improving' THEN least(1, 0.5 + abs(trend_all) / 0.4) WHEN 'deteriorating' THEN least(1, 0.5 + abs(trend_all) / 0.4)
   ELSE least(1, 0.5 + abs(current) + abs(trend_all) / 0.3) END AS confidence FROM {name}3)"""
 
 
-FEED = r"""item AS (SELECT doc_id AS d, coalesce(substr(text, 1, 80), '') AS title, coalesce(substr(text, 81, 600), '') AS about, 'https://ex.org/' || doc_id AS url, source,
+FEED = r"""item AS (SELECT doc_id AS d, coalesce(substr(text, 1, 80), '') AS title, coalesce(substr(text, 81), '') AS about, 'https://ex.org/' || doc_id AS url, source,
   CASE lang WHEN 'en' THEN 'US' WHEN 'de' THEN 'KR' WHEN 'fr' THEN 'JP' WHEN 'es' THEN 'CN' END AS market, lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS day,
   round(((doc_id * 37) % 201 - 100) / 100.0, 2) + 0 AS score, CASE WHEN (doc_id * 37) % 201 > 100 THEN 'up' ELSE 'down' END AS label FROM documents),
 plain AS (SELECT * REPLACE (regexp_replace(title, '^\s+|\s+$', '', 'g') AS title, regexp_replace(about, '^\s+|\s+$', '', 'g') AS about) FROM item),
@@ -355,7 +356,7 @@ news AS (SELECT *, regexp_replace(title || ' ' || about, '^\s+|\s+$', '', 'g') A
 def _feeds() -> dict[str, str]:
     return {
         "feed_scored": f"WITH {FEED} SELECT url, market, title, substr(about, 1, 500) AS summary, substr(title || ' ' || about, 1, 2000) AS text, '2024-01-' || day || 'T08:30:15' AS published, {r('score')} AS sentiment, label AS sentiment_label, {r('score')} AS apple, 0.0::DOUBLE AS visa, 2::INT AS n_tickers FROM item",
-        "feed_news": f"WITH {FEED} SELECT url, market, coalesce(source, '') AS source_name, title, substr(about, 1, 500) AS summary, text, '2024-01-' || day AS published, CASE WHEN market = 'CN' THEN 'zh' ELSE 'en' END AS language, {r(_QUICK)} AS sentiment, {hits('text', ('the', 'Tion', 'zzz'))}::DOUBLE AS relevance FROM news WHERE text != ''",
+        "feed_news": f"WITH {FEED} SELECT url, market, coalesce(source, '') AS source_name, title, substr(about, 1, 500) AS summary, substr(text, 1, 2000) AS text, '2024-01-' || day AS published, CASE WHEN market = 'CN' THEN 'zh' ELSE 'en' END AS language, {r(_QUICK)} AS sentiment, {hits('text', ('the', 'Tion', 'zzz'))}::DOUBLE AS relevance FROM news WHERE text != ''",
         "feed_daily": f"WITH {FEED} SELECT ('2024-01-' || day)::DATE AS date, lpad((d // 40 % 7 + 1)::VARCHAR, 6, '0') AS symbol, {r('avg(score)')} AS sentiment_score, count(*) AS news_count FROM item GROUP BY 1, 2",
         "strongest_articles": f"WITH {FEED} SELECT url, {r('score')} AS sentiment FROM item ORDER BY abs(score) DESC, url, title LIMIT 40",
     }
@@ -421,8 +422,8 @@ def _timeline() -> dict[str, str]:
         "slot_0700": f"WITH {_signals(12, 'sg')}, {one('sg', 'CN', 'a')}, {one('sg', 'US', 'b')}, x AS (SELECT *, coalesce(a_cur, 0) * 0.6 + coalesce(b_cur, 0) * 0.4 AS c FROM a, b) SELECT {r('c')} AS combined, CASE WHEN c > 0.1 THEN 'positive' WHEN c < -0.1 THEN 'negative' ELSE 'neutral' END AS assessment, CASE WHEN abs(c) < 0.1 THEN 'low' WHEN abs(c) < 0.3 THEN 'medium' ELSE 'high' END AS risk_level, a_sig AS cn_signal, b_sig AS us_signal FROM x",
         "slot_0925": f"WITH {_signals(24, 'sd')}, {_signals(4, 'sh', snap=False)}, {one('sd', 'CN', 'a')}, {one('sh', 'CN', 'b')}, x AS (SELECT coalesce(a_avg, 0) * 0.4 + coalesce(b_avg, 0) * 0.3 + coalesce(a_all, 0) * 0.3 AS c FROM a, b) SELECT {r('c')} AS blended, CASE WHEN c > 0.15 THEN 'positive' WHEN c < -0.15 THEN 'negative' ELSE 'neutral' END AS verdict, CASE WHEN c > -0.2 THEN 'proceed' ELSE 'caution' END AS action FROM x",
         "slot_0955": f"WITH {_signals(12, 'sg')}, {one('sg', 'CN', 'a')}, {one('sg', 'US', 'b')}, x AS (SELECT coalesce(a_cur, 0) > -0.2 AS sentiment_ok, coalesce(b_sig, 'neutral') NOT IN ('bearish', 'deteriorating') AS us_stable, coalesce(a_vol, 0) < 0.3 AS volatility_ok, a_cur IS NOT NULL AND b_sig IS NOT NULL AS data_ok FROM a, b) SELECT *, CASE WHEN sentiment_ok AND us_stable AND volatility_ok THEN 'SELL' ELSE 'HOLD_CAUTION' END AS decision FROM x",
-        "yesterday_buys": "SELECT ts::DATE AS entry_date, event_id AS seq, lpad((user_id % 100 + 1)::VARCHAR, 6, '0') AS top_symbol, (user_id % 100)::VARCHAR AS pick FROM events WHERE event_id % 3 != 0 AND event_id % 4 = 2 AND ts::DATE BETWEEN DATE '2024-01-18' AND DATE '2024-01-19' ORDER BY ts::DATE DESC, ts, event_id LIMIT 1",
-        "slot_status": "WITH s AS (SELECT * FROM (VALUES ('0700', 7), ('0925', 9), ('0955', 9), ('1330', 13)) t(slot, due)), d AS (SELECT DISTINCT (['0700', '0925', '1330', '0955'])[(event_id % 4 + 1)::INT] AS slot FROM events WHERE event_id % 3 != 0 AND event_id % 7 < 2 AND ts::DATE = DATE '2024-01-20') SELECT slot, CASE WHEN slot IN (SELECT slot FROM d) THEN 'done' WHEN 10 > due THEN 'missed' ELSE 'waiting' END AS status FROM s",
+        "yesterday_buys": "SELECT ts::DATE AS entry_date, event_id AS seq, lpad((user_id % 100 + 1)::VARCHAR, 6, '0') AS top_symbol, (user_id % 100)::VARCHAR AS pick FROM events WHERE event_id % (day(ts) % 4 + 1) = 2 AND ts::DATE BETWEEN DATE '2024-01-18' AND DATE '2024-01-19' ORDER BY ts::DATE DESC, ts, event_id LIMIT 1",
+        "slot_status": "WITH s AS (SELECT * FROM (VALUES ('0700', 7), ('0925', 9), ('0955', 9), ('1330', 13)) t(slot, due)), d AS (SELECT DISTINCT (['0700', '0925', '1330', '0955'])[(event_id % (day(ts) % 4 + 1) + 1)::INT] AS slot FROM events WHERE ts::DATE = DATE '2024-01-20') SELECT slot, CASE WHEN slot IN (SELECT slot FROM d) THEN 'done' WHEN 10 > due THEN 'missed' ELSE 'waiting' END AS status FROM s",
     }
 
 

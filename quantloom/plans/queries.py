@@ -616,7 +616,7 @@ def yesterday_buys(spark, sf_dir):
 
 @_query
 def slot_status(spark, sf_dir):
-    return timeline.slot_status(views.journal(spark, sf_dir).where("seq % 7 < 2"), TODAY, STATUS_HOUR)
+    return timeline.slot_status(views.journal(spark, sf_dir), TODAY, STATUS_HOUR)
 
 
 def _written(query: Query) -> Query:

@@ -34,11 +34,16 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     (supplier, week) meets them.
     """
     px = F.col("l_extendedprice") / F.col("l_quantity")
+    # A line's place in its week as one long: day, order (40 bits), line (4) and, should a line
+    # come twice, the end of its part's number.  Buffers of fixed width keep the aggregate hashed.
+    at = F.shiftleft(F.weekday("l_shipdate").cast("long"), 60)
+    for column, low, bits in (("l_orderkey", 20, 40), ("l_linenumber", 16, 4), ("l_partkey", 0, 16)):
+        at = at + F.shiftleft(F.col(column).cast("long").bitwiseAND(F.lit((1 << bits) - 1)), low)
     lines = table(spark, sf_dir, "lineitem").where("l_quantity > 0").select(
         "l_suppkey",
         F.to_date(F.date_trunc("week", "l_shipdate")).alias("date"),
         px.alias("px"),
-        F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", px).alias("at"),
+        at.alias("at"),
         "l_quantity",
         "l_extendedprice",
         "l_discount",
@@ -110,7 +115,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("cn_"), "source").alias("source_cn"),
         _pick(("rss", "api", "social"), kind).alias("type"),
         F.substring("text", 1, 200).alias("title"),
-        F.concat(F.substring("text", 1, 2000), F.coalesce(F.concat(F.lit(" "), ticker), F.lit(""))).alias("text"),
+        F.concat("text", F.coalesce(F.concat(F.lit(" "), ticker), F.lit(""))).alias("text"),
         F.when(d % 50 == 0, "").otherwise(F.concat(F.lit("https://ex.org/"), (d % 600).cast("string"))).alias("url"),
         published.alias("published"),
         F.lit("2024-01-31T00:00:00+00:00").alias("collected_at"),
@@ -121,7 +126,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((d * 17) % 900).alias("likes"),
         ((d * 13) % 300).alias("comments"),
         ((d * 11) % 400).alias("score"),
-        F.when(kind == 2, F.concat(F.lit("and here "), F.substring("text", 1, 40))).alias("comments_text"),
+        F.when(kind == 2, F.concat(F.lit("and here from "), "source")).alias("comments_text"),
         F.when(kind == 1, F.create_map(F.ltrim(known, F.lit("$")), F.struct(score.alias("score"), F.when(score > 0, "up").otherwise("down").alias("label")))).alias("ticker_sentiments"),
     )
 
@@ -130,7 +135,7 @@ def responses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """market, symbol, collected_at and the JSON body of provider responses, ten items each."""
     d = F.col("doc_id")
     market = F.create_map(*(F.lit(x) for pair in (("en", "US"), ("de", "KR"), ("fr", "JP"), ("es", "CN")) for x in pair))
-    title, about, url = F.substring("text", 1, 80), F.substring("text", 81, 600), F.concat(F.lit("https://ex.org/"), d.cast("string"))
+    title, about, url = F.substring("text", 1, 80), F.expr("substring(text, 81)"), F.concat(F.lit("https://ex.org/"), d.cast("string"))
     day = F.lpad((d % 28 + 1).cast("string"), 2, "0")
     score = F.format_string("%.2f", ((d * 37) % 201 - 100) / 100.0)
     label = F.when((d * 37) % 201 > 100, "up").otherwise("down")
@@ -195,10 +200,11 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries of the trading journal: one a slot and day, some missed."""
+    """Entries of the trading journal.  Days differ in how many of the four slots they have."""
     slots = F.array(*map(F.lit, ("0700", "0925", "1330", "0955")))
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where("event_id % 3 != 0").select(
-        F.to_date("ts").alias("entry_date"), F.element_at(slots, (e % 4 + 1).cast("int")).alias("slot"), F.col("ts").cast("timestamp").alias("timestamp"), e.alias("seq"), (F.col("user_id") % 100).alias("pick")
+    slot = e % (F.day("ts") % 4 + 1) + 1
+    rows = table(spark, sf_dir, "events").select(
+        F.to_date("ts").alias("entry_date"), F.element_at(slots, slot.cast("int")).alias("slot"), F.col("ts").cast("timestamp").alias("timestamp"), e.alias("seq"), (F.col("user_id") % 100).alias("pick")
     )
     return rows.select("entry_date", "slot", "timestamp", "seq", F.to_json(F.struct("slot", "pick")).alias("payload"), F.format_string("%06d", F.col("pick") + 1).alias("top_symbol"))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quantloom.operators.timeline import hour_dedup
-from quantloom.sources.tables import current, publish
+from quantloom.sources.tables import current, prune, publish
 
 
 def read(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -66,11 +66,13 @@ def gap_alarms(snapshots: DataFrame, hours: float = 1.5, late: str = "72 hours")
     )
 
 
-def merge_into(path: str, retention_hours: int = 72):
+def merge_into(path: str, retention_hours: int = 72, versions: int = 3):
     """A foreachBatch function that keeps the timeline table at ``path`` deduplicated and pruned.
 
-    A new version is written beside the old one and named in a marker table, so a reader never
-    sees a half-written table and a repeated batch gives the same result.
+    Every batch is merged with the newest version into a next one, which is then named in a
+    marker table: a reader never sees a half-written table, and a stream that starts over with
+    batch 0 goes on from what is there.  A batch that comes again changes nothing, because the
+    last row of an hour stays the last one.  Only the newest ``versions`` are kept.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -80,7 +82,8 @@ def merge_into(path: str, retention_hours: int = 72):
         rows = hour_dedup(rows)
         newest = rows.agg(F.max("timestamp").alias("_newest"))
         rows = rows.crossJoin(F.broadcast(newest)).where(F.col("timestamp") >= F.col("_newest") - F.expr(f"INTERVAL {retention_hours} HOURS")).drop("_newest")  # one row
-        publish(rows, path, batch_id)
+        publish(rows, path)
+        prune(spark, path, versions)
 
     return merge
 

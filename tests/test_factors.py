@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quantloom.functions import expr
 from quantloom.operators import factors, models, preprocess, selection, validation
 from quantloom.plans import queries
 
@@ -46,6 +47,33 @@ def test_against_pandas(spark, walk):
     assert out["rsi_14"][0] == 50
 
 
+def test_exponential_means_over_many_blocks_and_gaps(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 3, 700) + 50
+    x[[0, 1, 63, 64, 65, 300]] = np.nan
+    rows = [("B", datetime.date(2000, 1, 1) + datetime.timedelta(days=i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, date date, x double")
+    out = expr.with_emas(df, {"fast": ("x", 3), "slow": ("x", 60)}).orderBy("date").toPandas()
+    for name, span in (("fast", 3), ("slow", 60)):
+        want, now = [], None
+        for v in x:
+            now = now if np.isnan(v) else v if now is None else now + (v - now) * 2 / (span + 1)
+            want.append(np.nan if now is None else now)
+        np.testing.assert_allclose(out[name].astype(float), want, rtol=1e-12)
+    assert out.columns.tolist() == ["symbol", "date", "x", "fast", "slow"]
+
+
+def test_quantiles_of_whole_columns_are_exact(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 40, 501).astype(float), rng.normal(size=501)
+    df = spark.createDataFrame([(float(x), None if i % 9 == 0 else float(y)) for i, (x, y) in enumerate(zip(a, b, strict=True))], "a double, b double").repartition(5)
+    found = {r.name: r.quantiles for r in preprocess.column_quantiles(df, ["a", "b"], (0.01, 0.5, 0.99)).collect()}
+    np.testing.assert_allclose(found["a"], np.quantile(a, [0.01, 0.5, 0.99]), rtol=1e-12)
+    np.testing.assert_allclose(found["b"], np.quantile([y for i, y in enumerate(b) if i % 9], [0.01, 0.5, 0.99]), rtol=1e-12)
+    same = preprocess.winsorize(df.where("false"), ["a", "b"])
+    assert same.columns == ["a", "b"] and same.count() == 0
+
+
 def test_flat_series_and_zero_volume_are_guarded(spark):
     out = ordered(factors.panel(bars(spark, [5.0] * 70, volumes=[0.0] * 70)).drop("market", "name", "industry"))
     numbers = out.drop(columns=["symbol", "date"])

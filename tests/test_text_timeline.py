@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom.operators import text, timeline
-from quantloom.sources import views
+from quantloom.sources import tables, views
 from quantloom.streaming import timeline as stream
 
 
@@ -112,6 +112,44 @@ def test_sell_passes_without_data_but_says_so(spark):
     assert row.decision == "SELL" and not row.data_ok
 
 
+def test_rules_take_values_of_under_three_points_as_missing(spark):
+    late = datetime.datetime(2024, 1, 30, 21)
+    row = timeline.slot_0955(snaps(spark, [-0.9, -0.9], start=late), views.AS_OF).first()
+    assert row.decision == "SELL" and not row.data_ok
+    assert timeline.slot_0955(snaps(spark, [-0.9, -0.9, -0.9], start=late), views.AS_OF).first().decision == "HOLD_CAUTION"
+    assert timeline.slot_0700(snaps(spark, [-0.9, -0.9], start=late), views.AS_OF).first().combined == 0.0
+    assert timeline.slot_0925(snaps(spark, [-0.9, -0.9], start=late), views.AS_OF).first().action == "proceed"
+    picks = spark.createDataFrame([("000001", 1)], "symbol string, rank int")
+    assert [timeline.slot_1330(picks, snaps(spark, [-0.9] * n, start=late), views.AS_OF).first().action for n in (2, 3)] == ["buy", "buy_reduced"]
+
+
+def test_a_stream_that_starts_over_goes_on_from_the_table(spark, tmp_path):
+    path, merge = str(tmp_path / "t"), stream.merge_into(str(tmp_path / "t"))
+    seen = lambda: sorted(r.seq for r in stream.current(spark, path).collect())
+    rows = snaps(spark, [0, 1, 2, 3, 4, 5])
+    merge(rows.where("seq = 0"), 0)
+    merge(rows.where("seq = 1"), 1)
+    merge(rows.where("seq = 2"), 0)  # a new checkpoint counts from 0
+    assert seen() == [0, 1, 2]
+    merge(rows.where("seq = 2"), 0)  # the batch comes again
+    assert seen() == [0, 1, 2]
+    for n in (3, 4, 5):
+        merge(rows.where(f"seq = {n}"), n)
+    assert seen() == [0, 1, 2, 3, 4, 5] and len(tables.versions(spark, path)) == 3
+
+
+def test_late_rows_inside_the_watermark_count_and_later_ones_are_dropped(spark, tmp_path):
+    source, columns = str(tmp_path / "in"), "seq long, timestamp timestamp, market string, sentiment_score double, article_count long"
+    at = lambda h, m=0: datetime.datetime(2024, 1, 10) + datetime.timedelta(hours=h, minutes=m)
+    batches = [[(0, at(0), "CN", 0.1, 1), (1, at(100), "CN", 0.2, 1)], [(2, at(40, 30), "CN", 0.3, 1)], [(3, at(0, 30), "CN", 0.4, 1)], [(4, at(300), "CN", 0.5, 1)], [(5, at(301), "CN", 0.5, 1)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(f"{source}/{i}")
+    files = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(source)
+    stream.run_available(stream.keep_last(files), str(tmp_path / "out"), str(tmp_path / "c"))
+    # By 100 hours the first hour's window has been given out, so row 3 comes too late; row 2 does not.
+    assert {r.seq for r in spark.read.parquet(str(tmp_path / "out")).collect()} >= {0, 1, 2} and spark.read.parquet(str(tmp_path / "out")).where("seq = 3").isEmpty()
+
+
 def test_gaps_and_smoothing(spark):
     found = timeline.gaps(snaps(spark, [0, 0, 0], step=91)).collect()
     assert len(found) == 2 and found[0].gap_hours == pytest.approx(91 / 60)
