@@ -3,19 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; in local mode below a temporary one where that is unset."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and context.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+    folder = folder or "file://" + tempfile.mkdtemp(prefix="quantloom-")
+    return f"{folder.rstrip('/')}/quantloom/{name}-{uuid.uuid4().hex}"
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint, in the folder that spark.checkpoint.dir names."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and context.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="quantloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 

@@ -33,6 +33,12 @@ def column_quantiles(df: DataFrame, columns: list[str], shares: tuple[float, ...
     return ranked.groupBy("name").agg(F.array(*map(value, shares)).alias("quantiles"))
 
 
+def clean_columns(df: DataFrame, prefixes: tuple[str, ...] = ("^", "dx-")) -> DataFrame:
+    """Column names in lower case, without those that begin with a prefix (index symbols)."""
+    named = df.toDF(*(c.lower() for c in df.columns))
+    return named.drop(*(c for c in named.columns if c.startswith(prefixes)))
+
+
 def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99, accuracy: int | None = None) -> DataFrame:
     """Clips each column to its own quantiles; bounds 0 and 1 do nothing.
 

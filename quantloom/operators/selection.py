@@ -45,12 +45,52 @@ def with_history(df: DataFrame) -> DataFrame:
     return df.withColumn("n_bars", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
 
 
+def _rules(least_bars: int) -> dict[str, Column]:
+    """The rules in their order, by name."""
+    named = name_allowed() | ~F.coalesce(F.col("st_filter"), F.lit(False))
+    return {"name": named, "history": F.col("n_bars") >= least_bars, "price_limit": within_limit(), "limit_up": not_limit_up(), "liquidity": liquid(), "amount": enough_amount()}
+
+
+def _latest_with_rules(panel: DataFrame, rules: DataFrame) -> DataFrame:
+    return latest(with_history(panel)).join(F.broadcast(rules), "market", "left")  # a row a market
+
+
 def filter_market(panel: DataFrame, rules: DataFrame, least_bars: int = 60) -> DataFrame:
     """Latest rows that pass all rules of their market, in one predicate."""
-    rows = latest(with_history(panel)).join(F.broadcast(rules), "market", "left")  # a row a market
-    named = name_allowed() | ~F.coalesce(F.col("st_filter"), F.lit(False))
-    every = [named, F.col("n_bars") >= least_bars, within_limit(), not_limit_up(), liquid(), enough_amount()]
-    return rows.where(reduce(Column.__and__, every)).drop(*(c for c in rules.columns if c != "market"))
+    rows = _latest_with_rules(panel, rules)
+    return rows.where(reduce(Column.__and__, _rules(least_bars).values())).drop(*(c for c in rules.columns if c != "market"))
+
+
+def filter_audit(panel: DataFrame, rules: DataFrame, least_bars: int = 60) -> DataFrame:
+    """market, step, rule, before, after: how many rows each rule of ``filter_market`` leaves, by one aggregate."""
+    tests = _rules(least_bars)
+    passed, so_far = [F.count(F.lit(1)).alias("_0")], F.lit(True)
+    for i, test in enumerate(tests.values(), 1):
+        so_far = so_far & test
+        passed.append(F.count(F.when(so_far, 1)).alias(f"_{i}"))
+    counts = _latest_with_rules(panel, rules).groupBy("market").agg(*passed)
+    steps = [F.struct(F.lit(i).alias("step"), F.lit(name).alias("rule"), F.col(f"_{i - 1}").alias("before"), F.col(f"_{i}").alias("after")) for i, name in enumerate(tests, 1)]
+    return counts.select("market", F.inline(F.array(*steps)))
+
+
+# The symbols of a market whose constituents are not known.
+PRESETS = {
+    "US": ["AAPL", "MSFT", "GOOGL", "AMZN", "NVDA", "TSLA", "META", "AVGO", "JPM", "V"],
+    "KR": ["005930.KS", "000660.KS", "035420.KQ", "091990.KQ"],
+    "JP": ["7203.T", "9984.T", "6758.T", "9432.T"],
+    "CN": ["600519.SS", "000858.SZ", "300750.SZ", "601318.SS", "000333.SZ", "600036.SS", "002415.SZ", "688981.SS"],
+}
+
+
+def universe(constituents: DataFrame, market: str, most: int = 500) -> DataFrame:
+    """market, code: the first constituents of an index for CN, the preset for others or where there are none."""
+    preset = constituents.sparkSession.createDataFrame([(c,) for c in PRESETS.get(market, [])], "code string")
+    codes = preset
+    if market == "CN":
+        found = constituents.where("code IS NOT NULL").select("code").orderBy("code").limit(most)
+        none = found.agg(F.count(F.lit(1)).alias("_n"))
+        codes = found.unionByName(preset.crossJoin(F.broadcast(none)).where("_n = 0").drop("_n"))  # one row
+    return codes.select(F.lit(market).alias("market"), "code")
 
 
 def diversified(rows: DataFrame, k: int = 10, cap: int | None = 2) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import clamp
+from quantloom.operators.timeline import trading_hour
 
 # The financial lexicons, the quick lexicons, the symbols and the names that results depend on.
 CN_POSITIVE = "涨停 大涨 暴涨 飙升 突破 利好 牛市 反弹 反转 回暖 攀升 强势 超预期 创新高 放量上涨 触底反弹 企稳回升 业绩大增 扭亏为盈 分红 回购 评级上调 买入 增持 优质 龙头".split()
@@ -153,12 +154,16 @@ def url_dedup(articles: DataFrame) -> DataFrame:
     return with_url.unionByName(articles.where("url = '' OR url IS NULL"))
 
 
-def by_ticker(articles: DataFrame) -> DataFrame:
-    """One row a ticker of an analyzed article, with weight and date."""
+def by_ticker(articles: DataFrame, listed_only: DataFrame | None = None) -> DataFrame:
+    """One row a ticker of an analyzed article, with weight and date.
+
+    With ``listed_only`` (column ticker) only those tickers count; it may be of any size.
+    """
     rows = articles.withColumns(
         {"ticker": F.explode(all_tickers(F.col("full_text"), F.col("market"), F.col("ticker_sentiments"))), "weight": article_weight(), "date": resolved_date(F.col("published"), F.col("collected_at"))}
     )
-    return rows.select("seq", "market", "date", "ticker", "sentiment", "weight")
+    rows = rows.select("seq", "market", "date", "ticker", "sentiment", "weight")
+    return rows if listed_only is None else rows.join(listed_only.select("ticker"), "ticker", "left_semi")
 
 
 def ticker_sentiment(rows: DataFrame, key: str = "ticker") -> DataFrame:
@@ -197,6 +202,30 @@ def top_tickers(rows: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
+def snapshot(articles: DataFrame, as_of: str) -> DataFrame:
+    """One row a market of analyzed articles: score, articles, their sources, strongest tickers, trading hour.
+
+    Counts by source and tickers are JSON, as the timeline keeps them.
+    """
+    sources = articles.groupBy("market", F.coalesce("source_cn", "source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    by_source = F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n"))))
+    sources = sources.where("source IS NOT NULL").groupBy("market").agg(F.to_json(by_source).alias("source_counts"))
+    best = F.sort_array(F.collect_list(F.struct("rank", F.struct("ticker", F.round("sentiment_score", 4).alias("score"), F.col("news_count").alias("count")).alias("t"))))
+    tops = top_tickers(by_ticker(articles)).groupBy("market").agg(F.to_json(F.transform(best, lambda x: x["t"])).alias("top_tickers"))
+    rows = snapshot_scores(articles).join(articles.groupBy("market").agg(F.count(F.lit(1)).alias("article_count")), "market").join(sources, "market", "left").join(tops, "market", "left")
+    now = F.lit(as_of).cast("timestamp")
+    return rows.select(
+        now.alias("timestamp"),
+        "market",
+        F.round("snapshot_score", 4).alias("sentiment_score"),
+        "article_count",
+        F.coalesce("source_counts", F.lit("{}")).alias("source_counts"),
+        F.coalesce("top_tickers", F.lit("[]")).alias("top_tickers"),
+        trading_hour(now).alias("is_trading_hour"),
+        F.lit(None).cast("string").alias("error"),
+    )
+
+
 def links(pages: DataFrame, most: int = 50) -> DataFrame:
     """page_id, pos, href, anchor of the first links of each page."""
     pattern = r'<a href="([^"]*)">([^<]*)</a>'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp, lgamma, log, log1p
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,36 @@ def rank_ic(df: DataFrame, features: list[str], label: str = "label") -> DataFra
     return ranked.groupBy("name").agg(correlation(F.col("_rx"), F.col("_ry")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
+def p_value(t: float | None, freedom: float) -> float | None:
+    """Two-sided tail of Student's t: the incomplete beta function at freedom / (freedom + t * t)."""
+    if t is None or freedom <= 0:
+        return None
+    x, a, b = freedom / (freedom + t * t), freedom / 2.0, 0.5
+    if x >= 1.0:
+        return 1.0
+    if x > (a + 1) / (a + b + 2):  # the fraction converges fast on the other side
+        return 1.0 - _beta_tail(1.0 - x, b, a)
+    return _beta_tail(x, a, b)
+
+
+def _beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function by its continued fraction, evaluated from the end."""
+    if x <= 0.0:
+        return 0.0
+    value = 1.0
+    for n in range(200, 0, -1):
+        half = n // 2
+        step = half * (b - half) * x / ((a + n - 1) * (a + n)) if n % 2 == 0 else -(a + half) * (a + b + half) * x / ((a + n - 1) * (a + n))
+        value = 1.0 + step / value
+    return exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log1p(-x)) / (a * value)
+
+
+def with_p_values(report: DataFrame) -> DataFrame:
+    """Adds p_value to ``ic_report``: a small function over one row a feature."""
+    tail = F.udf(p_value, "double")
+    return report.withColumn("p_value", tail("t_stat", (F.col("n") - 2).cast("double")))
+
+
 def ic_report(ics: DataFrame, least: int = 10) -> DataFrame:
     """Adds t_stat, the correlation by its error at n - 2 degrees; with too few rows both are 0.  One row a feature."""
     enough = (F.col("n") >= least) & (F.abs("ic") < 1)

@@ -631,4 +631,6 @@ def _written(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _written(query) for name, query in _found.items()}
+    from quantloom.plans import flow  # which builds on the queries here
+
+    return {name: _written(query) for name, query in (_found | flow.queries()).items()}

@@ -7,9 +7,9 @@ number that does not parse is 0, so one bad response costs nothing but itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.operators.text import compact_to_iso, matches, quick_sentiment_of
@@ -236,6 +236,62 @@ def social_articles(posts: DataFrame, source: str, shown: str, market: str | Non
     )
 
 
+#: Networks by their share of a limit, with their markets and the market that all their posts count for.
+NETWORKS = {"twitter": ("Twitter", 2, None, None), "weibo": ("Weibo", 4, ("CN", "JP"), None), "reddit": ("Reddit", 4, None, "US"), "telegram": ("Telegram", 4, None, None)}
+
+
+def network_articles(posts: DataFrame) -> DataFrame:
+    """Articles of the posts of all networks (column network and those of ``social_articles``)."""
+    out = None
+    for name, (shown, _, markets, market) in NETWORKS.items():
+        own = posts.where(F.col("network") == name)
+        own = social_articles(own if markets is None else own.where(F.col("market").isin(*markets)), name, shown, market)
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def social_mix(articles: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` posts, and of each network its share of that: half for the first, a quarter for others."""
+    place = F.array_position(F.array(*map(F.lit, NETWORKS)), F.col("source"))
+    quota = F.element_at(F.array(*(F.lit(max(1, limit // share)) for _, share, _, _ in NETWORKS.values())), F.greatest(place, F.lit(1)).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("likes"), "url"))
+    rows = articles.withColumns({"_place": place, "_nth": nth}).where((F.col("_place") > 0) & (F.col("_nth") <= quota))
+    return rows.orderBy("_place", "_nth").limit(limit).drop("_place", "_nth")
+
+
+def sources_for(sources: DataFrame, market: str) -> DataFrame:
+    """The enabled feeds (source, language, enabled) that a market reads, by language."""
+    rows = sources.where("enabled")
+    if market == "CN":
+        return rows.where("language = 'zh'")
+    return rows if market == "JP" else rows.where("language IN ('en', 'kr', 'jp')")
+
+
+def fan_out(spark: SparkSession, providers: Mapping[str, Callable[[], DataFrame]], limit: int) -> DataFrame:
+    """The strongest articles of all providers, with an ``error`` column.
+
+    A provider that fails blocks no other: it leaves one row, with its name and its error.
+    """
+    found, failed = None, []
+    for name, fetch in providers.items():
+        try:
+            rows = fetch().select(*ARTICLE)
+        except ImportError:
+            raise
+        except Exception as error:  # whatever else a provider raises is its own
+            failed.append((name, f"{type(error).__name__}: {error}"))
+            continue
+        found = rows if found is None else found.unionByName(rows)
+    errors = spark.createDataFrame(failed, "source string, error string")
+    if found is None:
+        return _failed(errors)
+    return strongest(found, limit).withColumn("error", F.lit(None).cast("string")).unionByName(_failed(errors))
+
+
+def _failed(errors: DataFrame) -> DataFrame:
+    return errors.select(*(F.col(name) if name == "source" else F.lit(None).cast(kind).alias(name) for name, kind in ARTICLE.items()), "error")
+
+
 def strongest(articles: DataFrame, limit: int) -> DataFrame:
     """The articles with the strongest scores of all providers; ties by URL and title."""
     return articles.orderBy(F.desc(F.abs("sentiment")), "url", "title").limit(limit)

@@ -151,6 +151,17 @@ def responses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
             F.array(told("AAPL", F.lit("0.9")), told("V", F.lit("n/a")), told("AAPL", score)).alias("ticker_sentiment"),
         )
         body = F.to_json(F.struct(F.collect_list(item).alias("feed")))
+    elif kind == "entity":
+        item = F.struct(
+            title.alias("title"),
+            about.alias("description"),
+            url.alias("url"),
+            F.concat(F.lit("2024-01-"), day, F.lit("T08:00:00Z")).alias("published_at"),
+            F.when(d % 5 != 0, score).alias("sentiment"),
+            score.alias("sentiment_score"),
+            F.array(F.struct(F.lit("V").alias("symbol"), F.lit("equity").alias("type"))).alias("entities"),
+        )
+        body = F.to_json(F.struct(F.collect_list(item).alias("data")))
     else:
         item = F.struct(title.alias("title"), about.alias("description"), url.alias("url"), F.concat(F.lit("2024-01-"), day).alias("publishedAt"), F.struct(F.col("source").alias("name")).alias("source"))
         body = F.to_json(F.struct(F.collect_list(item).alias("articles")))
@@ -158,6 +169,31 @@ def responses(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return rows.select("market", F.format_string("%06d", F.col("_page") % 7 + 1).alias("symbol"), F.lit("2024-01-31T00:00:00+00:00").alias("collected_at"), "body")
 
 
+def news_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a table of news: time, another cell and a headline with its link."""
+    d = F.col("doc_id")
+    market = F.create_map(*(F.lit(x) for pair in (("en", "US"), ("de", "KR"), ("fr", "JP"), ("es", "CN")) for x in pair))
+    row = F.concat(
+        F.lit("<tr><td> 08:30 </td><td>x</td><td><a class='k' href=\"https://ex.org/"), d.cast("string"), F.lit('"> <b>Item</b> '), d.cast("string"), F.lit(" the &amp; "), F.coalesce("source", F.lit("")), F.lit("</a></td></tr>")
+    )
+    rows = table(spark, sf_dir, "documents").groupBy(F.floor(d / 40).alias("page"), market[F.col("lang")].alias("market")).agg(F.sort_array(F.collect_list(F.struct(d, row.alias("row")))).alias("rows"))
+    html = F.concat(F.lit('<p>head</p><table id="t" class="big news"><tr><td>no</td></tr>'), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("</table>"))
+    return rows.select("market", F.lit("2024-01-31T00:00:00+00:00").alias("collected_at"), html.alias("html"))
+
+
+def social_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts of four networks with their engagement."""
+    rows = articles(spark, sf_dir)
+    network = _pick(("twitter", "weibo", "reddit", "telegram"), F.col("seq") % 4)
+    return rows.select(network.alias("network"), F.col("text").alias("content"), "url", "published", "market", "collected_at", "followers", "retweets", "likes", "comments")
+
+
+def feed_sources(spark: SparkSession) -> DataFrame:
+    """Feeds with their language."""
+    rows = [("a", "en", True), ("b", "zh", True), ("c", "jp", True), ("d", "kr", True), ("e", "de", True), ("f", "en", False)]
+    return spark.createDataFrame(rows, "source string, language string, enabled boolean")
+
+
 def event_score():
     return clamp((F.col("value") - 35) / 120.7)
 
@@ -177,10 +213,15 @@ def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The polled sentiment of each market, one row a poll."""
+    return as_snapshots(table(spark, sf_dir, "events"))
+
+
+def as_snapshots(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream of them, as polls; one that failed has its error and score 0."""
     market = F.create_map(*(F.lit(x) for pair in (("click", "CN"), ("view", "US"), ("signup", "KR"), ("purchase", "JP"), ("error", "CN")) for x in pair))
     failed = F.col("event_type") == "error"
     ts = F.col("ts").cast("timestamp")
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("seq"),
         ts.alias("timestamp"),
         market[F.col("event_type")].alias("market"),

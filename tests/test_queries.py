@@ -7,6 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from quantloom.operators import validation
 from quantloom.plans import oracle, queries
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,7 +39,7 @@ def rows(frame):
 
 
 def test_every_query_but_the_model_has_sql():
-    assert set(queries.queries()) - set(ORACLE) == {"gbt_rank"}
+    assert set(queries.queries()) - set(ORACLE) == {"gbt_rank", "model_round_trip", "ic_p_values"}
     assert set(ORACLE) <= set(queries.queries())
 
 
@@ -49,6 +50,18 @@ def test_equals_sql(spark, sf_dir, duck, name):
     assert got[1] == want[1]
 
 
+def test_models_and_tails(spark, sf_dir):
+    found = {r.feature: r.importance for r in queries.queries()["model_round_trip"](spark, sf_dir).collect()}
+    assert set(found) == set(queries.FEATURES) and sum(found.values()) == pytest.approx(1)
+    for r in queries.queries()["ic_p_values"](spark, sf_dir).collect():
+        assert 0 <= r.p_value <= 1 and (r.p_value < 0.05) == (abs(r.t_stat) > 1.9604 if r.n > 10_000 else abs(r.t_stat) > 1.962)
+
+
+@pytest.mark.parametrize(("t", "freedom", "p"), [(0.0, 5, 1.0), (1.0, 1, 0.5), (2.0, 10, 0.0733880), (-2.0, 10, 0.0733880), (12.706205, 1, 0.05), (1.959964, 1e9, 0.05), (4.0, 30, 0.000380), (None, 5, None), (1.0, 0, None)])
+def test_tails_of_t(t, freedom, p):
+    assert validation.p_value(t, freedom) == (p if p is None else pytest.approx(p, abs=2e-6))
+
+
 def test_entry_and_gbt(spark, sf_dir):
     import __spark_entry__ as entry
 
