@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -89,8 +90,10 @@ class Scratch:
         """Has the shuffle files of finished steps deleted now: Spark deletes them when the
         driver's garbage is collected, which without memory pressure is long after.  Those of
         a DataFrame that still has a name stay."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first pass frees what holds the last step's references
+            gc.collect()
+            time.sleep(0.3)
+            self.spark.sparkContext._jvm.System.gc()
 
 
 def text_bytes(column: str = "text"):
@@ -98,6 +101,20 @@ def text_bytes(column: str = "text"):
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+# --------------------------------------------------------------------------- packing
+
+
+def packed(values: np.ndarray) -> bytes:
+    """64-bit values byte plane by byte plane, so that bytes that hardly differ lie together, and compressed."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, kind: type) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
 # --------------------------------------------------------------------------- hashing
 
 #: ASCII white space: tab, line feed, vertical tab, form feed, carriage return, space.

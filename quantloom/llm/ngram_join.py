@@ -36,14 +36,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import Scratch, Texts, mix, signed, steps, text_bytes, windows
+from quantloom.llm.common import Scratch, Texts, mix, packed, signed, steps, text_bytes, unpacked, windows
 from quantloom.llm.components import components
 
 WORDS, PERCENT = 4, 85
 #: Upper end of a band over its lower end.
 BAND_RATIO = 1.5
-#: Signatures that a task gathers before it links its own equal ones and sends the rest.
-CHUNK_ROWS = 1 << 19
+#: Signatures that a task gathers before it links its own equal ones and sends the rest,
+#: and bytes of text whose signatures (about one in ten bytes) meet in a bucket.
+CHUNK_ROWS, BUCKET_BYTES = 1 << 19, 8 << 20
 #: Members of a signature up to which it is not worth leaving out.
 UNPOPULAR = 4
 #: Centres of each signature in the second round of stars (the first has one), and how many times more in each next.
@@ -119,12 +120,16 @@ def long_parities(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list
     return [bits[i:j].tobytes() for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """A long sketch folded to so many words, or as it is if it is shorter."""
+    bits = np.frombuffer(sketch, np.uint64)
+    return np.bitwise_xor.reduce(bits.reshape(-1, min(words, len(bits))), axis=0)
+
+
 def bits_apart(a: bytes, b: bytes) -> int:
     """Bits in which two long sketches differ, the longer one folded to the shorter."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    x, y = (x, y) if len(x) <= len(y) else (y, x)
-    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
-    return int(np.bitwise_count(x ^ y).sum())
+    words = min(len(a), len(b)) // 8
+    return int(np.bitwise_count(folded(a, words) ^ folded(b, words)).sum())
 
 
 class Bands:
@@ -132,20 +137,22 @@ class Bands:
 
     Of a band's parts, similar sets differ in two or more subparts of k // 2 at most.  Of
     the others one must remain; ``spare`` ones may be without elements in a signature and
-    each of two sets may leave out ``leave`` more.
+    each of two sets may leave out ``leave`` more.  ``words`` is the length of a sketch with a
+    bit an element or so, which sets apart what 256 bits cannot; 0 where those do.
     """
 
     def __init__(self, largest: int, percent: int = PERCENT, ratio: float = BAND_RATIO):
-        low, self.low, self.reach, self.parts, self.spare, self.leave = 1, [], [], [], [], []
+        low, self.low, self.reach, self.parts, self.spare, self.leave, self.words = 1, [], [], [], [], [], []
         while low <= largest:
             high = max(low, ceil(low * ratio) - 1)
             reach = high * 100 // percent
             k = (100 - percent) * (high + reach) // (100 + percent)
             self.low.append(low)
             self.reach.append(reach)
-            spare, leave = k // 40, 0 if k < 16 else 1 + k // 32
+            spare, leave = k // 40, 0 if k < 16 else 1 + k // 16
             self.spare.append(spare)
             self.leave.append(leave)
+            self.words.append(0 if reach < 512 else 1 << int(0.75 * low / 64).bit_length())
             self.parts.append(0 if k == 0 else k // 2 + 1 + spare + 2 * leave)
             low = high + 1
 
@@ -193,16 +200,36 @@ def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Ban
     return np.concatenate(out_row), np.concatenate(out_key), np.concatenate(out_band)
 
 
-def _link_own(keys: np.ndarray, docs: np.ndarray, bands: np.ndarray) -> pa.RecordBatch:
-    """One task's rows of a key: the least goes on to its key, the others stay apart."""
+#: Columns of packed signatures: those of one bucket of keys, or ``direct`` ones that need none.
+_PACKED = "bucket long, direct boolean, n long, keys binary, docs binary, notes binary"
+
+
+def _pack(bucket: int, direct: bool, keys: np.ndarray, docs: np.ndarray, notes: np.ndarray) -> tuple:
+    """Signatures in order of key; note 2 * band, and 1 more if several documents are known to have the key."""
+    steps_of = np.diff(keys, prepend=np.uint64(0))
+    return bucket, direct, len(keys), packed(steps_of), packed(docs), packed(notes.astype(np.int64))
+
+
+def _link_own(keys: np.ndarray, docs: np.ndarray, bands: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One task's signatures, packed by bucket of key: of a key's documents the least goes to its
+    bucket; the others are known to share the key and go anywhere."""
     order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
+    keys, docs, bands = keys[order], docs[order], bands[order].astype(np.int64)
     new = np.ones(len(keys), bool)
     new[1:] = keys[1:] != keys[:-1]
-    last = np.ones(len(keys), bool)
-    last[:-1] = new[1:]
-    kind = np.where(new, np.where(last, 0, 1), 2).astype(np.int8)
-    return pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(docs), pa.array(kind), pa.array(bands[order])], names=["key", "doc", "kind", "band"])
+    followed = np.zeros(len(keys), bool)
+    followed[:-1] = ~new[1:]
+    rest = ~new
+    rows = []
+    if rest.any():
+        rows.append(_pack(int(keys[0] % np.uint64(buckets)), True, keys[rest], docs[rest], 2 * bands[rest] + 1))
+    keys, docs, notes = keys[new], docs[new], (2 * bands + followed)[new]
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    found, first = np.unique(bucket, return_index=True)
+    for i, (start, end) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)):
+        rows.append(_pack(int(found[i]), False, keys[start:end], docs[start:end], notes[start:end]))
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "direct", "n", "keys", "docs", "notes"])
 
 
 _P = tuple(f"p{i}" for i in range(SKETCH))
@@ -237,8 +264,11 @@ def set_table(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, schema)
 
 
-def signature_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK_ROWS) -> DataFrame:
-    """key, doc, kind (0: alone in its task, 1: the task's least, 2: another of the task), band."""
+def signature_rows(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK_ROWS, buckets: int | None = None) -> DataFrame:
+    """The signatures of all texts, packed (see ``_link_own``)."""
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
+        buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(size / BUCKET_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(1 << 12, percent)
@@ -265,41 +295,40 @@ def signature_rows(docs: DataFrame, text: str = "text", words: int = WORDS, perc
                 held.append((key, ids[part.first_row + at], band))
                 size += len(key)
                 if size >= chunk:
-                    yield _link_own(*map(np.concatenate, zip(*held, strict=True)))
+                    yield _link_own(*map(np.concatenate, zip(*held, strict=True)), buckets)
                     held, size = [], 0
                     seen.clear()
         if size:
-            yield _link_own(*map(np.concatenate, zip(*held, strict=True)))
+            yield _link_own(*map(np.concatenate, zip(*held, strict=True)), buckets)
 
     rows = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull())
-    return rows.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, "key long, doc long, kind byte, band short")
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key those whose key has several documents.  Holds one row."""
-    names = ["key", "doc", "kind", "band"]
-    pending: pa.RecordBatch | None = None
-    emitted_key = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if pending is not None:
-            batch = pa.RecordBatch.from_arrays([pa.concat_arrays([x.cast(y.type), y]) for x, y in zip(pending.columns, batch.columns, strict=True)], names=names)
-        key, kind = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-        same = key[1:] == key[:-1]
-        many = kind > 0
+    return rows.select(F.col("doc_id").cast("long"), text_bytes(text)).mapInArrow(run, _PACKED)
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """Of a bucket's signatures those that several documents have."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for row in table.to_pylist():
+        n = row["n"]
+        keys = np.cumsum(unpacked(row["keys"], n, np.uint64), dtype=np.uint64)
+        part = keys, unpacked(row["docs"], n, np.int64), unpacked(row["notes"], n, np.int64)
+        (found if row["direct"] else parts).append(part)
+    if parts:
+        keys, docs, notes = map(np.concatenate, zip(*parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        many = notes[order] % 2 > 0
         many[1:] |= same
         many[:-1] |= same
-        many[0] |= emitted_key is not None and key[0] == emitted_key
-        pending, emitted_key = (None, int(key[-1])) if many[-1] else (batch.slice(batch.num_rows - 1), None)
-        out = batch.filter(pa.array(many))
-        yield pa.RecordBatch.from_arrays([out.column(0), out.column(1), out.column(3)], names=["key", "doc", "band"])
+        found.append(tuple(x[order[many]] for x in (keys, docs, notes)))
+    keys, docs, notes = map(np.concatenate, zip(*found, strict=True))
+    return pa.table({"key": pa.array(signed(keys)), "doc": pa.array(docs), "band": pa.array((notes >> 1).astype(np.int16))})
 
 
 def shared_signatures(rows: DataFrame) -> DataFrame:
     """key, doc, band of the signatures that more than one document has."""
-    spread = F.when(F.col("kind") == 2, F.xxhash64("key", "doc")).otherwise(F.col("key"))
-    return rows.repartition(spread).sortWithinPartitions("key").mapInArrow(_shared, "key long, doc long, band short")
+    return rows.groupBy("bucket").applyInArrow(_shared, "key long, doc long, band short")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -371,7 +400,20 @@ def _placed(met: DataFrame, leave: list[int]) -> DataFrame:
     allowed = F.element_at(F.array(*map(F.lit, leave)), F.col("band").cast("int") + 1)
     met = met.withColumn("place", F.row_number().over(by_popularity)).where((F.col("m") <= UNPOPULAR) | (F.col("place") > allowed))
     by_key = Window.partitionBy("rep").orderBy("key")
-    return met.drop("band", "m", "place").withColumns({f"k{i}": F.lag("key", i).over(by_key) for i in range(1, REMEMBERED + 1)})
+    return met.drop("m", "place").withColumns({f"k{i}": F.lag("key", i).over(by_key) for i in range(1, REMEMBERED + 1)})
+
+
+def _with_long_sketch(rows: DataFrame, words: list[int]) -> DataFrame:
+    """Takes the sketch of each row to its band's length, as w; null where the short one does."""
+    kept = [c for c in rows.columns if c not in ("band", "sketch")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.array(words)[batch.column("band").to_numpy()].tolist()
+            found = [folded(x, n).view(np.int64) if n else None for x, n in zip(batch.column("sketch").to_pylist(), size, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.list_(pa.int64()))], names=[*kept, "w"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", w array<long>")
 
 
 def _round(placed: DataFrame, stars: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -383,11 +425,13 @@ def _round(placed: DataFrame, stars: int, percent: int) -> tuple[DataFrame, Data
     first = placed.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("place") <= stars).drop("place")
     x = first.select(*(F.col(c).alias(f"x_{c}") for c in first.columns))
     y = placed.select(*(F.col(c).alias(f"y_{c}") for c in placed.columns))
+    wide = "aggregate(zip_with(x_w, y_w, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)"
     earlier = ", ".join(f"{{0}}_k{i}" for i in range(1, REMEMBERED + 1))
     apart = " + ".join(f"bit_count(x_{q} ^ y_{q})" for q in _Q)
     near = (
         f"x_key = y_key AND x_rep < y_rep AND x_label != y_label AND 100 * least(x_n, y_n) >= {percent} * greatest(x_n, y_n)"
         f" AND {apart} <= {_bound('x_n', 'y_n', percent)} AND NOT arrays_overlap(array({earlier.format('x')}), array({earlier.format('y')})) IS TRUE"
+        f" AND (x_w IS NULL OR y_w IS NULL OR {wide} <= {_bound('x_n', 'y_n', percent)})"
     )
     pairs = x.join(y, F.expr(near)).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
     done = first.groupBy("key").agg(F.max("rep").alias("last"))
@@ -432,10 +476,11 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
 
     links, _ = linked(pairs, links, 0)
     labels = components(links, scratch, "stars0_")
-    folded = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
+    halves = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
+    bands = Bands(int(largest), percent)
     met = _undecided(labelled(met)).drop("label")
-    placed = _placed(met, Bands(int(largest), percent).leave).join(classes.select("rep", "n", *folded), "rep")
-    placed = scratch.write(labelled(placed), "placed0")
+    placed = _placed(met, bands.leave).join(classes.select("rep", "n", *halves, "sketch"), "rep")
+    placed = scratch.write(labelled(_with_long_sketch(placed, bands.words)), "placed0")
     del met, pairs, centres
     scratch.drop("met")
     scratch.release()

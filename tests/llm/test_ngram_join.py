@@ -52,8 +52,7 @@ def test_equals_brute_force(make, corpus):
 def test_small_chunks_and_partitions_agree(make, corpus, monkeypatch):
     rows = [(r[0], r[1]) for r in corpus[:60]]
     docs = make(rows).repartition(7)
-    keys = ngram_join.signature_rows(docs, chunk=50)
-    assert keys.where("kind = 2").count() > 0
+    assert ngram_join.signature_rows(docs, chunk=50).where("direct").count() > 0
     one = ngram_join.shared_signatures(ngram_join.signature_rows(docs, chunk=50)).distinct().collect()
     all_at_once = ngram_join.shared_signatures(ngram_join.signature_rows(docs.coalesce(1))).distinct().collect()
     # Exact copies that one task holds need no signatures of their own.
@@ -100,16 +99,16 @@ def crowd(seed, groups=6, members=14, length=130):
         for m in range(members):
             words = list(base)
             start = rng.randrange(length // 2)
-            for i in range(start, start + rng.choice([3, 10, 20, 25, 30, 35])):  # one run, so that signatures beside it stay
+            for i in range(start, start + rng.choice([3, 10, 20, 25, 30, 35]) * length // 130):  # one run, so that signatures beside it stay
                 words[i] = f"v{g}x{m}y{i}"
             rows.append((len(rows) * 3 + 1, " ".join(words + shared)))
     rng.shuffle(rows)
     return rows
 
 
-@pytest.mark.parametrize("words,percent,seed", [(4, 85, 1), (5, 80, 2)])
-def test_crowds_under_one_signature(make, words, percent, seed):
-    rows = crowd(seed)
+@pytest.mark.parametrize("words,percent,seed,length", [(4, 85, 1, 130), (5, 80, 2, 130), (5, 80, 3, 900)])
+def test_crowds_under_one_signature(make, words, percent, seed, length):
+    rows = crowd(seed, length=length)
     found = sorted(map(tuple, ngram_join.similar_documents(make(rows), words=words, percent=percent).collect()), key=str)
     assert found == brute(rows, words, percent)
     assert len(rows) > len({r[2] for r in found}) > 12  # some are linked, many are not
