@@ -3,8 +3,9 @@
 A vector is coded in subspaces of two dimensions with 16 codewords each.  Codewords and
 codes minimise the anisotropic loss, in which the part of the residual that is parallel
 to the vector weighs more than the rest, because only that part moves the large inner
-products.  A scan adds up table entries for pairs of codes; the best of each block are
-scored again with the original vectors in double precision.
+products.  A scan adds up table entries for pairs of codes; the best of each block, and
+those that its error does not set apart from them, are scored again with the original
+vectors in double precision.
 
 Every valid row is coded and scanned.  The query set is compared with all rows in blocks:
 queries and coded vectors are packed in blocks of bounded size, every vector block meets
@@ -35,8 +36,9 @@ SAMPLE = 10_000
 THRESHOLD = 0.2
 CODES, WIDTH = 16, 2
 BLOCK_VECTORS, BLOCK_QUERIES, SCAN_QUERIES = 4096, 8192, 256
-#: Of each block, rows that are scored exactly for each query, besides ties.
-SHORTLIST = 64
+#: Of each block, rows that are scored exactly for each query at least.  Beyond them come all
+#: whose rough score is within so many standard errors of the k-th best one.
+SHORTLIST, ERRORS = 64, 2.0
 FIT_ROUNDS, SWEEPS = 6, 2
 
 
@@ -101,6 +103,13 @@ class Quantiser:
         used = used.reshape(self.spaces, CODES)
         self.words[used] = solved[used]
 
+    def error(self, vectors: np.ndarray, packed: np.ndarray) -> float:
+        """Standard error of rough scores for a query of norm 1: what codes leave of the vectors, by dimension."""
+        codes = np.empty((len(packed), self.spaces), np.int64)
+        codes[:, 0::2], codes[:, 1::2] = packed >> 4, packed & 15
+        back = self.words[np.arange(self.spaces), codes].reshape(len(codes), -1)[:, : self.dim]
+        return float(np.sqrt(((vectors - back) ** 2).mean())) if len(vectors) else 0.0
+
     def pack(self, vectors: np.ndarray) -> np.ndarray:
         """Two four-bit codes in a byte."""
         codes = self.codes(vectors)
@@ -147,6 +156,7 @@ def scan(quantiser: Quantiser, queries: np.ndarray, own: np.ndarray, vectors: np
     """The k best of a block for each query: table scan, then exact scores."""
     out = []
     shortlist = max(shortlist, 2 * k)
+    error = quantiser.error(vectors, codes)
     for low in range(0, len(queries), SCAN_QUERIES):
         part = queries[low : low + SCAN_QUERIES]
         tables = quantiser.tables(part)
@@ -155,7 +165,9 @@ def scan(quantiser: Quantiser, queries: np.ndarray, own: np.ndarray, vectors: np
             rough += table.take(column, axis=1)
         rough[own[low : low + SCAN_QUERIES, None] == ids[None]] = -np.inf
         if rough.shape[1] > shortlist:
-            bound = np.partition(rough, -shortlist, axis=1)[:, -shortlist]
+            ends = np.partition(rough, (-shortlist, -k), axis=1)
+            near = ends[:, -k] - np.float32(ERRORS * error) * np.linalg.norm(part, axis=1).astype(np.float32)
+            bound = np.minimum(ends[:, -shortlist], near)
             row, at = np.nonzero(rough >= bound[:, None])
         else:
             row, at = np.nonzero(rough > -np.inf)

@@ -56,6 +56,29 @@ def test_few_rows_and_none(spark, rows):
     assert search(spark, [(20, [1.0, 2.0])]) == []
 
 
+@pytest.mark.parametrize("dim", [64, 200])
+def test_recall_at_production_settings(dim):
+    rng = np.random.default_rng(5)
+    cluster = rng.normal(size=dim) + rng.normal(0, 0.02, (2000, dim))  # a hot group of near copies in the middle of a block
+    x = np.concatenate([rng.normal(size=(5000, dim)), cluster, rng.normal(size=(1192, dim))])
+    fitted = ann.Quantiser(x[rng.choice(len(x), 3000, replace=False)])
+    own = np.arange(0, len(x), 20)
+    best = None
+    for low in range(0, len(x), ann.BLOCK_VECTORS):
+        part, ids = x[low : low + ann.BLOCK_VECTORS], np.arange(low, min(low + ann.BLOCK_VECTORS, len(x)))
+        row, score, found = ann.scan(fitted, x[own], own, part, ids, fitted.pack(part), 20, ann.SHORTLIST)
+        best = (row, score, found) if best is None else ann._best(*(np.concatenate(p) for p in zip(best, (row, score, found), strict=True)), 20)
+    for chosen in (own < 5000, (own >= 5000) & (own < 7000)):
+        hits = total = 0
+        for i in np.flatnonzero(chosen):
+            s = x @ x[own[i]]
+            s[own[i]] = -np.inf
+            want = set(np.lexsort((np.arange(len(x)), -s))[:20].tolist())
+            hits += len(want & set(best[2][best[0] == i].tolist()))
+            total += 20
+        assert hits >= 0.93 * total, hits / total
+
+
 def test_parallel_residual_weighs_more():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(3000, 16))
