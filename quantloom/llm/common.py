@@ -13,6 +13,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +58,21 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def discarding() -> Iterator[None]:
+    """Deletes at its end the tables that operators have written inside: what has been made of
+    their lazy results inside stays, if it was written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch._clean()
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder to cut its lineage.
 
@@ -68,6 +84,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
+        if _scopes:
+            _scopes[-1].append(self)
         self.root = f"{shared_dir(spark)}/quantloom/{name}-{uuid.uuid4().hex}"
         atexit.register(self._clean)
 
