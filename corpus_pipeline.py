@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import byte_bpe, language_id, line_dedup, mixing, ngram_join
-from quantloom.llm.common import Scratch
+from quantloom.llm.common import Scratch, discarding
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -65,8 +65,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on the documents of ``sf_dir``, each written to the shared folder."""
-    scratch = Scratch(spark, "pipeline")
+    scratch, before = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with discarding():  # a stage's own tables, once its result is written
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
