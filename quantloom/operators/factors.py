@@ -3,7 +3,8 @@
 Every family is a function from bars to bars with further columns.  All of them use the
 same window (symbol, date), so the whole library costs one exchange and one sort; values
 that later windows need (returns, deltas, logs) are columns of an earlier projection.
-Factors look at past rows only; a missing window gives 0, the label stays null.
+Factors look at past rows only, but for ``amount``, which decides by the symbol's whole sum
+whether there are amounts at all; a missing window gives 0, the label stays null.
 """
 
 from __future__ import annotations

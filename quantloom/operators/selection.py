@@ -16,7 +16,8 @@ YEAR = 252
 def latest(df: DataFrame, by: str = "market") -> DataFrame:
     """The rows of each market's last date."""
     last = df.groupBy(by).agg(F.max("date").alias("_last")).withColumnRenamed(by, "_by")
-    return df.join(F.broadcast(last), (F.col(by) == F.col("_by")) & (F.col("date") == F.col("_last"))).drop("_by", "_last")
+    last = F.broadcast(last) if by == "market" else last  # a row a market; other keys may be many
+    return df.join(last, (F.col(by) == F.col("_by")) & (F.col("date") == F.col("_last"))).drop("_by", "_last")
 
 
 def name_allowed(pattern: str = "ST|退|暂停") -> Column:

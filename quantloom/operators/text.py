@@ -12,23 +12,40 @@ from quantloom.functions.expr import clamp
 from quantloom.operators.timeline import trading_hour
 
 # The financial lexicons, the quick lexicons, the symbols and the names that results depend on.
-CN_POSITIVE = "涨停 大涨 暴涨 飙升 突破 利好 牛市 反弹 反转 回暖 攀升 强势 超预期 创新高 放量上涨 触底反弹 企稳回升 业绩大增 扭亏为盈 分红 回购 评级上调 买入 增持 优质 龙头".split()
-CN_NEGATIVE = "跌停 大跌 暴跌 跳水 崩盘 利空 熊市 亏损 减持 卖出 评级下调 ST 退市 违约 爆仓 恐慌 抛售 破位 下行 低迷 利空出尽 业绩预亏 商誉减值 立案调查 监管处罚".split()
-EN_POSITIVE = (
-    "beat,earnings beat,outperform,upgrade,buy,bullish,positive guidance,record high,rally,surge,breakout,recovery,momentum,growth,"
-    "dividend increase,buyback,strong quarter,raised guidance,overweight,market leader"
-).split(",")
-EN_NEGATIVE = (
-    "miss,earnings miss,downgrade,sell,bearish,negative guidance,crash,plunge,loss,decline,recession,default,bankruptcy,selloff,"
-    "underperform,underweight,restructuring,layoff,investigation,regulatory action"
-).split(",")
-QUICK_CN_POSITIVE = "利好 大涨 牛市 突破 反弹 涨停 增长 创新高 超预期 放量大涨 飙升 逆转 回暖 攀升 强势".split()
-QUICK_CN_NEGATIVE = "利空 大跌 熊市 暴跌 跌停 风险 亏损 减持 利空出尽 恐慌 抛售 破位 下行 低迷 崩盘".split()
-QUICK_EN_POSITIVE = "rally,surge,breakout,bullish,upgrade,beat,growth,record high,positive,outperform,boom,recovery,momentum,soar,jump".split(",")
-QUICK_EN_NEGATIVE = "crash,plunge,bearish,downgrade,miss,loss,decline,recession,negative,slump,tumble,selloff,downturn,default,bankruptcy".split(",")
-US_SYMBOLS = (
-    "AAPL MSFT GOOGL GOOG AMZN NVDA TSLA META AVGO JPM V BAC WMT JNJ PG XOM CVX UNH HD DIS MA NFLX ADBE CRM INTC AMD PYPL BABA JD NIO TSM SPY QQQ DIA IWM VIX KWEB FXI EWJ EWY"
-).split()
+CN_POSITIVE = [
+    "涨停", "大涨", "暴涨", "飙升", "突破", "利好", "牛市", "反弹", "反转", "回暖", "攀升", "强势", "超预期", "创新高", "放量上涨", "触底反弹", "企稳回升", "业绩大增", "扭亏为盈", "分红", "回购", "评级上调",
+    "买入", "增持", "优质", "龙头",
+]
+CN_NEGATIVE = [
+    "跌停", "大跌", "暴跌", "跳水", "崩盘", "利空", "熊市", "亏损", "减持", "卖出", "评级下调", "ST", "退市", "违约", "爆仓", "恐慌", "抛售", "破位", "下行", "低迷", "利空出尽", "业绩预亏", "商誉减值",
+    "立案调查", "监管处罚",
+]
+EN_POSITIVE = [
+    "beat", "earnings beat", "outperform", "upgrade", "buy", "bullish", "positive guidance", "record high", "rally", "surge", "breakout", "recovery",
+    "momentum", "growth", "dividend increase", "buyback", "strong quarter", "raised guidance", "overweight", "market leader",
+]
+EN_NEGATIVE = [
+    "miss", "earnings miss", "downgrade", "sell", "bearish", "negative guidance", "crash", "plunge", "loss", "decline", "recession", "default",
+    "bankruptcy", "selloff", "underperform", "underweight", "restructuring", "layoff", "investigation", "regulatory action",
+]
+QUICK_CN_POSITIVE = [
+    "利好", "大涨", "牛市", "突破", "反弹", "涨停", "增长", "创新高", "超预期", "放量大涨", "飙升", "逆转", "回暖", "攀升", "强势",
+]
+QUICK_CN_NEGATIVE = [
+    "利空", "大跌", "熊市", "暴跌", "跌停", "风险", "亏损", "减持", "利空出尽", "恐慌", "抛售", "破位", "下行", "低迷", "崩盘",
+]
+QUICK_EN_POSITIVE = [
+    "rally", "surge", "breakout", "bullish", "upgrade", "beat", "growth", "record high", "positive", "outperform", "boom", "recovery", "momentum",
+    "soar", "jump",
+]
+QUICK_EN_NEGATIVE = [
+    "crash", "plunge", "bearish", "downgrade", "miss", "loss", "decline", "recession", "negative", "slump", "tumble", "selloff", "downturn",
+    "default", "bankruptcy",
+]
+US_SYMBOLS = [
+    "AAPL", "MSFT", "GOOGL", "GOOG", "AMZN", "NVDA", "TSLA", "META", "AVGO", "JPM", "V", "BAC", "WMT", "JNJ", "PG", "XOM", "CVX", "UNH", "HD", "DIS",
+    "MA", "NFLX", "ADBE", "CRM", "INTC", "AMD", "PYPL", "BABA", "JD", "NIO", "TSM", "SPY", "QQQ", "DIA", "IWM", "VIX", "KWEB", "FXI", "EWJ", "EWY",
+]
 CN_NAMES = {
     "贵州茅台": "600519.SS",
     "五粮液": "000858.SZ",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quantloom.operators.text import US_SYMBOLS  # a fixed value
+
 _BY = "l_shipdate, l_orderkey, l_linenumber, l_partkey, p"
 BARS = f"""
 px AS (SELECT l_suppkey, date_trunc('week', l_shipdate)::DATE AS date, l_extendedprice / l_quantity AS p, l_quantity AS q,
@@ -198,7 +200,7 @@ _WEIGHT = """((CASE type WHEN 'api' THEN 1.2 WHEN 'social' THEN 0.6 ELSE 1.0 END
   * (CASE WHEN retweets * 2 + likes + comments * 3 + score > 1000 THEN least(1.5, 1 + (retweets * 2 + likes + comments * 3 + score) / 10000.0) ELSE 1.0 END))"""
 _FULL = "trim(concat_ws(' ', text, comments_text), ' ')"
 _QUICK = f"greatest(-1.0, least(1.0, ({hits('text', POS)} - {hits('text', NEG)}) * 0.15))"
-_SYMBOLS = "AAPL MSFT GOOGL GOOG AMZN NVDA TSLA META AVGO JPM V BAC WMT JNJ PG XOM CVX UNH HD DIS MA NFLX ADBE CRM INTC AMD PYPL BABA JD NIO TSM SPY QQQ DIA IWM VIX KWEB FXI EWJ EWY".split()
+_SYMBOLS = US_SYMBOLS
 ANALYZED = f"""an0 AS (SELECT *, {_FULL} AS full_text FROM art),
 an1 AS (SELECT *, greatest(-0.5, least(0.5, ({hits('full_text', POS)} - {hits('full_text', NEG)}) * 0.08)) AS raw FROM an0),
 an2 AS (SELECT *, CASE WHEN followers > 10000 THEN raw * 0.8 + raw * least(followers / 1e6, 0.2) ELSE raw END AS sc FROM an1),

@@ -66,4 +66,7 @@ def test_entry_and_gbt(spark, sf_dir):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).columns == ["date", "ret", "cum"]
-    assert {"date", "ndcg"} == set(queries.queries()["gbt_rank"](spark, sf_dir).columns)
+    ranked = queries.queries()["gbt_rank"](spark, sf_dir)
+    assert {"date", "ndcg"} == set(ranked.columns)
+    found = [r.ndcg for r in ranked.collect()]
+    assert found and all(0 <= x <= 1 for x in found) and len(set(found)) > 1
