@@ -469,19 +469,22 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
         """The links so far with what the pairs add, and whether they add any."""
         asked = scratch.write(_open_pairs(pairs, classes, percent), f"asked{step}")
         found = scratch.write(verified(asked, docs, text, words, percent), f"links{step}")
+        scratch.drop(f"asked{step}")
         return (links.unionAll(found), True) if found.take(1) else (links, False)
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
 
     links, _ = linked(pairs, links, 0)
+    del pairs, centres
+    scratch.release()
     labels = components(links, scratch, "stars0_")
     halves = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
     bands = Bands(int(largest), percent)
     met = _undecided(labelled(met)).drop("label")
     placed = _placed(met, bands.leave).join(classes.select("rep", "n", *halves, "sketch"), "rep")
     placed = scratch.write(labelled(_with_long_sketch(placed, bands.words)), "placed0")
-    del met, pairs, centres
+    del met
     scratch.drop("met")
     scratch.release()
     stars, step = STARS, 1
@@ -493,6 +496,8 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
             rest = labelled(rest.drop("label"))
         placed = scratch.write(_undecided(rest), f"placed{step}")
         scratch.drop(f"placed{step - 1}")
+        del pairs, rest
+        scratch.release()
         stars, step = stars * MORE_STARS, step + 1
     found = sets.join(labels, F.col("doc_id") == F.col("node"), "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
