@@ -106,18 +106,19 @@ def rolling_corr(x: str | Column, y: str | Column, w: int, least: int | None = N
     return F.when(enough & (spread > EPS), F.covar_pop(x, y).over(f) / spread)
 
 
-def window_quantiles(x: str | Column, w: int, *shares: float) -> list[Column]:
-    """Interpolated quantiles of the last w rows, all from one sorted frame; null below w // 2 values."""
-    values = F.sort_array(F.collect_list(col(x)).over(frame(w)))
-    n = F.size(values)
+def sorted_frame(x: str | Column, w: int) -> Column:
+    """The values of the last w rows that are not null, ascending."""
+    return F.sort_array(F.collect_list(col(x)).over(frame(w)))
 
-    def at(q: float) -> Column:
-        place = (n - 1) * F.lit(q)
-        low = F.floor(place).cast("int")
-        a, b = F.get(values, low), F.get(values, F.ceil(place).cast("int"))
-        return F.when(n >= max(1, w // 2), a + (b - a) * (place - low))
 
-    return [at(q) for q in shares]
+def quantile_of(values: str | Column, share: float, least: int = 1) -> Column:
+    """Interpolated quantile of a sorted array; null below ``least`` values."""
+    values = col(values)
+    n = F.size(values)
+    place = (n - 1) * F.lit(share)
+    low = F.floor(place).cast("int")
+    a, b = F.get(values, low), F.get(values, F.ceil(place).cast("int"))
+    return F.when(n >= max(1, least), a + (b - a) * (place - low))
 
 
 def pct_rank(x: str | Column, *keys: str) -> Column:

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantloom.functions.expr import EPS, by_date, frame, guarded, over_floor, over_shifted, rolling, rolling_corr, shifted, window_quantiles, with_emas
+from quantloom.functions.expr import EPS, by_date, frame, guarded, over_floor, over_shifted, quantile_of, rolling, rolling_corr, shifted, sorted_frame, with_emas
 
 MA = (3, 5, 10, 20, 30, 60)
 ROC = (5, 10, 20, 60)
@@ -163,11 +163,10 @@ def regression(bars: DataFrame, windows=WINDOWS, kinds=("BETA", "RSQR", "RESI"))
 
 def quantile(bars: DataFrame, windows=WINDOWS) -> DataFrame:
     first = F.first("close").over(by_date().rowsBetween(Window.unboundedPreceding, 0))
-    out = {}
-    for w in windows:
-        for name, value in zip((f"QTLU_{w}", f"QTLD_{w}"), window_quantiles("close", w, 0.8, 0.2), strict=True):
-            out[name] = over_floor(F.coalesce(value, first), "close")
-    return bars.withColumns(out)
+    bars = bars.withColumns({f"_s{w}": sorted_frame("close", w) for w in windows} | {"_first": first})
+    at = lambda w, q: over_floor(F.coalesce(quantile_of(f"_s{w}", q, w // 2), F.col("_first")), "close")
+    bars = bars.withColumns({f"QTLU_{w}": at(w, 0.8) for w in windows} | {f"QTLD_{w}": at(w, 0.2) for w in windows})
+    return bars.drop("_first", *(f"_s{w}" for w in windows))
 
 
 def rank(bars: DataFrame, windows=WINDOWS) -> DataFrame:

@@ -50,6 +50,7 @@ def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float
     if accuracy:
         bounds = df.agg(*(F.percentile_approx(c, [low, high], accuracy).alias(f"_q_{c}") for c in columns))
     else:
+        df = materialised(df)  # read for the quantiles and for the rows
         bounds = column_quantiles(df, columns, (low, high)).groupBy().pivot("name", columns).agg(F.first("quantiles"))
         bounds = bounds.select(*(F.col(c).alias(f"_q_{c}") for c in columns))
     clipped = {c: F.greatest(F.col(f"_q_{c}")[0], F.least(F.col(f"_q_{c}")[1], F.col(c))) for c in columns}
@@ -60,12 +61,14 @@ def winsorize(df: DataFrame, columns: list[str], low: float = 0.01, high: float
 def cross_sectional_rank(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("market", "symbol", "date"), by: str = "date") -> DataFrame:
     """Percentile ranks of each column within a date, ties at their mean, null as 0.5.
 
-    The columns are stacked, so that one window over (date, column) ranks them all.
+    The columns are stacked, so that one window over (date, column) ranks them all.  Each
+    row has keys of its own.
     """
     long = df.unpivot(list(keys), columns, "_name", "_value")
     ranked = long.withColumn("_value", F.coalesce(pct_rank("_value", by, "_name"), F.lit(0.5)))
     wide = ranked.groupBy(*keys).pivot("_name", columns).agg(F.first("_value"))
-    return df.drop(*columns).join(wide, list(keys))
+    others = df.drop(*columns)
+    return wide.select(*others.columns, *columns) if set(others.columns) == set(keys) else others.join(wide, list(keys))
 
 
 def time_series_zscore(df: DataFrame, columns: list[str], w: int = 60, least: int = 30) -> DataFrame:
