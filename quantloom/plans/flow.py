@@ -149,6 +149,36 @@ def rss_sources(spark, sf_dir):
     return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
 
 
+@_query
+def feed_bars(spark, sf_dir):
+    """Bars under a provider's headers, with moves in percent."""
+    given = {"日期": F.date_format("date", "yyyy-MM-dd"), "开盘": F.col("open"), "收盘": F.col("close"), "成交量": F.col("volume"), "涨跌幅": 100 * (F.col("close") / F.col("open") - 1)}
+    rows = views.bars(spark, sf_dir).select("symbol", *(x.alias(name) for name, x in given.items()))
+    return base.rounded(feeds.named_bars(rows).select("symbol", "date", "open", "close", "volume", "pct_chg"))
+
+
+@_query
+def feed_long_bars(spark, sf_dir):
+    """A table with a column for each symbol and field, as one row for each date and symbol."""
+    symbols = ["000001", "000002", "000003"]
+    wide = views.bars(spark, sf_dir).groupBy("date").pivot("symbol", symbols).agg(F.max("close").alias("Close"), F.max("volume").alias("Volume"))
+    return base.rounded(feeds.long_bars(wide, symbols).select("date", "symbol", "open", "close", "volume"))
+
+
+@_query
+def sentiment_records(spark, sf_dir):
+    """Daily scores as text records, some of them broken, made typed again."""
+    rows = views.daily_sentiment(spark, sf_dir)
+    odd = F.col("symbol").cast("long")
+    texts = rows.select(
+        F.when(odd % 11 == 0, "soon").otherwise(F.date_format("date", "yyyy-MM-dd'T'00:00:00")).alias("date"),
+        "symbol",
+        F.when(odd % 7 == 0, "n/a").otherwise(F.col("sentiment_score").cast("string")).alias("sentiment_score"),
+        F.col("news_count").cast("string").alias("news_count"),
+    )
+    return base.rounded(feeds.daily_records(texts))
+
+
 def _broken():
     raise TimeoutError("no answer")
 

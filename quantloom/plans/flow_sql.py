@@ -57,6 +57,9 @@ def oracle_sql() -> dict[str, str]:
         "table_admin": "SELECT * FROM (VALUES (1::BIGINT, true, false), (2::BIGINT, true, true)) t(version, filled, current)",
         "feed_entity": f"WITH {FEED}, {_ENTITY} SELECT url, market, title, substr(about, 1, 500) AS summary, substr(text, 1, 2000) AS text, '2024-01-' || day || 'T08:00:00Z' AS published, {r('s')} AS sentiment, 'V' AS entity FROM entity",
         "feed_entity_daily": f"SELECT * REPLACE ({_day('date')}) FROM ({feeds['feed_daily']})",
+        "feed_bars": f"WITH {BARS} SELECT symbol, {_day('date')}, {r('open')} AS open, {r('close')} AS close, {r('volume')} AS volume, {r('close / open - 1')} AS pct_chg FROM bars",
+        "feed_long_bars": f"WITH {BARS} SELECT {_day('date')}, symbol, NULL::DOUBLE AS open, {r('close')} AS close, {r('volume')} AS volume FROM bars WHERE symbol IN ('000001', '000002', '000003')",
+        "sentiment_records": f"WITH {DAILY} SELECT {_day('date')}, symbol, CASE WHEN symbol::INT % 7 = 0 THEN 0 ELSE {r('sentiment_score')} END AS sentiment_score, news_count FROM daily WHERE symbol::INT % 11 != 0",
         "feed_table": f"WITH {FEED}, {_TABLE} SELECT url, market, title, '08:30' AS published, {r(_quick('title'))} AS sentiment FROM listed",
         "feed_social": f"WITH {ART}, {_SOCIAL} SELECT source, source_cn, market, CASE WHEN market = 'CN' THEN 'zh' ELSE 'en' END AS language, url, substr(text, 1, 200) AS title, least(length(text), 2000)::INT AS length, likes FROM posts",
         "social_mix": f"""WITH {ART}, {_SOCIAL}, q AS (SELECT source, likes, url, list_position(['twitter', 'weibo', 'reddit', 'telegram'], source) AS p, row_number() OVER (PARTITION BY source ORDER BY likes DESC, url) AS k FROM posts WHERE url != ''),

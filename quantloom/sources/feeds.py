@@ -315,6 +315,20 @@ def _daily(rows: DataFrame) -> DataFrame:
     return rows.where("date IS NOT NULL").groupBy("date", "symbol").agg(F.avg("s").alias("sentiment_score"), F.count("s").alias("news_count"))
 
 
+def daily_records(records: DataFrame) -> DataFrame:
+    """date, symbol, sentiment_score, news_count of records whose values are text; without a date or symbol they go.
+
+    A score that does not parse is 0, a count that does not parse 1.
+    """
+    rows = records.select(
+        F.try_to_timestamp(F.substring("date", 1, 10), F.lit("yyyy-MM-dd")).cast("date").alias("date"),
+        F.nullif(F.trim("symbol"), F.lit("")).alias("symbol"),
+        _number(F.col("sentiment_score")).alias("sentiment_score"),
+        F.coalesce(F.col("news_count").try_cast("long"), F.lit(1).cast("long")).alias("news_count"),
+    )
+    return rows.where("date IS NOT NULL AND symbol IS NOT NULL")
+
+
 def named_bars(bars: DataFrame, headers: dict[str, str] | None = None) -> DataFrame:
     """Daily bars under the engine's names; moves come in percent and become fractions."""
     out = bars.withColumnsRenamed(headers or BAR_HEADERS).withColumn("date", F.col("date").cast("date"))
