@@ -77,10 +77,15 @@ def line_table(docs: DataFrame, text: str = "text", line_words: int = LINE_WORDS
     return rows.groupBy("doc_id").agg(F.min(F.struct("text_hash", "hashes", "words", "runs")).alias("x")).select("doc_id", "x.*")
 
 
-def overlapping(lines: DataFrame) -> DataFrame:
-    """owner, doc_id: later documents with the owner of every run that they share."""
+def overlapping(lines: DataFrame, scratch: Scratch) -> DataFrame:
+    """owner, doc_id: later documents with the owner of every run that they share.
+
+    Owners are written first: Spark can split a join of two tables where a run is frequent,
+    but not one whose other side it aggregates in the same stage.
+    """
     each = lines.select("doc_id", F.explode("runs").alias("hash"))
     owners = each.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    owners = scratch.write(owners, "owners")
     return each.join(owners, "hash").where("doc_id > owner").select("owner", "doc_id").distinct()
 
 
@@ -176,7 +181,7 @@ def repeated(docs: DataFrame, text: str = "text", line_words: int = LINE_WORDS)
     """doc_id, text_hash, gone: positions of the lines to delete, for documents with any."""
     scratch = Scratch(docs.sparkSession, "line_dedup")
     lines = scratch.write(line_table(docs, text, line_words), "lines")
-    pairs = scratch.write(overlapping(lines), "pairs")
+    pairs = scratch.write(overlapping(lines, scratch), "pairs")
     first = lines.select(F.col("doc_id").alias("owner"), F.col("hashes").alias("a"))
     both = pairs.join(first, "owner").join(lines, "doc_id").select("doc_id", "a", F.col("hashes").alias("b"), "words")
     gone = both.mapInArrow(_align, "doc_id long, gone array<int>").where(F.size("gone") > 0)

@@ -452,7 +452,8 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     sets = scratch.write(set_table(docs, text, words), "sets")
     # Equal sets are one class, named by its least document; a doc_id with several sets joins their classes.
     filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = filled.groupBy("n_shingles", "print", "print2").agg(F.min("doc_id").alias("rep"))
+    # Written first, so that Spark can split the join where a third of all rows are copies.
+    same = scratch.write(filled.groupBy("n_shingles", "print", "print2").agg(F.min("doc_id").alias("rep")), "same")
     nodes = filled.join(same, ["n_shingles", "print", "print2"])
     nodes = scratch.write(nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "rep", *_P, "sketch").distinct(), "nodes")
     links = nodes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
