@@ -144,9 +144,9 @@ LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 #: Text bytes that one vectorised step holds; its temporaries take about 40 times this.
-STEP_BYTES = 1 << 19
+STEP_BYTES = 1 << 18
 #: Bytes that a task and its Python worker exchange at a time, about.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
 
 

@@ -44,7 +44,7 @@ WORDS, PERCENT = 4, 85
 BAND_RATIO = 1.5
 #: Signatures that a task gathers before it links its own equal ones and sends the rest,
 #: and bytes of text whose signatures (about one in ten bytes) meet in a bucket.
-CHUNK_ROWS, BUCKET_BYTES = 1 << 19, 8 << 20
+CHUNK_ROWS, BUCKET_BYTES = 1 << 18, 4 << 20
 #: Members of a signature up to which it is not worth leaving out.
 UNPOPULAR = 4
 #: Centres of each signature in the second round of stars (the first has one), and how many times more in each next.
@@ -393,7 +393,6 @@ def _placed(met: DataFrame, leave: list[int]) -> DataFrame:
 
     Each class leaves out its ``leave[band]`` most popular signatures of a band.
     """
-    met = met.distinct()
     popular = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
     met = met.join(popular, "key").repartition("rep")
     by_popularity = Window.partitionBy("rep", "band").orderBy(F.desc("m"), "key")
@@ -482,12 +481,15 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     labels = components(links, scratch, "stars0_")
     halves = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
     bands = Bands(int(largest), percent)
-    met = _undecided(labelled(met)).drop("label")
-    placed = _placed(met, bands.leave).join(classes.select("rep", "n", *halves, "sketch"), "rep")
-    placed = scratch.write(labelled(_with_long_sketch(placed, bands.words)), "placed0")
+    # A table of its own, so that no task holds the buffers of both halves at once.
+    opened = scratch.write(_undecided(labelled(met)).drop("label").distinct(), "opened")
     del met
     scratch.drop("met")
     scratch.release()
+    placed = _placed(opened, bands.leave).join(classes.select("rep", "n", *halves, "sketch"), "rep")
+    placed = scratch.write(labelled(_with_long_sketch(placed, bands.words)), "placed0")
+    scratch.drop("opened")
+    scratch.release()
     stars, step = STARS, 1
     while placed.take(1):
         pairs, rest = _round(placed, stars, percent)
