@@ -329,7 +329,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def _digests(column: pa.Array, bounds: np.ndarray, less: int = 0) -> list[str]:
+def digests(column: pa.Array, bounds: np.ndarray, less: int = 0) -> list[str]:
     """Of each range of values the digest of their bytes (without the last ``less`` ones, if there are any)."""
     data, offsets = _content(column)
     ends = offsets[bounds].tolist()
@@ -349,7 +349,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text") ->
                 ids, bounds, tokens = bpe.kept.encode(part)
                 decimal = bpe.decimal_of.take(pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(part.first_row, part.rows), pa.array(np.diff(bounds)), pa.array(_digests(decimal, bounds, 1), pa.string()), pa.array(_digests(tokens, bounds), pa.string())],
+                    [batch.column(0).slice(part.first_row, part.rows), pa.array(np.diff(bounds)), pa.array(digests(decimal, bounds, 1), pa.string()), pa.array(digests(tokens, bounds), pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, byte_bpe, host_quality, language_id, line_dedup, mixing, ngram_join, secrets, substring_dedup, whitening, word_lm
+from quantloom.llm import ann, byte_bpe, host_quality, language_id, line_dedup, mixing, ngram_join, secrets, substring_dedup, whitening, word_bpe, word_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_host_quality,
@@ -75,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_secret_scan,
         op10_substring_dedup,
         op11_whitening,
+        op13_word_bpe,
     )
     return {f.__name__: f for f in every}
 
