@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import ann, byte_bpe, host_quality, language_id, line_dedup, mixing, ngram_join, secrets, substring_dedup, whitening, word_bpe, word_lm
+from quantloom.llm import ann, byte_bpe, collocations, host_quality, language_id, line_dedup, mixing, ngram_join, secrets, substring_dedup, whitening, word_bpe, word_lm
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_documents(spark, sf_dir))
+
+
 def op13_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_secret_scan,
         op10_substring_dedup,
         op11_whitening,
+        op12_collocations,
         op13_word_bpe,
     )
     return {f.__name__: f for f in every}
@@ -171,6 +176,40 @@ SELECT d.doc_id, d.size, q.source_size, q.target,
 FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.hash = q.hash
 """
 
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+occurrences AS (
+  SELECT lang, unnest([array_to_string(words[i : i + d - 1], ' ') for i in range(1, len(words) - d + 2)]) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS d) WHERE len(words) >= d),
+f AS (
+  SELECT lang, phrase, string_split(phrase, ' ') AS path, len(string_split(phrase, ' ')) AS d, f
+  FROM (SELECT lang, phrase, count(*)::BIGINT AS f FROM occurrences GROUP BY lang, phrase HAVING count(*) >= 30)),
+cuts AS (
+  SELECT p.lang, p.phrase, p.f AS a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * p.f // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, array_to_string(path[1 : k], ' ') AS head, array_to_string(path[k + 1 : d], ' ') AS tail
+        FROM f, (SELECT unnest([1, 2, 3]) AS k) WHERE k < d) p
+  JOIN f x ON x.lang = p.lang AND x.phrase = head
+  JOIN f y ON y.lang = p.lang AND y.phrase = tail),
+best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, array_to_string(path[i : i + e - 1], ' ') AS phrase, max(f) AS most
+  FROM f, (SELECT unnest([2, 3]) AS e), (SELECT unnest([1, 2, 3]) AS i)
+  WHERE e < d AND i + e - 1 <= d GROUP BY 1, 2),
+ranked AS (
+  SELECT b.lang, b.phrase, a, l, r, score
+  FROM best b LEFT JOIN longer g ON g.lang = b.lang AND g.phrase = b.phrase
+  WHERE most IS NULL OR 100::HUGEINT * most < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked JOIN n USING (lang)
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_host_quality": OP1_SQL, "op5_mix_sources": OP5_SQL}
+    return {"op1_host_quality": OP1_SQL, "op5_mix_sources": OP5_SQL, "op12_collocations": OP12_SQL}

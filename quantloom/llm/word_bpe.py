@@ -95,6 +95,7 @@ class WordBPE:
         for token, i in self.special.items():
             self.strings[i] = token
         self.special_at = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.beginnings = tuple(t[:n] for t in self.special for n in range(1, len(t)))
         self.normal = Tokenizer.from_file(path).normalizer.normalize_str
         self.kinds = Kinds()
         self.known: dict[str, list[int]] = {}
@@ -137,8 +138,14 @@ class WordBPE:
         """The ids of a whole piece; short ones are kept."""
         found = self.known.get(text)
         if found is None:
-            transducer = Transducer(self)
-            found = transducer.push(text.encode()) + transducer.finish()
+            data = text.encode()
+            if len(data) <= BLOCK:  # no longer than what a transducer takes at once
+                symbols = list(map(self.inner.__getitem__, data))
+                symbols[-1] = self.final[data[-1]]
+                found = self.merged(symbols)
+            else:
+                transducer = Transducer(self)
+                found = transducer.push(data) + transducer.finish()
             if len(text) <= 32:
                 if len(self.known) >= KEPT_PIECES:
                     self.known.clear()
@@ -146,8 +153,17 @@ class WordBPE:
         return found
 
     def encode(self, text: str) -> list[int]:
+        """The ids of a whole text."""
+        if text.isascii() and text.isalpha():
+            return self.piece(text.lower())
         stream = Stream(self)
-        return stream.push(text) + stream.finish()
+        if len(text) > HELD or self.special_at and self.special_at.search(text):
+            return stream.push(text) + stream.finish()
+        return stream.rest(text)
+
+    def normalised(self, text: str) -> str:
+        """Composed and in lower case; up to U+02FF all is composed already."""
+        return text.lower() if text.isascii() or max(text) < "̀" else self.normal(text)
 
     def decode(self, ids: Iterable[int]) -> str:
         """What the tokens' bytes say, with a blank behind each word."""
@@ -155,23 +171,23 @@ class WordBPE:
         return "".join(machine.push(self.bytes_of[i]) for i in ids) + machine.finish()
 
 
-class Kinds:
-    """Which characters are letters, digits or neither, as the tokenizer's own expressions say."""
+class Kinds(dict):
+    """For str.translate: a for a letter beyond ASCII, 0 for a digit and ¬ for all else but white space.
+
+    Which is which the tokenizer's own expressions say, once a character.
+    """
 
     def __init__(self):
-        self.table: dict[int, str] = {}
         self.cut = [(mark, pre_tokenizers.Split(Regex(rf"\p{{{name}}}"), "removed", invert=True)) for mark, name in (("a", "L"), ("0", "N"))]
 
+    def __missing__(self, code: int) -> int:
+        char = chr(code)
+        found = char if code < 128 or char.isspace() else next((mark for mark, split in self.cut if split.pre_tokenize_str(char)), "¬")
+        self[code] = ord(found)
+        return self[code]
+
     def plain(self, text: str) -> str:
-        """The text with an a for each letter beyond ASCII, 0 for each digit and ¬ for all else but white space."""
-        if text.isascii():
-            return text
-        new = "".join(c for c in set(text) if ord(c) > 127 and ord(c) not in self.table)
-        if new:
-            self.table |= {ord(c): "¬" for c in new if not c.isspace()}
-            for mark, split in self.cut:
-                self.table |= {ord(c): mark for piece, _ in split.pre_tokenize_str(new) for c in piece}
-        return text.translate(self.table)
+        return text if text.isascii() else text.translate(self)
 
 
 class Transducer:
@@ -217,6 +233,7 @@ class Stream:
     def __init__(self, bpe: WordBPE):
         self.bpe = bpe
         self.raw, self.normal = "", ""
+        self.beginnings = bpe.beginnings
         #: A piece that is going on: its kind and its transducer.
         self.going: regex.Pattern | None = None
         self.transducer = Transducer(bpe)
@@ -228,29 +245,30 @@ class Stream:
             out += self._specials()
             keep = next((i for i in range(len(self.raw) - 1, 0, -1) if _safe(self.raw[i])), 0)
             keep = min(keep, len(self.raw) - self._open_special())
-            out += self._pieces(self._normalised(self.raw[:keep]), False)
+            out += self._pieces(self.bpe.normalised(self.raw[:keep]), False)
             self.raw = self.raw[keep:]
         return out
 
     def finish(self) -> list[int]:
         out = self._specials()
         rest, self.raw = self.raw, ""
-        return out + self._pieces(self._normalised(rest), True)
+        return out + self.rest(rest)
+
+    def rest(self, text: str) -> list[int]:
+        """Ends with this text, in which no special token stands."""
+        return self._pieces(self.bpe.normalised(text), True)
 
     def _specials(self) -> list[int]:
         """Cuts out whole special tokens and encodes what stands before them to its end."""
         out: list[int] = []
         while self.bpe.special_at and (found := self.bpe.special_at.search(self.raw)):
-            out += [*self._pieces(self._normalised(self.raw[: found.start()]), True), self.bpe.special[found.group()]]
+            out += [*self.rest(self.raw[: found.start()]), self.bpe.special[found.group()]]
             self.raw = self.raw[found.end() :]
         return out
 
     def _open_special(self) -> int:
         """The length of the longest beginning of a special token that the raw text ends with."""
-        return max((n for t in self.bpe.special for n in range(1, len(t)) if self.raw.endswith(t[:n])), default=0)
-
-    def _normalised(self, raw: str) -> str:
-        return raw.lower() if raw.isascii() else self.bpe.normal(raw)
+        return max((len(t) for t in self.beginnings if self.raw.endswith(t)), default=0) if self.raw.endswith(self.beginnings) else 0
 
     def _pieces(self, more: str, last: bool) -> list[int]:
         bpe, out, start = self.bpe, [], 0

@@ -121,7 +121,7 @@ def test_decoding_is_incremental(bpe):
 
 def test_round_trip_of_documents(spark, make, corpus, library):
     rng = random.Random(9)
-    long = " ".join("".join(rng.choice("abcdehinorstué!") for _ in range(rng.randint(1, 12))) for _ in range(60_000)) + "x" * 40_000
+    long = " ".join("".join(rng.choice("abcdehinorstué!") for _ in range(rng.randint(1, 12))) for _ in range(70_000)) + "x" * 40_000
     assert len(long.encode()) > 2 * STEP_BYTES
     rows = corpus + [(900 + i, t) for i, t in enumerate(ODD)] + [(950, long), (951, "b" * (STEP_BYTES + 7)), (951, None), (952, "w " * 300_000)]
     found = {}
