@@ -37,7 +37,7 @@ DEPTH, LEAST, MOST = 4, 30, 2000
 #: Parts in a hundred of a phrase's occurrences that lie within a longer one, for it to be dropped.
 COVERED = 80
 #: Text bytes of a shard and of a range, about, and sampled paths for each range.
-SHARD_BYTES, RANGE_BYTES, SAMPLED = 12 << 20, 16 << 20, 64
+SHARD_BYTES, RANGE_BYTES, SAMPLED = 5 << 20, 16 << 20, 64
 #: Bytes that end a piece, and those that end a word.
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?\n\v\f\r"]] = True
@@ -218,15 +218,16 @@ def read(blob: bytes):
     def ints(n: int) -> np.ndarray:
         nonlocal at
         at += 4 * n
-        return np.ascontiguousarray(np.frombuffer(data[at - 4 * n : at], np.uint8).reshape(4, n).T).view(np.uint32).ravel().astype(np.int64)
+        return np.ascontiguousarray(np.frombuffer(data[at - 4 * n : at], np.uint8).reshape(4, n).T).view(np.uint32).ravel()
 
     langs, words = longs(n_langs), longs(n_words)
     up, place, low, high = (ints(total) for _ in range(4))
     sizes = ints(lengths[0] - above[0])
     cuts = np.cumsum(lengths)[:-1]
-    parents = [np.cumsum(x) for x in np.split(up, cuts)]
+    parents = [np.cumsum(x, dtype=np.uint32) for x in np.split(up, cuts)]
+    times = low + (high.astype(np.int64) << 32) if high.any() else low
     text = bytes(data[at : at + n_text])
-    return above, langs, words, parents, np.split(place, cuts), np.split(low + (high << 32), cuts), sizes, text
+    return above, langs, words, parents, np.split(place, cuts), np.split(times, cuts), sizes.astype(np.int64), text
 
 
 def _shards(bounds: np.ndarray, limit: int):
@@ -290,7 +291,7 @@ def _merge(least: int):
             order = np.argsort(keys, kind="stable")  # merges the sorted runs
             sorted_keys = keys[order]
             begin = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-            total = np.add.reduceat(np.concatenate([p[5][depth][k] for k, p in zip(kept, pieces, strict=True)])[order], begin)
+            total = np.add.reduceat(np.concatenate([p[5][depth][k] for k, p in zip(kept, pieces, strict=True)]).astype(np.int64)[order], begin)
             number = np.full(len(begin), -1)
             frequent = np.flatnonzero(total >= least)
             number[frequent] = np.arange(len(frequent))
