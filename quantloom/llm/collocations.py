@@ -37,7 +37,7 @@ DEPTH, LEAST, MOST = 4, 30, 2000
 #: Parts in a hundred of a phrase's occurrences that lie within a longer one, for it to be dropped.
 COVERED = 80
 #: Text bytes of a shard and of a range, about, and sampled paths for each range.
-SHARD_BYTES, RANGE_BYTES, SAMPLED = 5 << 20, 16 << 20, 64
+SHARD_BYTES, RANGE_BYTES, SAMPLED = 4 << 20, 12 << 20, 64
 #: Bytes that end a piece, and those that end a word.
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?\n\v\f\r"]] = True
@@ -181,8 +181,9 @@ class Trie:
             langs = np.unique(parents[0])
             parents[0] = np.searchsorted(langs, parents[0])
             used, place = np.unique(np.concatenate(words), return_inverse=True)
+            place = np.split(place, np.cumsum([len(x) for x in words])[:-1])
             named = words[0][above[0] :]
-            yield r, serialised(spans, above, self.langs[langs], self.words[used], parents, place, counts, *text(self.first[named]))
+            yield r, serialised(above, self.langs[langs], self.words[used], parents, place, counts, *text(self.first[named]))
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -190,44 +191,54 @@ def _planes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def serialised(spans, above, langs, words, parents, place, counts, sizes: np.ndarray, texts: bytes) -> bytes:
-    """A piece of a trie, compressed: head, languages, words, and by level steps between parents, words, counts; texts of the first level."""
-    lengths = [b - a for a, b in spans]
-    steps_up = np.concatenate([np.diff(x, prepend=0) for x in parents])
-    times = np.concatenate(counts)
-    head = np.array([*lengths, *above, len(langs), len(words), len(texts)], np.int64)
+def _compressed(*parts: bytes) -> bytes:
+    body = b"".join(parts)
+    return np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def serialised(above, langs, words, parents, place, counts, sizes: np.ndarray, texts: bytes) -> bytes:
+    """A piece of a trie: head, languages and words, texts of the first level, then each level's
+    steps between parents, words and counts, compressed one by one."""
+    blocks = [_compressed(langs.tobytes(), words.tobytes()), _compressed(_planes(sizes), texts)]
     # Counts beyond 32 bits are kept in two halves.
-    body = [langs.tobytes(), words.tobytes(), *map(_planes, (steps_up, place, times & 0xFFFFFFFF, times >> 32, sizes)), texts]
-    body = b"".join(body)
-    return head.tobytes() + np.int64(len(body)).tobytes() + pa.compress(body, codec="zstd", asbytes=True)
-
-
-def read(blob: bytes):
-    """What serialised() was given: above, languages, words, and by level parents, words, counts; texts."""
-    head = np.frombuffer(blob, np.int64, 2 * DEPTH + 4)
-    lengths, above = head[:DEPTH].tolist(), head[DEPTH : 2 * DEPTH].tolist()
-    n_langs, n_words, n_text, n_body = head[2 * DEPTH :].tolist()
-    body = pa.decompress(blob[8 * len(head) :], decompressed_size=n_body, codec="zstd")
-    data, at, total = memoryview(body), 0, sum(lengths)
-
-    def longs(n: int) -> np.ndarray:
-        nonlocal at
-        at += 8 * n
-        return np.frombuffer(data[at - 8 * n : at], np.int64)
-
-    def ints(n: int) -> np.ndarray:
-        nonlocal at
-        at += 4 * n
-        return np.ascontiguousarray(np.frombuffer(data[at - 4 * n : at], np.uint8).reshape(4, n).T).view(np.uint32).ravel()
-
-    langs, words = longs(n_langs), longs(n_words)
-    up, place, low, high = (ints(total) for _ in range(4))
-    sizes = ints(lengths[0] - above[0])
-    cuts = np.cumsum(lengths)[:-1]
-    parents = [np.cumsum(x, dtype=np.uint32) for x in np.split(up, cuts)]
-    times = low + (high.astype(np.int64) << 32) if high.any() else low
-    text = bytes(data[at : at + n_text])
-    return above, langs, words, parents, np.split(place, cuts), np.split(times, cuts), sizes.astype(np.int64), text
+    for up, word, times in zip(parents, place, counts, strict=True):
+        blocks.append(_compressed(*map(_planes, (np.diff(up, prepend=0), word, times & 0xFFFFFFFF, times >> 32))))
+    head = np.array([*map(len, parents), *above, len(langs), len(sizes), *map(len, blocks)], np.int64)
+    return head.tobytes() + b"".join(blocks)
+
+
+class Piece:
+    """A serialised piece; a level is unpacked when it is asked for."""
+
+    def __init__(self, blob: bytes):
+        head = np.frombuffer(blob, np.int64, 3 * DEPTH + 4).tolist()
+        self.lengths, self.above = head[:DEPTH], head[DEPTH : 2 * DEPTH]
+        n_langs, self.n_texts = head[2 * DEPTH : 2 * DEPTH + 2]
+        ends = 8 * (3 * DEPTH + 4) + np.cumsum([0, *head[2 * DEPTH + 2 :]])
+        self.blocks = [blob[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist(), strict=False)]
+        names = np.frombuffer(self._body(0), np.int64)
+        self.langs, self.words = names[:n_langs], names[n_langs:]
+
+    def _body(self, block: int) -> memoryview:
+        held = self.blocks[block]
+        size = int(np.frombuffer(held, np.int64, 1)[0])
+        return memoryview(pa.decompress(held[8:], decompressed_size=size, codec="zstd"))
+
+    @staticmethod
+    def _ints(data: memoryview, at: int, n: int) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(data[4 * at * n : 4 * (at + 1) * n], np.uint8).reshape(4, n).T).view(np.uint32).ravel()
+
+    def level(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Parents, words and counts of the level's nodes (depth from 0)."""
+        data, n = self._body(2 + depth), self.lengths[depth]
+        up, place, low, high = (self._ints(data, i, n) for i in range(4))
+        return np.cumsum(up, dtype=np.uint32), place, low + (high.astype(np.int64) << 32) if high.any() else low
+
+    def texts(self) -> list[bytes]:
+        """The words of the first level's own nodes."""
+        data = self._body(1)
+        ends = np.cumsum(self._ints(data[: 4 * self.n_texts], 0, self.n_texts), dtype=np.int64) + 4 * self.n_texts
+        return [bytes(data[a:b]) for a, b in zip([4 * self.n_texts, *ends.tolist()], ends.tolist(), strict=False)]
 
 
 def _shards(bounds: np.ndarray, limit: int):
@@ -271,33 +282,39 @@ def _shards(bounds: np.ndarray, limit: int):
 def _merge(least: int):
     def run(table: pa.Table) -> pa.Table:
         """The frequent nodes of a range, from the pieces of all shards."""
-        pieces = [read(x) for x in table.column("piece").to_pylist()]
-        words = np.unique(np.concatenate([p[2] for p in pieces]))
-        langs = np.unique(np.concatenate([p[1] for p in pieces]))
+        pieces = [Piece(x) for x in table.column("piece").to_pylist()]
+        words = np.unique(np.concatenate([p.words for p in pieces]))
+        langs = np.unique(np.concatenate([p.langs for p in pieces]))
         width = len(words)
-        ranks = [np.searchsorted(words, p[2]) for p in pieces]
+        ranks = [np.searchsorted(words, p.words) for p in pieces]
         #: For each piece what its nodes of the level above have become; -1 where too rare.
-        became = [np.searchsorted(langs, p[1]) for p in pieces]
+        became = [np.searchsorted(langs, p.langs) for p in pieces]
         paths, counts = langs.reshape(-1, 1), np.zeros((len(langs), 0), np.int64)
         out = []
         for depth in range(DEPTH):
-            mapped = [b[p[3][depth]] for b, p in zip(became, pieces, strict=True)]
-            kept = [m >= 0 for m in mapped]
-            runs = [m[k] * width + rank[p[4][depth][k]] for m, k, rank, p in zip(mapped, kept, ranks, pieces, strict=True)]
+            runs, held, kept = [], [], []
+            for p, above, rank in zip(pieces, became, ranks, strict=True):
+                parent, word, times = p.level(depth)
+                parent = above[parent]
+                kept.append(parent >= 0)
+                runs.append(parent[kept[-1]] * width + rank[word[kept[-1]]])
+                held.append(times[kept[-1]])
             sizes = list(map(len, runs))
             keys = np.concatenate(runs)
+            del runs
             if not len(keys):
                 break
             order = np.argsort(keys, kind="stable")  # merges the sorted runs
-            sorted_keys = keys[order]
-            begin = np.flatnonzero(np.diff(sorted_keys, prepend=-1))
-            total = np.add.reduceat(np.concatenate([p[5][depth][k] for k, p in zip(kept, pieces, strict=True)]).astype(np.int64)[order], begin)
+            keys = keys[order]
+            begin = np.flatnonzero(np.diff(keys, prepend=-1))
+            total = np.add.reduceat(np.concatenate(held).astype(np.int64)[order], begin)
             number = np.full(len(begin), -1)
             frequent = np.flatnonzero(total >= least)
             number[frequent] = np.arange(len(frequent))
             place = np.empty(len(keys), np.int64)
             place[order] = np.repeat(number, np.diff(begin, append=len(keys)))
-            nodes = sorted_keys[begin[frequent]]
+            nodes = keys[begin[frequent]]
+            del keys, order, held
             parent = nodes // width
             paths = np.column_stack([paths[parent], words[nodes % width]])
             counts = np.column_stack([counts[parent], total[frequent]])
@@ -307,7 +324,7 @@ def _merge(least: int):
                 new = np.full(len(k), -1)
                 new[k] = part
                 became.append(new)
-                if p[0][depth] and new[0] >= 0:
+                if p.above[depth] and new[0] >= 0:
                     own[new[0]] = False  # it belongs to a range before this one
             out.append(_rows(paths[own], counts[own], depth + 1, _texts(pieces, became, own) if not depth else None))
         return pa.concat_tables(out) if out else _rows(np.zeros((0, 2), np.int64), np.zeros((0, 1), np.int64), 1, [])
@@ -315,14 +332,13 @@ def _merge(least: int):
     return run
 
 
-def _texts(pieces: list, became: list[np.ndarray], own: np.ndarray) -> list[bytes]:
+def _texts(pieces: list[Piece], became: list[np.ndarray], own: np.ndarray) -> list[bytes]:
     """The words of the first level's nodes."""
     found: list[bytes] = [b""] * len(own)
     for p, new in zip(pieces, became, strict=True):
-        ends = np.cumsum(p[6])
-        for node, size, end in zip(new[p[0][0] :].tolist(), p[6].tolist(), ends.tolist(), strict=True):
-            if node >= 0 and not found[node]:
-                found[node] = p[7][end - size : end]
+        for node, text in zip(new[p.above[0] :].tolist(), p.texts(), strict=True):
+            if node >= 0:
+                found[node] = text
     return [x for x, o in zip(found, own.tolist(), strict=True) if o]
 
 

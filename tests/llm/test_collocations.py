@@ -108,7 +108,8 @@ def test_ranges_hold_every_node_once_with_whole_counts(spark, make):
 def test_counts_beyond_32_bits_survive():
     big = np.array([1 << 40, 7], np.int64)
     one = np.array([3], np.int64)
-    blob = collocations.serialised([(0, 2), (0, 0), (0, 0), (0, 0)], [0, 0, 0, 0], one, np.array([5, -9]), [np.array([0, 0])] + [np.zeros(0, np.int64)] * 3, np.array([1, 0]), [big] + [np.zeros(0, np.int64)] * 3, np.array([1, 2]), b"abb")
-    above, langs, words, parents, place, counts, sizes, text = collocations.read(blob)
-    assert counts[0].tolist() == big.tolist() and words.tolist() == [5, -9] and place[0].tolist() == [1, 0]
-    assert (above, langs.tolist(), parents[0].tolist(), sizes.tolist(), text) == ([0] * 4, [3], [0, 0], [1, 2], b"abb")
+    none = [np.zeros(0, np.int64)] * 3
+    blob = collocations.serialised([0] * 4, one, np.array([5, -9]), [np.array([0, 0]), *none], [np.array([1, 0]), *none], [big, *none], np.array([1, 2]), b"abb")
+    piece = collocations.Piece(blob)
+    assert [x.tolist() for x in piece.level(0)] == [[0, 0], [1, 0], big.tolist()] and [len(x) for x in piece.level(3)] == [0, 0, 0]
+    assert (piece.above, piece.langs.tolist(), piece.words.tolist(), piece.texts()) == ([0] * 4, [3], [5, -9], [b"a", b"bb"])
