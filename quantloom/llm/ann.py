@@ -15,9 +15,11 @@ fitted on a sample, of at most ``SAMPLE`` rows.
 
 Defined cases: vectors that are null, empty, zero, of another than the most frequent
 length (ties: the longer) or with null or non-finite components take no part; rows
-without vec_id neither; equal scores go to the smaller vec_id; rows that repeat a vec_id
-are one another's own; with fewer candidates than asked for, all are returned; an empty
-table gives an empty result; other columns are not read.
+without vec_id neither, and the table's length decides for queries too; equal scores go to
+the smaller vec_id; rows that repeat a vec_id are one another's own; a vec_id that several
+query rows have asks once, with the least of its vectors (entry by entry); candidates that
+repeat a vec_id are as many rows; with fewer candidates than asked for, all are returned; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -121,12 +123,17 @@ class Quantiser:
         return (one[0::2, :, :, None] + one[1::2, :, None, :]).reshape(self.spaces // 2, len(queries), CODES * CODES)
 
 
-def valid_vectors(table: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """vec_id and its vector as doubles, of the rows that take part."""
+def valid_rows(table: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """vec_id and its vector as doubles, of any length, of the rows that have a usable one."""
     values = F.col(vector).cast("array<double>")
     rows = table.select(F.col(key).cast("long").alias("vec_id"), values.alias("vector")).where("vec_id IS NOT NULL AND size(vector) > 0")
     good = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.where(good)
+    return rows.where(good)
+
+
+def valid_vectors(table: DataFrame, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """Those of valid_rows() that take part: of the table's most frequent length."""
+    rows = valid_rows(table, vector, key)
     usual = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     return rows.where(F.size("vector") == (usual["n"] if usual else 0))
 
@@ -184,14 +191,15 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of ``queries`` its k nearest rows of ``table``."""
     spark = table.sparkSession
-    vectors, asked = valid_vectors(table, vector, key), valid_vectors(queries, vector, key)
+    vectors = valid_vectors(table, vector, key)
     quantiser = fit(vectors, sample)
     schema = "query_id long, vec_id long, score double"
     if quantiser is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(quantiser)
     dim = quantiser.dim
-    asked = asked.where(F.size("vector") == dim)
+    # An id asks once, however many rows have it.
+    asked = valid_rows(queries, vector, key).where(F.size("vector") == dim).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     groups = max(1, ceil(asked.count() / BLOCK_QUERIES))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = max(1, ceil(2 * tasks / groups))

@@ -10,8 +10,11 @@ Chunks are short (about 20 bytes) so that a passage of over 50 words, whatever s
 around it, contains chunks for all but a few words at either end.
 
 Defined cases: null and empty texts have no chunks; rows with a null doc_id are not
-compared; rows that repeat a doc_id count as one document and never repeat one another;
-an empty table gives an empty result; only doc_id and the text are read.
+compared; rows that repeat a doc_id count as one document and never repeat one another; of
+equal chunks (a tie) the one of the least doc_id owns the digest; very long texts are cut as
+others are, a task holds one whole; bytes that are no UTF-8 are compared as they stand, and
+a run of more than three of them may be cut anywhere; an empty table gives an empty result;
+only doc_id and the text are read.
 """
 
 from __future__ import annotations
@@ -59,8 +62,8 @@ def _spaced(places: np.ndarray, length: int, data: np.ndarray) -> np.ndarray:
     for place in [*places.tolist(), length]:
         while place - before > MOST:
             before += MOST
-            while before > 0 and before < length and data[before] & 0xC0 == 0x80:
-                before -= 1
+            # Back to the start of a character; where none is so near, the bytes are no UTF-8.
+            before -= next((i for i in range(4) if data[before - i] & 0xC0 != 0x80), 0)
             out.append(before)
         if place - before >= LEAST or place == length and place > before:
             out.append(place)

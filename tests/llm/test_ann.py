@@ -89,3 +89,25 @@ def test_parallel_residual_weighs_more():
     parallel = ((x - back) * x).sum(axis=1) ** 2
     plain = fitted.words[np.arange(fitted.spaces), ((fitted.cut(x)[:, :, None] - fitted.words[None]) ** 2).sum(3).argmin(2)].reshape(len(x), -1)[:, :16]
     assert fitted.weight > 1.05 or parallel.mean() <= (((x - plain) * x).sum(axis=1) ** 2).mean()
+
+
+def test_repeated_query_rows_ask_once(spark, rows):
+    held = rows[:60]
+    once = search(spark, held)
+    again = search(spark, held + [held[20]] * 2)
+    assert [r for r in again if r[0] == 20] == [r for r in once if r[0] == 20] and len({r[2] for r in again if r[0] == 20}) == 20
+    # As candidates the three rows are three.
+    assert all([v for q, _, v, _ in again if q == i].count(20) in (0, 3) for i in (0, 40))
+
+
+def test_queries_of_another_length_do_not_decide(spark, rows):
+    odd = [(i, v if i not in (20, 40) else [1.0] * 8) for i, v in rows[:60]]
+    found = search(spark, odd)
+    assert {q for q, *_ in found} == {0} and [r[:3] for r in found] == [r[:3] for r in exact(odd, 20)]
+
+
+def test_of_an_id_with_two_vectors_the_least_asks(spark, rows):
+    low = [-9.0] + rows[20][1][1:]
+    found = [r for r in search(spark, rows[:60] + [(20, low)]) if r[0] == 20]
+    want = [r for r in exact(rows[:20] + [(20, low)] + rows[21:60], 20) if r[0] == 20]
+    assert [r[:3] for r in found] == [r[:3] for r in want]

@@ -248,6 +248,22 @@ def test_chunks_resist_shifts():
     assert len(set(a) & set(b)) >= 0.95 * len(a)
 
 
+@pytest.mark.parametrize("raw", [b"\x80" * 5000, b"\xe4" + b"\x80" * 5000, b"ab" + b"\xbf" * 9000 + b"cd"])
+def test_bytes_that_are_no_text_are_cut(raw):
+    import numpy as np
+
+    ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8))
+    assert ends[-1] == len(raw) and max(np.diff(ends, prepend=0)) <= substring_dedup.MOST and min(np.diff(ends, prepend=0)) > 0
+
+
+def test_long_runs_are_cut_between_characters():
+    import numpy as np
+
+    raw = ("x" + "\U0001f600" * 3000).encode()
+    ends = substring_dedup.cuts(np.frombuffer(raw, np.uint8))
+    assert all(raw[e] & 0xC0 != 0x80 for e in ends[:-1]) and b"".join(raw[a:b] for a, b in zip([0, *ends], ends, strict=False)) == raw
+
+
 @pytest.fixture(scope="module")
 def pipeline():
     sys.path.insert(0, "")
@@ -256,7 +272,7 @@ def pipeline():
     return corpus_pipeline
 
 
-def test_pipeline_equals_brute_force(spark, sf_dir, pipeline):
+def test_pipeline_equals_brute_force(spark, make, sf_dir, pipeline):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source").collect()]
     rows = [r for r in rows if any(c.isalpha() for c in r[1] or "")]
     gone = brute_lines([(r[0], r[1]) for r in rows])
@@ -265,7 +281,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir, pipeline):
         kept = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(gone.get(d, ())))
         if d not in gone or WORD.search(kept):
             cut.append((d, kept, lang, source))
-    label = {d: c for d, _, c in near_groups([(r[0], r[1]) for r in cut])}
+    label = {d: c for d, _, c in near_groups([(r[0], r[1]) for r in cut], 5, 80)}
     one = [r for r in cut if label[r[0]] == r[0]]
     total, target = brute_mix(one)
     taken, copies, tool = Counter(), Counter(), plain()
@@ -278,6 +294,9 @@ def test_pipeline_equals_brute_force(spark, sf_dir, pipeline):
         copies[r.doc_id] += 1
         taken[source[r.doc_id]] += size[r.doc_id]
         assert r.n_tokens == len(ids[r.doc_id]) and r.decoded_sha256 == sha256(texts[r.doc_id].encode()).hexdigest()
+        assert r.ids_sha256 == sha256(" ".join(map(str, ids[r.doc_id])).encode()).hexdigest()
+    # What the mix takes of the documents that brute force keeps is what comes out, document by document.
+    assert copies == Counter(r.doc_id for r in mixing.mixed(make(one)).select("doc_id").collect())
     assert max(copies.values()) <= 2
     most = max(size.values())
     assert all(abs(taken[s] - target[s]) <= most for s in total)
