@@ -4,8 +4,9 @@ A shard is some of a task's texts.  Its trie has a node for each sequence of one
 words that occurs, below the language; a level is two sorted columns (parent, word) and a
 count, so it is serialised as it stands, in the order of its paths.  The order of all paths
 is cut in ranges, at paths taken from a sample of the corpus, and each shard's trie is cut
-likewise.  A range's pieces of tries, sorted runs, are merged level by level; nodes under the
-least count and all below them are left out.  A piece also holds the nodes above its first
+likewise.  A range's pieces of tries, sorted runs, are merged level by level, first those of
+a task's shards, then those of all tasks; there, nodes under the least count and all below
+them are left out.  A piece also holds the nodes above its first
 path, with their counts, so that walking up from a node gives the counts of all its left
 parts within the range.  Suffix links, joins of a node with the node of its path without the
 first word, give the right parts.
@@ -37,7 +38,9 @@ DEPTH, LEAST, MOST = 4, 30, 2000
 #: Parts in a hundred of a phrase's occurrences that lie within a longer one, for it to be dropped.
 COVERED = 80
 #: Text bytes of a shard and of a range, about, and sampled paths for each range.
-SHARD_BYTES, RANGE_BYTES, SAMPLED = 4 << 20, 12 << 20, 64
+SHARD_BYTES, RANGE_BYTES, SAMPLED = 4 << 20, 16 << 20, 64
+#: Bytes of serialised pieces that a task holds before it merges and sends them, about.
+TASK_BYTES = 64 << 20
 #: Bytes that end a piece, and those that end a word.
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?\n\v\f\r"]] = True
@@ -241,12 +244,92 @@ class Piece:
         return [bytes(data[a:b]) for a, b in zip([4 * self.n_texts, *ends.tolist()], ends.tolist(), strict=False)]
 
 
-def _shards(bounds: np.ndarray, limit: int):
+# --------------------------------------------------------------------------- merging
+
+
+def merged(pieces: list[Piece], langs: np.ndarray, words: np.ndarray, least: int):
+    """Merges pieces of one range: for each level the parents (places in the level above), words
+    (places in ``words``) and counts of the nodes that occur ``least`` times, which of them
+    are the range's own, and for each piece what its nodes have become (-1 where too rare)."""
+    width = len(words)
+    ranks = [np.searchsorted(words, p.words) for p in pieces]
+    became = [np.searchsorted(langs, p.langs) for p in pieces]
+    for depth in range(DEPTH):
+        runs, held, kept = [], [], []
+        for p, above, rank in zip(pieces, became, ranks, strict=True):
+            parent, word, times = p.level(depth)
+            parent = above[parent]
+            kept.append(parent >= 0)
+            runs.append(parent[kept[-1]] * width + rank[word[kept[-1]]])
+            held.append(times[kept[-1]])
+        sizes = list(map(len, runs))
+        keys = np.concatenate(runs)
+        del runs
+        order = np.argsort(keys, kind="stable")  # merges the sorted runs
+        keys = keys[order]
+        begin = np.flatnonzero(np.diff(keys, prepend=-1))
+        total = np.add.reduceat(np.concatenate(held).astype(np.int64)[order], begin) if len(keys) else np.zeros(0, np.int64)
+        number = np.full(len(begin), -1)
+        frequent = np.flatnonzero(total >= least)
+        number[frequent] = np.arange(len(frequent))
+        place = np.empty(len(keys), np.int64)
+        place[order] = np.repeat(number, np.diff(begin, append=len(keys)))
+        nodes = keys[begin[frequent]]
+        del keys, order, held
+        own = np.ones(len(frequent), bool)
+        became = []
+        for p, k, part in zip(pieces, kept, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
+            new = np.full(len(k), -1)
+            new[k] = part
+            became.append(new)
+            if p.above[depth] and new[0] >= 0:
+                own[new[0]] = False  # it belongs to a range before this one
+        yield nodes // width, nodes % width, total[frequent], own, became
+
+
+def _names(pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(np.concatenate([p.langs for p in pieces])), np.unique(np.concatenate([p.words for p in pieces]))
+
+
+def combine(blobs: list[bytes]) -> bytes:
+    """One piece of a range from several, with all nodes."""
+    if len(blobs) == 1:
+        return blobs[0]
+    pieces = [Piece(x) for x in blobs]
+    langs, words = _names(pieces)
+    above, parents, place, counts, texts = [], [], [], [], []
+    for parent, word, total, own, became in merged(pieces, langs, words, 1):
+        if not above:
+            texts = _texts(pieces, became, own)
+        above.append(int(len(own) > 0 and not own[0]))
+        for column, value in zip((parents, place, counts), (parent, word, total), strict=True):
+            column.append(value)
+    return serialised(above, langs, words, parents, place, counts, np.array([len(x) for x in texts], np.int64), b"".join(texts))
+
+
+def _merge(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The frequent nodes of a range, from the pieces of all tasks."""
+        pieces = [Piece(x) for x in table.column("piece").to_pylist()]
+        langs, words = _names(pieces)
+        paths, counts, out = langs.reshape(-1, 1), np.zeros((len(langs), 0), np.int64), []
+        for depth, (parent, word, total, own, became) in enumerate(merged(pieces, langs, words, least), 1):
+            paths = np.column_stack([paths[parent], words[word]])
+            counts = np.column_stack([counts[parent], total])
+            out.append(_rows(paths[own], counts[own], depth, _texts(pieces, became, own) if depth == 1 else None))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _shards(bounds: np.ndarray, limit: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        size = 0
+        #: Pieces of the shards so far, by range, and their bytes.
+        pieces: dict[int, list[bytes]] = {}
+        size = kept = 0
 
-        def cut() -> Iterator[pa.RecordBatch]:
+        def cut() -> int:
             data, starts, ends, hashes, langs, joined = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             trie = Trie(langs, hashes, joined)
@@ -257,8 +340,15 @@ def _shards(bounds: np.ndarray, limit: int):
                 total = np.cumsum(sizes) - sizes
                 return sizes, data[np.repeat(starts[at] - total, sizes) + np.arange(sizes.sum())].tobytes()
 
+            found = 0
             for r, blob in trie.pieces(bounds, text):
-                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([blob], pa.binary())], names=["range", "piece"])
+                pieces.setdefault(r, []).append(blob)
+                found += len(blob)
+            return found
+
+        def combined() -> Iterator[pa.RecordBatch]:
+            for r in sorted(pieces):
+                yield pa.RecordBatch.from_arrays([pa.array([r]), pa.array([combine(pieces.pop(r))], pa.binary())], names=["range", "piece"])
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -268,66 +358,13 @@ def _shards(bounds: np.ndarray, limit: int):
                     held.append((part.data, starts + size, ends + size, signed(part.hash_spans(starts, ends)), keys[step.first_row + row], joined))
                     size += len(part.data)
                 if size >= limit:
-                    yield from cut()
-                    size = 0
+                    kept, size = kept + cut(), 0
+                if kept >= most:
+                    yield from combined()
+                    kept = 0
         if held:
-            yield from cut()
-
-    return run
-
-
-# --------------------------------------------------------------------------- merging
-
-
-def _merge(least: int):
-    def run(table: pa.Table) -> pa.Table:
-        """The frequent nodes of a range, from the pieces of all shards."""
-        pieces = [Piece(x) for x in table.column("piece").to_pylist()]
-        words = np.unique(np.concatenate([p.words for p in pieces]))
-        langs = np.unique(np.concatenate([p.langs for p in pieces]))
-        width = len(words)
-        ranks = [np.searchsorted(words, p.words) for p in pieces]
-        #: For each piece what its nodes of the level above have become; -1 where too rare.
-        became = [np.searchsorted(langs, p.langs) for p in pieces]
-        paths, counts = langs.reshape(-1, 1), np.zeros((len(langs), 0), np.int64)
-        out = []
-        for depth in range(DEPTH):
-            runs, held, kept = [], [], []
-            for p, above, rank in zip(pieces, became, ranks, strict=True):
-                parent, word, times = p.level(depth)
-                parent = above[parent]
-                kept.append(parent >= 0)
-                runs.append(parent[kept[-1]] * width + rank[word[kept[-1]]])
-                held.append(times[kept[-1]])
-            sizes = list(map(len, runs))
-            keys = np.concatenate(runs)
-            del runs
-            if not len(keys):
-                break
-            order = np.argsort(keys, kind="stable")  # merges the sorted runs
-            keys = keys[order]
-            begin = np.flatnonzero(np.diff(keys, prepend=-1))
-            total = np.add.reduceat(np.concatenate(held).astype(np.int64)[order], begin)
-            number = np.full(len(begin), -1)
-            frequent = np.flatnonzero(total >= least)
-            number[frequent] = np.arange(len(frequent))
-            place = np.empty(len(keys), np.int64)
-            place[order] = np.repeat(number, np.diff(begin, append=len(keys)))
-            nodes = keys[begin[frequent]]
-            del keys, order, held
-            parent = nodes // width
-            paths = np.column_stack([paths[parent], words[nodes % width]])
-            counts = np.column_stack([counts[parent], total[frequent]])
-            own = np.ones(len(frequent), bool)
-            became = []
-            for p, k, part in zip(pieces, kept, np.split(place, np.cumsum(sizes)[:-1]), strict=True):
-                new = np.full(len(k), -1)
-                new[k] = part
-                became.append(new)
-                if p.above[depth] and new[0] >= 0:
-                    own[new[0]] = False  # it belongs to a range before this one
-            out.append(_rows(paths[own], counts[own], depth + 1, _texts(pieces, became, own) if not depth else None))
-        return pa.concat_tables(out) if out else _rows(np.zeros((0, 2), np.int64), np.zeros((0, 1), np.int64), 1, [])
+            cut()
+        yield from combined()
 
     return run
 
@@ -371,7 +408,7 @@ def count_nodes(docs: DataFrame, scratch: Scratch, least: int = LEAST, text: str
     # A path in some 8 bytes of text; a sample of it grows with the number of ranges.
     survey = scratch.write(rows.mapInArrow(_survey(SAMPLED * ranges * 8 / max(size, 1)), "lang string, n long, path array<long>"), "survey")
     bounds = _bounds(survey.where("path IS NOT NULL"), ranges)
-    pieces = rows.select("key", "bytes").mapInArrow(_shards(bounds, shard), "range long, piece binary")
+    pieces = rows.select("key", "bytes").mapInArrow(_shards(bounds, shard, TASK_BYTES), "range long, piece binary")
     nodes = scratch.write(pieces.groupBy("range").applyInArrow(_merge(least), _NODE), "nodes")
     langs = survey.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
     return langs, nodes
