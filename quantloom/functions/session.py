@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -53,3 +54,39 @@ def default_session(app: str = "quantloom") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+class Tables:
+    """Tables that an iterative operator writes to the shared folder, each until the next is there.
+
+    They cut the lineage: a lost executor costs a re-read.  What is left goes at the end of
+    the ``with`` block or, for results that are still lazy, when the session ends.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, shared_folder(spark, name)
+        atexit.register(self.clean)
+
+    def write(self, df: DataFrame, name: str, instead_of: str | None = None) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        if instead_of:
+            self._delete(f"{self.root}/{instead_of}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def _delete(self, path: str) -> None:
+        context = self.spark.sparkContext
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+    def clean(self) -> None:
+        try:
+            if self.spark.sparkContext._jsc is not None:
+                self._delete(self.root)
+        except Exception:  # the JVM may be gone at interpreter exit
+            pass
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clean()
