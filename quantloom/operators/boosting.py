@@ -5,9 +5,9 @@ leaf values to the scores.  A level costs one aggregate: gradients summed by nod
 and bin, combined before they are shuffled.  What reaches the driver is that histogram, whose
 size is nodes times features times bins whatever the number of rows; splits are chosen there.
 
-The ranking loss pairs each row of a date with the date's first ``top`` rows by score, and
-weighs a pair by what its exchange would move in NDCG.  The leaders of a date are one short
-array, so no pairs are shuffled and a date's rows are never together in memory.
+The ranking loss pairs each row of a date (or another group) with the date's first ``top`` rows
+by score, and weighs a pair by what its exchange would move in NDCG.  The leaders of a date
+are one short array, so no pairs are shuffled and a date's rows are never together in memory.
 
 A feature's bins lie between cuts at equal steps of its standard deviation around its mean, or
 at its quantiles.  Null and NaN have a bin of their own, below all others.
@@ -88,24 +88,25 @@ def binned(rows: DataFrame, features: list[str], cuts: list[list[float]]) -> Dat
 # --------------------------------------------------------------------------- gradients
 
 
-def graded(rows: DataFrame, label: str = "label", grades: int = 5, top: int = 30) -> DataFrame:
-    """Adds rel (the grade of the label's percentile on its date) and ideal (the date's best DCG over ``top`` rows)."""
-    rows = rows.withColumn("rel", F.least(F.lit(grades - 1), F.floor(pct_rank(label, "date") * grades)).cast("double"))
-    place = F.row_number().over(Window.partitionBy("date").orderBy(F.desc("rel"), "symbol"))
+def graded(rows: DataFrame, label: str = "label", grades: int = 5, top: int = 30, by: tuple[str, ...] = ("date",)) -> DataFrame:
+    """Adds rel (the grade of the label's percentile in its group) and ideal (the group's best DCG over ``top`` rows)."""
+    rows = rows.withColumn("rel", F.least(F.lit(grades - 1), F.floor(pct_rank(label, *by) * grades)).cast("double"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("rel"), "symbol"))
     part = F.when(F.col("_place") <= top, (F.pow(F.lit(2.0), "rel") - 1) / F.log2(F.col("_place") + 1.0)).otherwise(0.0)
-    return rows.withColumn("_place", place).withColumn("ideal", F.sum(part).over(Window.partitionBy("date"))).drop("_place")
+    return rows.withColumn("_place", place).withColumn("ideal", F.sum(part).over(Window.partitionBy(*by))).drop("_place")
 
 
-def rank_gradients(rows: DataFrame, top: int = 30) -> DataFrame:
+def rank_gradients(rows: DataFrame, top: int = 30, by: tuple[str, ...] = ("date",)) -> DataFrame:
     """Adds g and h of the pairwise logistic loss, each pair weighed by its exchange's move of NDCG.
 
-    ``rows`` have date, symbol, score, rel and ideal.  Pairs of different grades count if one of
-    them is among the first ``top`` of its date; equal scores are ordered by symbol.
+    ``rows`` have symbol, score, rel, ideal and the columns of the group, ``by``.  Pairs of different
+    grades count if one of them is among the first ``top`` of its group; equal scores are
+    ordered by symbol.
     """
-    first = Window.partitionBy("date").orderBy(F.desc("score"), "symbol")
+    first = Window.partitionBy(*by).orderBy(F.desc("score"), "symbol")
     ranked = rows.withColumns({"_rank": F.row_number().over(first), "_gain": F.pow(F.lit(2.0), "rel") - 1})
     ranked = ranked.withColumn("_cut", 1.0 / F.log2(F.col("_rank") + 1.0))
-    leads = ranked.where(F.col("_rank") <= top).groupBy("date").agg(F.collect_list(F.struct("_rank", "score", "_gain", "_cut")).alias("_leads"))
+    leads = ranked.where(F.col("_rank") <= top).groupBy(*by).agg(F.collect_list(F.struct("_rank", "score", "_gain", "_cut")).alias("_leads"))
 
     def pair(lead: Column) -> Column:
         """What a row and a leader give the row."""
@@ -116,12 +117,12 @@ def rank_gradients(rows: DataFrame, top: int = 30) -> DataFrame:
         return F.struct(lead["_rank"].alias("rank"), (F.when(better, -weight).otherwise(weight) * chance).alias("g"), (weight * chance * (1.0 - chance)).alias("h"))
 
     zero = F.expr("cast(array() AS array<struct<rank: int, g: double, h: double>>)")
-    paired = ranked.join(leads, "date").withColumn("_pairs", F.when(F.col("ideal") > 0, F.transform("_leads", pair)).otherwise(zero))
+    paired = ranked.join(leads, list(by)).withColumn("_pairs", F.when(F.col("ideal") > 0, F.transform("_leads", pair)).otherwise(zero))
     # Leaders also get the other side of their pairs with rows behind them; a date's few sums return as a map.
-    back = paired.where(F.col("_rank") > top).select("date", F.inline("_pairs")).groupBy("date", "rank").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    back = back.groupBy("date").agg(F.map_from_entries(F.collect_list(F.struct("rank", F.struct("g", "h")))).alias("_back"))
+    back = paired.where(F.col("_rank") > top).select(*by, F.inline("_pairs")).groupBy(*by, "rank").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    back = back.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", F.struct("g", "h")))).alias("_back"))
     own = {x: F.aggregate(F.transform("_pairs", lambda p: p[x]), F.lit(0.0), lambda a, b: a + b) for x in ("g", "h")}  # noqa: B023
-    found = paired.join(back, "date", "left")
+    found = paired.join(back, list(by), "left")
     other = F.try_element_at("_back", F.col("_rank"))
     sums = {"g": own["g"] - F.coalesce(other["g"], F.lit(0.0)), "h": own["h"] + F.coalesce(other["h"], F.lit(0.0))}
     return found.withColumns(sums).drop("_rank", "_gain", "_cut", "_leads", "_pairs", "_back")
@@ -294,35 +295,38 @@ def _bagged(s: Settings, turn: int) -> Column:
     return draw < int(s.row_share * 1_000_000)
 
 
-def judged(rows: DataFrame, s: Settings) -> float:
+def judged(rows: DataFrame, s: Settings, by: tuple[str, ...] = ("date",)) -> float:
     """NDCG (greater is better) or the negative mean absolute error of rows with score and label."""
     if s.objective == "rank":
-        return ndcg(rows.withColumn("pred_ret", F.col("score")), s.judged_at, s.grades).agg(F.avg("ndcg")).first()[0] or 0.0
+        return ndcg(rows.withColumns({"pred_ret": F.col("score"), "date": F.struct(*by)}), s.judged_at, s.grades).agg(F.avg("ndcg")).first()[0] or 0.0
     found = rows.agg(F.avg(F.abs(F.col("score") - F.col("label")))).first()[0]
     return -found if found is not None else 0.0
 
 
-def boost(train: DataFrame, val: DataFrame, features: list[str], s: Settings | None = None, cuts: list[list[float]] | None = None, **more) -> Boosted:
-    """Fits on ``train`` until ``val`` has not become better for ``patience`` rounds; both have date, symbol, label."""
+def boost(train: DataFrame, val: DataFrame, features: list[str], s: Settings | None = None, cuts: list[list[float]] | None = None, by: tuple[str, ...] = ("date",), **more) -> Boosted:
+    """Fits on ``train`` until ``val`` has not become better for ``patience`` rounds.
+
+    Both have date, symbol and label; the rows that are ranked together agree in ``by``.
+    """
     s = replace(s or Settings(), **more)
     spark = train.sparkSession
     cuts = cuts or spread_cuts(train, features)
     base = 0.0
     if s.objective == "squared":
         base = train.agg(F.avg("label")).first()[0] or 0.0
-    sides = [binned(x.where(F.col("label").isNotNull()), features, cuts).select("date", "symbol", F.col("label").cast("double").alias("label"), "bins", F.lit(p).alias("part")) for x, p in ((train, "train"), (val, "val"))]
+    sides = [binned(x.where(F.col("label").isNotNull()), features, cuts).select(*dict.fromkeys(("date", "symbol", *by)), F.col("label").cast("double").alias("label"), "bins", F.lit(p).alias("part")) for x, p in ((train, "train"), (val, "val"))]
     rows = sides[0].unionByName(sides[1]).withColumn("score", F.lit(base))
     if s.objective == "rank":
-        rows = graded(rows, "label", s.grades, s.top)
+        rows = graded(rows, "label", s.grades, s.top, by)
 
     def sloped(x: DataFrame) -> DataFrame:
         x = x.drop("g", "h")
-        return rank_gradients(x, s.top) if s.objective == "rank" else squared_gradients(x)
+        return rank_gradients(x, s.top, by) if s.objective == "rank" else squared_gradients(x)
 
     trees, history, best = [], [], 0
     with Tables(spark, "boosting") as tables:
         table = tables.write(sloped(rows), "round_0")
-        start = judged(table.where("part = 'val'"), s)
+        start = judged(table.where("part = 'val'"), s, by)
         for turn in range(s.rounds):
             draw = random.Random(s.seed * 1_000_003 + turn)
             chosen = sorted(draw.sample(range(len(features)), max(1, round(s.feature_share * len(features)))))
@@ -330,7 +334,7 @@ def boost(train: DataFrame, val: DataFrame, features: list[str], s: Settings | N
             trees.append(tree)
             moved = table.withColumn("score", F.col("score") + s.rate * tree.leaf_value())
             table = tables.write(sloped(moved), f"round_{turn + 1}", f"round_{turn}")
-            history.append(judged(table.where("part = 'val'"), s))
+            history.append(judged(table.where("part = 'val'"), s, by))
             if history[-1] > (history[best - 1] if best else start):
                 best = turn + 1
             # A tree without a split, drawn with all rows and features, would come again for ever.

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import pct_rank
@@ -21,6 +21,23 @@ def with_target(df: DataFrame, label: str = "label") -> DataFrame:
     return df.where(F.col(label).isNotNull()).withColumn("target", pct_rank(label, "date"))
 
 
+def training_matrix(df: DataFrame, features: list[str], keys: tuple[str, ...] = ("market", "date", "symbol")) -> DataFrame:
+    """The labelled rows as keys, x (array of float, one entry a feature) and label (float)."""
+    rows = df.where(F.col("label").isNotNull())
+    return rows.select(*keys, F.array(*(F.col(f).cast("float") for f in features)).alias("x"), F.col("label").cast("float").alias("label"))
+
+
+def matrix_groups(df: DataFrame, features: list[str]) -> DataFrame:
+    """market, date, n, ends (rows up to the group's last one), and sums of label and features.
+
+    A group is what is ranked together.  One row a group is ordered in one task.
+    """
+    rows = df.where(F.col("label").isNotNull())
+    groups = rows.groupBy("market", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("sum_label"), *(F.sum(f).alias(f"sum_{f}") for f in features))
+    ends = F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("market", "date"))
+    return groups.withColumn("ends", ends)
+
+
 def ranker(features: list[str], kind: str = "gbt", seed: int = 7, **params) -> Pipeline:
     model = (GBTRegressor if kind == "gbt" else RandomForestRegressor)(featuresCol="features", labelCol="target", predictionCol="pred_ret", seed=seed, **params)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep"), model])

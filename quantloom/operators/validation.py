@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
 from math import exp, lgamma, log, log1p
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -170,3 +174,85 @@ def stack_ridge(df: DataFrame, x1: str, x2: str, y: str = "label", alpha: float
         (F.covar_pop(x2, y) * n).alias("e"),
     )
     return m.selectExpr("n", "(b * d - c * e) / (a * b - c * c) AS w1", "(a * e - c * d) / (a * b - c * c) AS w2", "m_0", "m_1", "m_2").selectExpr("n", "w1", "w2", "m_2 - w1 * m_0 - w2 * m_1 AS intercept")
+
+
+def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each date of a batch the sums of products of (1, x.., y) over its complete rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        days = batch.column(0).cast(pa.int32()).to_numpy()
+        columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(1, batch.num_columns)]
+        z = np.column_stack([np.ones(batch.num_rows), *columns])
+        z[~np.isfinite(z).all(1)] = 0.0
+        found, place = np.unique(days, return_inverse=True)
+        sums = np.zeros((len(found), z.shape[1] ** 2))
+        for i in range(len(found)):
+            own = z[place == i]
+            sums[i] = (own.T @ own).ravel()
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), sums.shape[1]).cast(pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), lists], names=["day", "sums"])
+
+
+def _added(table: pa.Table) -> pa.Table:
+    total = np.sum([np.array(x) for x in table.column("sums").to_pylist()], axis=0)
+    return pa.table({"day": pa.array([table.column("day")[0].as_py()], pa.int32()), "sums": pa.array([total.tolist()])})
+
+
+def sliding_fits(sums: DataFrame, p: int, train: int, step: int, ridge: float) -> DataFrame:
+    """day, start, slopes, intercept: the fit that holds on each day, from one row of sums a date.
+
+    Dates pass once, in order: each is added to the window's matrix on entry and subtracted
+    on exit, so a window costs ``step`` additions and one solution, however many rows or dates it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[np.ndarray] = deque()
+        window, at, fit = np.zeros((p + 2, p + 2)), 0, None
+        for batch in batches:
+            out = []
+            for day, flat in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at >= train and (at - train) % step == 0:
+                    fit = (at - train, *_solved(window, p, ridge))
+                if fit:
+                    out.append((day, *fit))
+                held.append(np.array(flat).reshape(p + 2, p + 2))
+                window = window + held[-1]
+                if len(held) > train:
+                    window = window - held.popleft()
+                at += 1
+            if out:
+                days, starts, slopes, intercepts = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(days, pa.int32()), pa.array(starts, pa.int64()), pa.array(slopes), pa.array(intercepts)], names=["day", "start", "slopes", "intercept"])
+
+    return sums.coalesce(1).sortWithinPartitions("day").mapInArrow(run, "day int, start long, slopes array<double>, intercept double")
+
+
+def _solved(window: np.ndarray, p: int, ridge: float) -> tuple[list[float], float]:
+    n = window[0, 0]
+    if n < 1:
+        return [0.0] * p, 0.0
+    means = window[0, 1:] / n
+    centred = window[1:, 1:] - n * np.outer(means, means)
+    slopes = np.linalg.lstsq(centred[:p, :p] + ridge * np.eye(p), centred[:p, p], rcond=1e-12)[0]
+    return slopes.tolist(), float(means[p] - slopes @ means[:p])
+
+
+def walk_forward_normal(df: DataFrame, xs: list[str], y: str, train: int = 504, step: int = 5, ridge: float = 0.0) -> DataFrame:
+    """Adds start and pred_ret: linear models of all features, fitted anew for each window.
+
+    Features and label are taken relative to their means over the whole table, so that little
+    is lost where sums are subtracted; rows with a missing value do not count in fits and
+    have no prediction.  The sums of a date are one row whatever its rows.
+    """
+    df = materialised(df)
+    names = [*xs, y]
+    centre = df.agg(*(F.avg(F.when(~F.isnan(c), F.col(c))).alias(f"m{i}") for i, c in enumerate(names))).first()
+    centre = [c or 0.0 for c in centre]
+    rows = df.select("date", *((F.col(c).cast("double") - m).alias(f"z{i}") for i, (c, m) in enumerate(zip(names, centre, strict=True))))
+    sums = rows.mapInArrow(_products, "day int, sums array<double>").groupBy("day").applyInArrow(_added, "day int, sums array<double>")
+    fits = sliding_fits(sums, len(xs), train, step, ridge).withColumn("date", F.date_from_unix_date("day")).drop("day")
+    linear = F.col("intercept") + centre[-1]
+    for i, c in enumerate(xs):
+        linear = linear + F.col("slopes")[i] * (F.col(c) - centre[i])
+    return df.join(F.broadcast(fits), "date").withColumn("pred_ret", linear).drop("slopes", "intercept")  # a row a date

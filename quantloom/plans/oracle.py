@@ -451,7 +451,7 @@ def _written(name: str, sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from quantloom.plans import flow_sql  # which builds on the SQL here
+    from quantloom.plans import fitting_sql, flow_sql  # which build on the SQL here
 
     every = _factors() | _panel() | _feeds() | _text() | _timeline()
-    return {name: _written(name, sql) for name, sql in every.items()} | flow_sql.oracle_sql()
+    return {name: _written(name, sql) for name, sql in every.items()} | flow_sql.oracle_sql() | fitting_sql.oracle_sql()

@@ -631,6 +631,6 @@ def _written(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    from quantloom.plans import flow  # which builds on the queries here
+    from quantloom.plans import fitting, flow  # which build on the queries here
 
-    return {name: _written(query) for name, query in (_found | flow.queries()).items()}
+    return {name: _written(query) for name, query in (_found | flow.queries() | fitting.queries()).items()}
