@@ -1,4 +1,4 @@
-"""Queries of model fitting: ranking gradients, Newton trees, boosting, sliding fits, matrix and search."""
+"""Queries of model fitting: ranking gradients, Newton trees, boosting, sliding fits, the matrix, learned sentiment."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.operators import boosting, models, validation
+from quantloom.operators import boosting, models, sentiment, text, validation
 from quantloom.plans import queries as base
+from quantloom.sources import views
 
 Query = Callable[[SparkSession, str], DataFrame]
 GROUP = ("market", "date")
@@ -75,5 +76,32 @@ def training_matrix(spark, sf_dir):
     return base.rounded(models.matrix_groups(base._labelled(spark, sf_dir), base.FEATURES))
 
 
+#: Words that occur in the invented prose, as negations and words of degree.
+SCOPES = {"negations": ["ion"], "stronger": ["the"], "weaker": ["and"]}
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, the classes of those that are labelled, and all documents' words."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    classes = views.table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("positive"))
+    return docs, classes, sentiment.weighted_words(docs, "doc_id", sentiment.tokens(F.col("text")), **SCOPES)
+
+
+@_query
+def bayes_counts(spark, sf_dir):
+    """Word weights by class over all labelled documents."""
+    _, classes, words = _learned(spark, sf_dir)
+    return sentiment.class_counts(words, classes, "doc_id")
+
+
+@_query
+def bayes_scores(spark, sf_dir):
+    """Every document's learned score, and what the lexicon makes of it as its base."""
+    docs, classes, words = _learned(spark, sf_dir)
+    found = sentiment.bayes_scores(words, sentiment.class_counts(words, classes, "doc_id"), docs, classes, "doc_id")
+    scored = docs.join(found, "doc_id").withColumn("boosted", text.lexicon_boost(F.coalesce("text", F.lit("")), F.col("score"), base.POSITIVE, base.NEGATIVE))
+    return base.rounded(scored.select("doc_id", "log_odds", "score", "boosted"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_found)

@@ -20,6 +20,18 @@ def _strength(g: str, h: str) -> str:
     return f"(greatest(abs({g}) - 0.05, 0) ** 2 / ({h} + 1.0))"
 
 
+_WORDS = r"""tk AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}'']+|[.,;:!?\n]') AS ts FROM documents),
+  ps AS (SELECT doc_id, unnest(ts) AS t, generate_subscripts(ts, 1) AS i FROM tk),
+  fl AS (SELECT *, t IN ('.', ',', ';', ':', '!', '?', chr(10)) AS stop, t = 'ion' OR t LIKE '%n''t' AS turn FROM ps),
+  lg AS (SELECT *, lag(t) OVER o AS t1, lag(stop, 1) OVER o AS s1, lag(stop, 2) OVER o AS s2, lag(turn, 1) OVER o AS n1, lag(turn, 2) OVER o AS n2, lag(turn, 3) OVER o AS n3
+    FROM fl WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+  sc AS (SELECT doc_id, CASE WHEN coalesce(n1, false) OR (NOT coalesce(s1, true) AND (coalesce(n2, false) OR (NOT coalesce(s2, true) AND coalesce(n3, false)))) THEN 'not_' || t ELSE t END AS word,
+    CASE t1 WHEN 'the' THEN 3 WHEN 'and' THEN 1 ELSE 2 END AS weight FROM lg WHERE NOT stop AND NOT turn AND t NOT IN ('the', 'and')),
+  wd AS (SELECT doc_id, word, sum(weight)::BIGINT AS weight FROM sc GROUP BY doc_id, word),
+  cl AS (SELECT doc_id, quality = 1 AS positive FROM labels WHERE quality IS NOT NULL),
+  ct AS (SELECT word, sum(CASE WHEN positive THEN weight ELSE 0 END)::BIGINT AS pos, sum(CASE WHEN positive THEN 0 ELSE weight END)::BIGINT AS neg FROM wd JOIN cl USING (doc_id) GROUP BY word)"""
+
+
 def oracle_sql() -> dict[str, str]:
     lab = stages(FEAT, LABELLED, _ROWS)
     gradients = f"""WITH {lab},
@@ -57,4 +69,9 @@ def oracle_sql() -> dict[str, str]:
       SELECT symbol, date, start, {r(f'my + b1 * ({u} - mu) + b2 * ({v} - mv)')} AS pred_ret FROM ok JOIN wf USING (date) JOIN co USING (start) WHERE NOT past"""
     sums = ", ".join(f"{r(f'sum({f})')} AS sum_{f}" for f in FEATURES)
     matrix = f"""WITH {lab} SELECT market, date, count(*) AS n, sum(count(*)) OVER (ORDER BY market, date)::BIGINT AS ends, {r('sum(label)')} AS sum_label, {sums} FROM ok GROUP BY market, date"""
-    return {"rank_gradients": _day(gradients), "newton_stump": stump, "wfa_normal": _day(normal), "training_matrix": _day(matrix)}
+    scores = f"""WITH {_WORDS}, wh AS (SELECT coalesce(sum(pos), 0) AS p, coalesce(sum(neg), 0) AS n, count(*) AS v FROM ct), pr AS (SELECT ln(count(*) FILTER (positive) + 1.0) - ln(count(*) FILTER (NOT positive) + 1.0) AS prior FROM cl),
+      mv AS (SELECT doc_id, sum(weight * (ln((pos + 1.0) / (p + v)) - ln((neg + 1.0) / (n + v)))) / 2 AS moved FROM wd JOIN ct USING (word), wh GROUP BY doc_id),
+      od AS (SELECT doc_id, text, prior + coalesce(moved, 0) AS o FROM documents LEFT JOIN mv USING (doc_id), pr),
+      sd AS (SELECT doc_id, o, (exp(least(o, 700)) - 1) / (exp(least(o, 700)) + 1) AS s, greatest(-0.5, least(0.5, ({base.hits("coalesce(text, '')", base.POS)} - {base.hits("coalesce(text, '')", base.NEG)}) * 0.08)) AS m FROM od)
+      SELECT doc_id, {r('o')} AS log_odds, {r('s')} AS score, {r('greatest(-1.0, least(1.0, s + m))')} AS boosted FROM sd"""
+    return {"bayes_counts": f"WITH {_WORDS} SELECT * FROM ct", "bayes_scores": scores, "rank_gradients": _day(gradients), "newton_stump": stump, "wfa_normal": _day(normal), "training_matrix": _day(matrix)}
