@@ -6,8 +6,9 @@ and bin, combined before they are shuffled.  What reaches the driver is that his
 size is nodes times features times bins whatever the number of rows; splits are chosen there.
 
 The ranking loss pairs each row of a date (or another group) with the date's first ``top`` rows
-by score, and weighs a pair by what its exchange would move in NDCG.  The leaders of a date
-are one short array, so no pairs are shuffled and a date's rows are never together in memory.
+by score, and weighs a pair by what its exchange would move in NDCG.  Rows meet
+their date's few leaders in a join on the date, by which they are partitioned already, and
+pairs are summed before they are shuffled.
 
 A feature's bins lie between cuts at equal steps of its standard deviation around its mean, or
 at its quantiles.  Null and NaN have a bin of their own, below all others.
@@ -106,26 +107,21 @@ def rank_gradients(rows: DataFrame, top: int = 30, by: tuple[str, ...] = ("date"
     first = Window.partitionBy(*by).orderBy(F.desc("score"), "symbol")
     ranked = rows.withColumns({"_rank": F.row_number().over(first), "_gain": F.pow(F.lit(2.0), "rel") - 1})
     ranked = ranked.withColumn("_cut", 1.0 / F.log2(F.col("_rank") + 1.0))
-    leads = ranked.where(F.col("_rank") <= top).groupBy(*by).agg(F.collect_list(F.struct("_rank", "score", "_gain", "_cut")).alias("_leads"))
-
-    def pair(lead: Column) -> Column:
-        """What a row and a leader give the row."""
-        better = F.col("_gain") > lead["_gain"]
-        weight = F.abs(F.col("_gain") - lead["_gain"]) * F.abs(F.col("_cut") - lead["_cut"]) / F.col("ideal")
-        lag = F.when(better, F.col("score") - lead["score"]).otherwise(lead["score"] - F.col("score"))
-        chance = 1.0 / (1.0 + F.exp(lag))
-        return F.struct(lead["_rank"].alias("rank"), (F.when(better, -weight).otherwise(weight) * chance).alias("g"), (weight * chance * (1.0 - chance)).alias("h"))
-
-    zero = F.expr("cast(array() AS array<struct<rank: int, g: double, h: double>>)")
-    paired = ranked.join(leads, list(by)).withColumn("_pairs", F.when(F.col("ideal") > 0, F.transform("_leads", pair)).otherwise(zero))
-    # Leaders also get the other side of their pairs with rows behind them; a date's few sums return as a map.
-    back = paired.where(F.col("_rank") > top).select(*by, F.inline("_pairs")).groupBy(*by, "rank").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    back = back.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("rank", F.struct("g", "h")))).alias("_back"))
-    own = {x: F.aggregate(F.transform("_pairs", lambda p: p[x]), F.lit(0.0), lambda a, b: a + b) for x in ("g", "h")}  # noqa: B023
-    found = paired.join(back, list(by), "left")
-    other = F.try_element_at("_back", F.col("_rank"))
-    sums = {"g": own["g"] - F.coalesce(other["g"], F.lit(0.0)), "h": own["h"] + F.coalesce(other["h"], F.lit(0.0))}
-    return found.withColumns(sums).drop("_rank", "_gain", "_cut", "_leads", "_pairs", "_back")
+    leads = ranked.where(F.col("_rank") <= top).select(*by, *(F.col(c).alias(f"{c}_of") for c in ("_rank", "score", "_gain", "_cut")))
+    # A group's leaders are few, so this is ``top`` rows a row; they are summed where they arise.
+    pairs = ranked.select(*by, "_rank", "score", "_gain", "_cut", "ideal").join(leads, list(by)).where((F.col("_gain") != F.col("_gain_of")) & (F.col("ideal") > 0))
+    better = F.col("_gain") > F.col("_gain_of")
+    weight = F.abs(F.col("_gain") - F.col("_gain_of")) * F.abs(F.col("_cut") - F.col("_cut_of")) / F.col("ideal")
+    chance = 1.0 / (1.0 + F.exp(F.when(better, F.col("score") - F.col("score_of")).otherwise(F.col("score_of") - F.col("score"))))
+    pairs = pairs.select(*by, "_rank", "_rank_of", weight.alias("w"), chance.alias("c"), better.alias("better"))
+    g, h = F.when(F.col("better"), -F.col("w")).otherwise(F.col("w")) * F.col("c"), F.col("w") * F.col("c") * (1.0 - F.col("c"))
+    own = F.struct(F.col("_rank"), g.alias("g"), h.alias("h"))
+    # A leader is given the other side of its pairs with the rows behind all leaders, too.
+    other = F.struct(F.col("_rank_of").alias("_rank"), (-g).alias("g"), h.alias("h"))
+    given = pairs.select(*by, F.inline(F.when(F.col("_rank") > top, F.array(own, other)).otherwise(F.array(own))))
+    sums = given.groupBy(*by, "_rank").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
+    found = ranked.join(sums, [*by, "_rank"], "left")
+    return found.withColumns({x: F.coalesce(x, F.lit(0.0)) for x in ("g", "h")}).drop("_rank", "_gain", "_cut")
 
 
 def squared_gradients(rows: DataFrame, target: str = "label") -> DataFrame:

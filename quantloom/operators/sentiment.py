@@ -55,7 +55,8 @@ def scoped(words: Column, negations: list[str] = NEGATIONS, stronger: list[str]
 
 def weighted_words(texts: DataFrame, key: str, words: Column, **scopes) -> DataFrame:
     """key, word, weight: each text's words once, their weights added up."""
-    rows = texts.select(key, F.inline(scoped(words, **scopes)))
+    # The tokens have a column of their own: inside the lambdas they would be found anew for each word.
+    rows = texts.select(key, words.alias("_tokens")).select(key, F.inline(scoped(F.col("_tokens"), **scopes)))
     return rows.groupBy(key, "word").agg(F.sum("weight").cast("long").alias("weight"))
 
 

@@ -219,10 +219,11 @@ def top_tickers(rows: DataFrame, k: int = 10) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def snapshot(articles: DataFrame, as_of: str) -> DataFrame:
+def snapshot(articles: DataFrame, as_of: str, failures: DataFrame | None = None) -> DataFrame:
     """One row a market of analyzed articles: score, articles, their sources, strongest tickers, trading hour.
 
-    Counts by source and tickers are JSON, as the timeline keeps them.
+    Counts by source and tickers are JSON, as the timeline keeps them.  Of ``failures``, market
+    and error, each market without articles has one row, with score 0 and its errors.
     """
     sources = articles.groupBy("market", F.coalesce("source_cn", "source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     by_source = F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n"))))
@@ -230,6 +231,11 @@ def snapshot(articles: DataFrame, as_of: str) -> DataFrame:
     best = F.sort_array(F.collect_list(F.struct("rank", F.struct("ticker", F.round("sentiment_score", 4).alias("score"), F.col("news_count").alias("count")).alias("t"))))
     tops = top_tickers(by_ticker(articles)).groupBy("market").agg(F.to_json(F.transform(best, lambda x: x["t"])).alias("top_tickers"))
     rows = snapshot_scores(articles).join(articles.groupBy("market").agg(F.count(F.lit(1)).alias("article_count")), "market").join(sources, "market", "left").join(tops, "market", "left")
+    rows = rows.withColumn("error", F.lit(None).cast("string"))
+    if failures is not None:
+        failed = failures.groupBy("market").agg(F.array_join(F.sort_array(F.collect_set("error")), "; ").alias("error"))
+        failed = failed.join(rows.select("market"), "market", "left_anti").withColumns({"snapshot_score": F.lit(0.0), "article_count": F.lit(0).cast("long")})
+        rows = rows.unionByName(failed, allowMissingColumns=True)
     now = F.lit(as_of).cast("timestamp")
     return rows.select(
         now.alias("timestamp"),
@@ -239,7 +245,7 @@ def snapshot(articles: DataFrame, as_of: str) -> DataFrame:
         F.coalesce("source_counts", F.lit("{}")).alias("source_counts"),
         F.coalesce("top_tickers", F.lit("[]")).alias("top_tickers"),
         trading_hour(now).alias("is_trading_hour"),
-        F.lit(None).cast("string").alias("error"),
+        "error",
     )
 
 

@@ -196,6 +196,29 @@ def news_fan_out(spark, sf_dir):
     return base.rounded(feeds.fan_out(spark, providers, 200).select("url", F.abs("sentiment").alias("strength"), "error"))
 
 
+@_query
+def news_fan_out_at_run_time(spark, sf_dir):
+    """A provider whose rows cannot be read, because one of them is no number, and two others."""
+    broken = views.responses(spark, sf_dir, "scored").withColumn("body", F.raise_error(F.concat(F.lit("bad answer to "), F.col("body"))).cast("string"))
+    providers = {
+        "alpha_vantage": lambda: feeds.scored_articles(views.responses(spark, sf_dir, "scored")),
+        "newsapi": lambda: feeds.scored_articles(broken),
+        "marketaux": lambda: feeds.entity_articles(views.responses(spark, sf_dir, "entity")),
+    }
+    found = feeds.fan_out(spark, providers, 200)
+    return base.rounded(found.select("url", F.abs("sentiment").alias("strength"), F.when(F.col("error").isNotNull(), F.col("source")).alias("failed")))
+
+
+@_query
+def snapshot_failures(spark, sf_dir):
+    """Markets with their articles, and a row for the one whose fetch failed."""
+    every = base._analyzed(spark, sf_dir)
+    lost = every.where("market = 'KR'").groupBy("market").agg(F.concat(F.lit("TimeoutError: lost "), F.count(F.lit(1)).cast("string")).alias("error"))
+    also = every.where("market = 'US'").select("market", F.lit("one provider failed").alias("error"))
+    rows = text.snapshot(every.where("market != 'KR'"), views.AS_OF, lost.unionByName(also))
+    return rows.select("market", "article_count", "error")
+
+
 @_query
 def universe_select(spark, sf_dir):
     known, none = views.universe(spark, sf_dir), views.universe(spark, sf_dir).where("false")
@@ -301,5 +324,12 @@ def stream_gaps(spark, sf_dir):
     return base.rounded(_ended(streams.gap_alarms(rows, 0.75), folder))
 
 
+@_query
+def stream_settled_gaps(spark, sf_dir):
+    """Gaps between snapshots that have been put in order up to the watermark."""
+    rows, folder = _stream(spark, sf_dir, "stream-settled")
+    return base.rounded(_ended(streams.gap_alarms(rows, 0.75, "24 hours", settled=True), folder).where("gap_end IS NOT NULL"))
+
+
 def queries() -> dict[str, Query]:
     return _found

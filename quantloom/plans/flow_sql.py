@@ -87,6 +87,12 @@ def oracle_sql() -> dict[str, str]:
           g AS (SELECT market, timestamp, sum(fresh) OVER (PARTITION BY market ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS id FROM f), s AS (SELECT market, min(timestamp) AS a, max(timestamp) + INTERVAL 30 MINUTE AS b, count(*) AS n FROM g GROUP BY market, id)
           SELECT strftime(a, '{_STAMP}') AS start, strftime(b, '{_STAMP}') AS "end", market, n FROM s, mark WHERE b <= ended""",
         "stream_urls": "SELECT CASE WHEN event_id % 50 = 0 THEN '' ELSE 'https://ex.org/' || (event_id % 600) END AS url, CASE WHEN url = '' THEN count(*) ELSE 1 END AS n FROM events GROUP BY 1",
+        "news_fan_out_at_run_time": f"""WITH {FEED}, {_ENTITY}, every AS (SELECT url, title, abs(score) AS s FROM item UNION ALL SELECT url, title, abs(s) FROM entity)
+          (SELECT url, {r('s')} AS strength, NULL AS failed FROM every ORDER BY s DESC, url, title LIMIT 200) UNION ALL SELECT NULL, NULL, 'newsapi' FROM (SELECT 1 FROM documents LIMIT 1)""",
+        "snapshot_failures": f"""WITH {ART} SELECT market, count(*) AS article_count, NULL AS error FROM art WHERE market != 'KR' GROUP BY market
+          UNION ALL SELECT 'KR', 0, 'TimeoutError: lost ' || count(*) FROM art WHERE market = 'KR' HAVING count(*) > 0""",
+        "stream_settled_gaps": f"""WITH {SNAP}, mark AS (SELECT max(timestamp) - INTERVAL 24 HOUR AS ended FROM snap), g AS (SELECT market, lag(timestamp) OVER (PARTITION BY market ORDER BY timestamp, seq) AS a, timestamp AS b FROM snap)
+          SELECT market, strftime(a, '{_STAMP}') AS gap_start, strftime(b, '{_STAMP}') AS gap_end, {r('epoch_us(b - a) / 3.6e9')} AS gap_hours FROM g, mark WHERE epoch_us(b - a) / 3.6e9 > 0.75 AND b <= ended""",
         "stream_gaps": f"""WITH {SNAP}, g AS (SELECT market, lag(timestamp) OVER (PARTITION BY market ORDER BY timestamp, seq) AS a, timestamp AS b FROM snap)
           SELECT market, strftime(a, '{_STAMP}') AS gap_start, strftime(b, '{_STAMP}') AS gap_end, {r('epoch_us(b - a) / 3.6e9')} AS gap_hours FROM g WHERE epoch_us(b - a) / 3.6e9 > 0.75""",
     }

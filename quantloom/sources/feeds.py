@@ -7,11 +7,14 @@ number that does not parse is 0, so one bad response costs nothing but itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantloom.functions.session import Tables
 from quantloom.operators.text import compact_to_iso, matches, quick_sentiment_of
 
 # The fields that responses name, the headers of daily bars, and lengths.
@@ -270,16 +273,18 @@ def sources_for(sources: DataFrame, market: str) -> DataFrame:
 def fan_out(spark: SparkSession, providers: Mapping[str, Callable[[], DataFrame]], limit: int) -> DataFrame:
     """The strongest articles of all providers, with an ``error`` column.
 
-    A provider that fails blocks no other: it leaves one row, with its name and its error.
+    A provider that fails blocks no other, whether its plan cannot be made or its rows cannot
+    be read: each provider's strongest rows are written on their own before they are put
+    together.  One that fails leaves one row, with its name and its error.
     """
-    found, failed = None, []
-    for name, fetch in providers.items():
+    tables, found, failed = Tables(spark, "fan-out"), None, []
+    for number, (name, fetch) in enumerate(providers.items()):
         try:
-            rows = fetch().select(*ARTICLE)
+            rows = tables.write(strongest(fetch().select(*ARTICLE), limit), f"provider_{number}")
         except ImportError:
             raise
         except Exception as error:  # whatever else a provider raises is its own
-            failed.append((name, f"{type(error).__name__}: {error}"))
+            failed.append((name, _reason(error)))
             continue
         found = rows if found is None else found.unionByName(rows)
     errors = spark.createDataFrame(failed, "source string, error string")
@@ -288,6 +293,15 @@ def fan_out(spark: SparkSession, providers: Mapping[str, Callable[[], DataFrame]
     return strongest(found, limit).withColumn("error", F.lit(None).cast("string")).unionByName(_failed(errors))
 
 
+def _reason(error: Exception) -> str:
+    """The error in one line; of one that a task raised in Python, the task's own last line."""
+    lines = [x.strip() for x in str(error).splitlines() if x.strip()]
+    own = [x for x in lines if re.match(r"[\w.]+(Error|Exception): ", x)]
+    if isinstance(error, PySparkException) and own:
+        return own[0]
+    return f"{type(error).__name__}: {lines[0] if lines else ''}"
+
+
 def _failed(errors: DataFrame) -> DataFrame:
     return errors.select(*(F.col(name) if name == "source" else F.lit(None).cast(kind).alias(name) for name, kind in ARTICLE.items()), "error")
 

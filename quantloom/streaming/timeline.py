@@ -45,25 +45,65 @@ def unique_urls(articles: DataFrame, late: str = "72 hours") -> DataFrame:
     return rows.withColumn("_key", F.when(F.col("url") == "", F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(F.col("url"))).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
-def gap_alarms(snapshots: DataFrame, hours: float = 1.5, late: str = "72 hours") -> DataFrame:
-    """Gaps between a market's consecutive snapshots, with the last time as state."""
+def _bounds(frames: Iterator[pd.DataFrame], width: int, after: int | None, held: dict[int, list[int]]) -> dict[int, list[int]]:
+    """First and last time of each bucket of ``width``, in which no longer gap can lie; frame by frame."""
+    for frame in frames:
+        times = frame["micros"] if after is None else frame["micros"][frame["micros"] > after]
+        for bucket, low, high in times.groupby(times // width).agg(["min", "max"]).itertuples():
+            known = held.setdefault(bucket, [low, high])
+            held[bucket] = [min(known[0], low), max(known[1], high)]
+    return held
+
+
+def gap_alarms(snapshots: DataFrame, hours: float = 1.5, late: str = "72 hours", settled: bool = False) -> DataFrame:
+    """market, gap_start, gap_end, gap_hours of gaps between a market's consecutive snapshots.
+
+    A gap is told when the snapshot that ends it arrives; a snapshot before one that has been
+    taken never makes one.  With ``settled`` a market's snapshots are put in order up to the
+    watermark first, so a late one that fills a gap prevents the alarm.  A market from which
+    nothing comes for so long gets an alarm with a null gap_end, by a timer of event time: the
+    watermark that fires it moves on with the other markets.  What is kept of a market are two
+    times for each stretch of ``hours`` within the watermark's delay.
+    """
+    width = int(hours * 3_600_000_000)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = pd.concat([f["timestamp"] for f in frames]).sort_values()
-        if state.exists:
-            times = pd.concat([pd.Series([pd.Timestamp(state.get[0], unit="us")]), times])
-        before = times.shift(1)
-        span = (times - before).dt.total_seconds() / 3600
-        state.update((int(times.max().value // 1000),))
-        found = span > hours
-        yield pd.DataFrame({"market": key[0], "gap_start": before[found], "gap_end": times[found], "gap_hours": span[found]})
-
-    return (
-        snapshots.withWatermark("timestamp", late)
-        .select("market", "timestamp")
-        .groupBy("market")
-        .applyInPandasWithState(step, "market string, gap_start timestamp, gap_end timestamp, gap_hours double", "last long", "append", GroupStateTimeout.NoTimeout)
+        last, told, lows, highs = state.get if state.exists else (None, False, [], [])
+        mark = state.getCurrentWatermarkMs() * 1000
+        pending = {low // width: [low, high] for low, high in zip(lows, highs, strict=True)}
+        if not state.hasTimedOut:
+            pending = _bounds(frames, width, last, pending)
+        found = []
+        for bucket in sorted(pending):
+            low, high = pending[bucket]
+            if settled and high > mark:
+                if low > mark:
+                    break
+                high = max(low, last or low)  # what lies between comes when the watermark has passed it
+            if last is not None and low - last > width:
+                found.append((key[0], last, low, (low - last) / 3_600_000_000))
+            last, told = max(high, last or high), False
+            if not settled or pending[bucket][1] <= mark:
+                del pending[bucket]
+            else:
+                pending[bucket][0] = pending[bucket][1]
+                break
+        if last is not None and not told and not pending and state.hasTimedOut and mark - last > width:
+            found.append((key[0], last, None, None))
+            told = True
+        left = sorted(pending.values())
+        state.update((last, told, [x[0] for x in left], [x[1] for x in left]))
+        due = [left[0][0]] if left else [] if told or last is None else [last + width]
+        if due:
+            state.setTimeoutTimestamp(max(due[0] // 1000 + 1, mark // 1000 + 1))
+        yield pd.DataFrame(found, columns=["market", "start", "end", "gap_hours"]).astype({"start": "Int64", "end": "Int64", "gap_hours": "float64"})
+
+    rows = snapshots.withWatermark("timestamp", late).select("market", "timestamp", F.unix_micros("timestamp").alias("micros"))
+    gaps = rows.groupBy("market").applyInPandasWithState(
+        step, "market string, start long, end long, gap_hours double", "last long, told boolean, lows array<long>, highs array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
+    hours_or_null = F.when(F.col("end").isNotNull(), F.col("gap_hours"))
+    return gaps.select("market", F.timestamp_micros("start").alias("gap_start"), F.timestamp_micros("end").alias("gap_end"), hours_or_null.alias("gap_hours"))
 
 
 def merge_into(path: str, retention_hours: int = 72, versions: int = 3):
