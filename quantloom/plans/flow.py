@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.session import shared_folder
 from quantloom.operators import factors, models, preprocess, selection, text, timeline, validation
 from quantloom.plans import queries as base
-from quantloom.sources import feeds, market, tables, views
+from quantloom.sources import commits, feeds, market, tables, views
 from quantloom.streaming import timeline as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,21 @@ def _query(f: Query) -> Query:
 # ------------------------------------------------------------------ sinks, written and read again
 
 
+@_query
+def bar_buckets(spark, sf_dir):
+    """As bar_cache, in buckets: those of symbols that are fresh keep their files."""
+    every = views.bars(spark, sf_dir).select("market", "symbol", "date", "close")
+    table = commits.BucketTable(spark, shared_folder(spark, "buckets"), "symbol", 32)
+    old = F.pmod(F.xxhash64("symbol"), F.lit(32)) < 8
+    table.change(every.where(~old | (F.col("date") < "1994-01-01")), lambda _, new: new)
+    before = table.manifest().folders
+    fetch = lambda stale: every.join(stale, "symbol", "left_semi")
+    rows = commits.refresh_bars(every.select("symbol"), table, fetch, "1998-12-31", 400)
+    kept = [b for b, folder in table.manifest().folders.items() if before.get(b) == folder]
+    is_kept = F.pmod(F.xxhash64("symbol"), F.lit(32)).isin(kept) if kept else F.lit(False)
+    return base.rounded(rows.groupBy("market").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"), F.sum("close").alias("close"), F.bool_or(is_kept).alias("files_kept")))
+
+
 @_query
 def bar_cache(spark, sf_dir):
     """A stale half of the symbols is fetched anew, the others stay as they are."""

@@ -45,6 +45,7 @@ def oracle_sql() -> dict[str, str]:
     audit = " UNION ALL ".join(f"SELECT market, {i}::INT AS step, '{name}' AS rule, {kept(i - 1)} AS before, {kept(i)} AS after FROM w GROUP BY market" for i, name in enumerate(names, 1))
     ics = panel["ic_topn"].split(" ORDER BY abs(ic)")[0]
     return {
+        "bar_buckets": f"WITH {BARS} SELECT market, count(*) AS n, count(DISTINCT symbol) AS symbols, {r('sum(close)')} AS close, true AS files_kept FROM bars GROUP BY market",
         "bar_cache": f"WITH {BARS} SELECT market, symbol, {_day('date')}, {r('close')} AS close FROM bars",
         "sink_predictions": f"SELECT market, rank, symbol, round(pred_ret, 4) + 0 AS pred_ret FROM ({panel['diversified_topk']})",
         "sink_backtest": panel["backtest_topk"],
