@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import Scratch
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+# Minima are written before they are joined, so that Spark can split the edges of a frequent node.
+
+
+def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m"))
+    least = scratch.write(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), F.least("u", "m").alias("m")), name)
     return both.where("v > u").join(least, F.col("u") == F.col("of")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m")
+def _small_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    least = scratch.write(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("of"), "m"), name)
     joined = edges.join(least, F.col("u") == F.col("of"))
     return joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select(F.col("of").alias("u"), F.col("m").alias("v")))
 
@@ -37,14 +40,14 @@ def components(edges: DataFrame, scratch: Scratch, name: str, most: int = 60) ->
     for step in range(1, most):
         if not now.take(1):
             break
-        stars = _large_star(now).where("u != v").distinct()
-        stars = _small_star(stars).where("u != v").distinct()
-        new = scratch.write(stars, f"{name}{step}")
-        scratch.drop(f"{name}{step - 1}")
+        large = scratch.write(_large_star(now, scratch, f"{name}least").where("u != v").distinct(), f"{name}large")
+        new = scratch.write(_small_star(large, scratch, f"{name}less").where("u != v").distinct(), f"{name}{step}")
+        for done in (step - 1, "large", "least", "less"):
+            scratch.drop(f"{name}{done}")
         now = new
         said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if said == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            break
         before = said
     else:
         raise RuntimeError("components did not settle")

@@ -331,8 +331,16 @@ def shared_signatures(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(_shared, "key long, doc long, band short")
 
 
+def id_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """of, bytes of the rows with a doc_id and a text."""
+    return docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("of"), text_bytes(text).alias("bytes"))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose sets meet the threshold, from whole texts."""
+    """The pairs (a, b) whose sets meet the threshold, from whole texts.
+
+    Each row of a doc_id's texts is compared: repeated ones are best taken out before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,7 +354,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str = "text", words: int =
                     good[at] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(good)), part.column(1).filter(pa.array(good))], names=["a", "b"])
 
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col(text).isNotNull()).select(F.col("doc_id").cast("long").alias("of"), text_bytes(text).alias("bytes"))
+    texts = id_texts(docs, text)
     needed = pairs.select(F.col("a").alias("of")).unionAll(pairs.select(F.col("b").alias("of"))).distinct()
     texts = texts.join(needed, "of", "left_semi")
     left = texts.select(F.col("of").alias("a"), F.col("bytes").alias("x"))
@@ -388,12 +396,12 @@ def _open_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return met.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_screen(percent), "a long, b long")
 
 
-def _placed(met: DataFrame, leave: list[int]) -> DataFrame:
+def _placed(met: DataFrame, leave: list[int], scratch: Scratch) -> DataFrame:
     """Of rows with key, band and rep what the classes keep, with each row's earlier keys k1, k2, ...
 
     Each class leaves out its ``leave[band]`` most popular signatures of a band.
     """
-    popular = met.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    popular = scratch.write(met.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "popular")
     met = met.join(popular, "key").repartition("rep")
     by_popularity = Window.partitionBy("rep", "band").orderBy(F.desc("m"), "key")
     allowed = F.element_at(F.array(*map(F.lit, leave)), F.col("band").cast("int") + 1)
@@ -449,26 +457,34 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     members = scratch.write(shared_signatures(signature_rows(docs, text, words, percent)), "members")
     scratch.release()
     sets = scratch.write(set_table(docs, text, words), "sets")
-    # Equal sets are one class, named by its least document; a doc_id with several sets joins their classes.
+    # Equal sets are one class, named by its least document.
     filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # Written first, so that Spark can split the join where a third of all rows are copies.
     same = scratch.write(filled.groupBy("n_shingles", "print", "print2").agg(F.min("doc_id").alias("rep")), "same")
     nodes = filled.join(same, ["n_shingles", "print", "print2"])
     nodes = scratch.write(nodes.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "rep", *_P, "sketch").distinct(), "nodes")
-    links = nodes.where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
+    # Links join classes; copies get their class's component at the end.  A doc_id with several sets joins their classes.
+    several = nodes.groupBy("doc").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).where("b != last").select("doc", "b")
+    several = scratch.write(several, "several")
+    links = nodes.join(several, "doc").where("rep != b").select(F.col("rep").alias("a"), "b").distinct()
     # One row of each class; a doc_id with several sets may have other rows of the same doc.
     classes = nodes.where("doc = rep")
+    # Rows of the same doc_id and set would be compared each with each.
+    texts = docs
+    if filled.count() > nodes.count():
+        once = id_texts(docs, text).distinct().select(F.col("of").alias("doc_id"), F.col("bytes").cast("string").alias(text))
+        texts = scratch.write(once, "texts")
     largest = nodes.agg(F.max("n")).first()[0] or 1
 
     met = scratch.write(members.join(nodes.select("doc", "rep"), "doc").select("key", "band", "rep"), "met")
     scratch.drop("members")
-    centres = met.groupBy("key").agg(F.min("rep").alias("a"))
+    centres = scratch.write(met.groupBy("key").agg(F.min("rep").alias("a")), "centres")
     pairs = met.join(centres, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
     def linked(pairs: DataFrame, links: DataFrame, step: int) -> tuple[DataFrame, bool]:
         """The links so far with what the pairs add, and whether they add any."""
         asked = scratch.write(_open_pairs(pairs, classes, percent), f"asked{step}")
-        found = scratch.write(verified(asked, docs, text, words, percent), f"links{step}")
+        found = scratch.write(verified(asked, texts, text, words, percent), f"links{step}")
         scratch.drop(f"asked{step}")
         return (links.unionAll(found), True) if found.take(1) else (links, False)
 
@@ -477,6 +493,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
 
     links, _ = linked(pairs, links, 0)
     del pairs, centres
+    scratch.drop("centres")
     scratch.release()
     labels = components(links, scratch, "stars0_")
     halves = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
@@ -486,9 +503,10 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     del met
     scratch.drop("met")
     scratch.release()
-    placed = _placed(opened, bands.leave).join(classes.select("rep", "n", *halves, "sketch"), "rep")
+    placed = _placed(opened, bands.leave, scratch).join(classes.select("rep", "n", *halves, "sketch"), "rep")
     placed = scratch.write(labelled(_with_long_sketch(placed, bands.words)), "placed0")
     scratch.drop("opened")
+    scratch.drop("popular")
     scratch.release()
     stars, step = STARS, 1
     while placed.take(1):
@@ -502,5 +520,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
         del pairs, rest
         scratch.release()
         stars, step = stars * MORE_STARS, step + 1
-    found = sets.join(labels, F.col("doc_id") == F.col("node"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # All classes of a doc_id are of one component.
+    own = labelled(nodes.select("doc", "rep")).where("label != doc").groupBy("doc").agg(F.min("label").alias("label"))
+    found = sets.join(scratch.write(own, "own"), F.col("doc_id") == F.col("doc"), "left")
+    return found.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))

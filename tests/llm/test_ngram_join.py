@@ -131,3 +131,39 @@ def test_components_of_a_chain_and_a_star(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t"), "s").collect()}
     assert found == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "s").select(F.count("*")).first()[0] == 0
+
+
+def test_repeated_rows_are_compared_once(make, monkeypatch):
+    """Copies of whole rows, of texts under other ids, and ids with several texts."""
+    base = [f"w{i}" for i in range(60)]
+    near = [[*base[:j], "other", *base[j + 1 :]] for j in (0, 59)]
+    texts = [(1, base), (2, near[0]), (3, near[1]), (4, base), (5, [*base, "more"])]
+    rows = [(i, " ".join(x)) for i, x in texts for _ in range(40)]
+    rows += [(9, "a b c d e f"), (9, " ".join(base)), (12, "a b c d e f"), (12, "g h i j k l"), (20, "g h i j k l"), (8, "g h i j k l")]
+    asked, real = [], ngram_join.verified
+
+    def counted(pairs, docs, *rest):
+        of = ngram_join.id_texts(docs, rest[0])
+        asked.append((pairs.join(of.withColumnRenamed("of", "a"), "a").join(of.withColumnRenamed("of", "b"), "b").count(), pairs.count()))
+        return real(pairs, docs, *rest)
+
+    monkeypatch.setattr(ngram_join, "verified", counted)
+    found = sorted(map(tuple, ngram_join.similar_documents(make(rows)).collect()), key=str)
+    assert found == brute(rows)
+    # Every asked pair is compared once, but for ids with two texts.
+    assert asked[0][1] > 0
+    assert all(compared <= 4 * pairs for compared, pairs in asked)
+
+
+def test_copies_make_no_links(make, monkeypatch):
+    seen, real = [], ngram_join.components
+
+    def counted(links, *rest):
+        seen.append(links.count())
+        return real(links, *rest)
+
+    monkeypatch.setattr(ngram_join, "components", counted)
+    rows = [(i, "the same words in each of these texts") for i in range(50)] + [(50 + i, f"text {i} with words of its own only") for i in range(5)]
+    found = sorted(map(tuple, ngram_join.similar_documents(make(rows)).collect()), key=str)
+    assert found == brute(rows)
+    assert not any(seen)
