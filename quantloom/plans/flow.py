@@ -67,6 +67,29 @@ def sink_backtest(spark, sf_dir):
     return base.rounded(spark.read.option("header", True).schema("top_k int, sharpe double, final_cum double, n_days long, avg_daily_ret double").csv(f"{path}/summary"))
 
 
+@_query
+def sink_curves(spark, sf_dir):
+    """The cumulative curve of each k, read from its folder."""
+    path = shared_folder(spark, "backtest")
+    tables.write_backtest(base.predictions(spark, sf_dir), path)
+    curves = spark.read.option("header", True).schema("date string, ret double, n long, cum double, top_k int").csv(f"{path}/curves")
+    return base.rounded(curves.select("top_k", F.substring("date", 1, 10).alias("date"), "ret", "cum"))
+
+
+@_query
+def table_contents(spark, sf_dir):
+    """What the versions hold that are kept, of one version a market."""
+    path = shared_folder(spark, "contents")
+    for name in ("CN", "US", "KR", "JP"):
+        tables.publish(views.snapshots(spark, sf_dir).where(F.col("market") == name).select("seq", "market"), path)
+    tables.prune(spark, path, keep=3)
+    kept = [spark.read.schema("seq long, market string").parquet(f"{path}/v{v}").withColumn("version", F.lit(v).cast("long")) for v, _ in tables.versions(spark, path)]
+    rows = kept[0]
+    for more in kept[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("version", "market").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
+
+
 @_query
 def sink_curve_snapshot(spark, sf_dir):
     path = shared_folder(spark, "curve")
@@ -158,6 +181,17 @@ def social_mix(spark, sf_dir):
     return feeds.social_mix(feeds.network_articles(views.social_posts(spark, sf_dir).where("url != ''")), 40).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes"))
 
 
+@_query
+def social_communities(spark, sf_dir):
+    """The first posts of each subreddit and channel, some of which are not read."""
+    turn = F.floor(F.col("seq") / 4)
+    read = [*(c for found in feeds.CHANNELS.values() for c in found), *feeds.OTHER_CHANNELS, "elsewhere"]
+    place = F.when(F.col("network") == "reddit", views._pick([*feeds.SUBREDDITS, "elsewhere"], turn % 5)).when(F.col("network") == "telegram", views._pick(read, turn % len(read)))
+    posts = views.social_posts(spark, sf_dir).where("url != ''").withColumn("community", place)
+    found = feeds.community_articles(posts, 20, ["seq"])
+    return found.groupBy("source", "source_cn", "market").agg(F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes"), F.max("url").alias("last_url"))
+
+
 @_query
 def rss_sources(spark, sf_dir):
     every = [feeds.sources_for(views.feed_sources(spark), m).select(F.lit(m).alias("market"), "source") for m in ("CN", "US", "KR", "JP")]

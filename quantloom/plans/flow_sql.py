@@ -65,6 +65,14 @@ def oracle_sql() -> dict[str, str]:
         "feed_social": f"WITH {ART}, {_SOCIAL} SELECT source, source_cn, market, CASE WHEN market = 'CN' THEN 'zh' ELSE 'en' END AS language, url, substr(text, 1, 200) AS title, least(length(text), 2000)::INT AS length, likes FROM posts",
         "social_mix": f"""WITH {ART}, {_SOCIAL}, q AS (SELECT source, likes, url, list_position(['twitter', 'weibo', 'reddit', 'telegram'], source) AS p, row_number() OVER (PARTITION BY source ORDER BY likes DESC, url) AS k FROM posts WHERE url != ''),
           c AS (SELECT * FROM q WHERE k <= CASE WHEN source = 'twitter' THEN 20 ELSE 10 END QUALIFY row_number() OVER (ORDER BY p, k) <= 40) SELECT source, count(*) AS n, sum(likes)::BIGINT AS likes FROM c GROUP BY source""",
+        "sink_curves": panel["cum_returns"].split(" SELECT date, ")[0] + f" SELECT top_k, {_day('date')}, {r('ret')} AS ret, {r('product(1 + ret) OVER (PARTITION BY top_k ORDER BY date ROWS UNBOUNDED PRECEDING)')} AS cum FROM td",
+        "table_contents": f"WITH {SNAP} SELECT CASE market WHEN 'US' THEN 1 WHEN 'KR' THEN 2 ELSE 3 END::BIGINT AS version, market, count(*) AS n, max(seq) AS last_seq FROM snap WHERE market IN ('US', 'KR', 'JP') GROUP BY market",
+        "social_communities": f"""WITH {ART}, p AS (SELECT *, seq // 4 AS turn, (['twitter', 'weibo', 'reddit', 'telegram'])[(seq % 4 + 1)::INT] AS net FROM art WHERE coalesce(url, '') != ''),
+          c AS (SELECT 'reddit' AS source, 'US' AS market, (['wallstreetbets', 'stocks', 'investing', 'stockmarket', NULL])[(turn % 5 + 1)::INT] AS community, 4 AS lists, 'r/' AS before, seq, likes, url, text FROM p WHERE net = 'reddit'
+            UNION ALL SELECT 'telegram', market, (['A股情报', '财经早报', '股票交流', 'stockmarketnews', 'wallstreetbets', 'cryptomarket', 'financialnews', NULL])[(turn % 8 + 1)::INT], CASE WHEN market IN ('CN', 'US') THEN 3 ELSE 1 END, 'Telegram/', seq, likes, url, text FROM p WHERE net = 'telegram'),
+          k AS (SELECT *, row_number() OVER (PARTITION BY source, market, community ORDER BY seq) AS nth FROM c WHERE source = 'reddit' AND community IS NOT NULL
+            OR source = 'telegram' AND list_contains(CASE market WHEN 'CN' THEN ['A股情报', '财经早报', '股票交流'] WHEN 'US' THEN ['stockmarketnews', 'wallstreetbets', 'cryptomarket'] ELSE ['financialnews'] END, community))
+          SELECT source, before || community AS source_cn, market, count(*) AS n, sum(likes)::BIGINT AS likes, max(url) AS last_url FROM k WHERE nth <= greatest(1, 20 // lists) AND text != '' GROUP BY ALL""",
         "rss_sources": "SELECT market, unnest(string_split(found, '')) AS source FROM (VALUES ('CN', 'b'), ('US', 'acd'), ('KR', 'acd'), ('JP', 'abcde')) t(market, found)",
         "news_fan_out": f"""WITH {FEED}, {_ENTITY}, {_TABLE}, every AS (SELECT url, title, abs(score) AS s FROM item UNION ALL SELECT url, title, abs(s) FROM entity UNION ALL SELECT url, title, abs({_quick('title')}) FROM listed)
           (SELECT url, {r('s')} AS strength, NULL::VARCHAR AS error FROM every ORDER BY s DESC, url, title LIMIT 200) UNION ALL SELECT NULL, NULL, 'TimeoutError: no answer'""",

@@ -237,6 +237,23 @@ def pct(x: str, part: str) -> str:
     return f"((rank() OVER (PARTITION BY {part} ORDER BY {x}) + (count(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY {part}))"
 
 
+def _to_date(error: float = 0.002) -> str:
+    """Bounds of each date: counts by bucket, summed over the dates up to it and then over buckets."""
+    step, parts = f"ln({1 + error}::DOUBLE / {1 - error}::DOUBLE)", []
+    first = f"(1 - ceil(ln(1e-12::DOUBLE) / {step}))"
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0 ELSE sign({b}) * exp((abs({b}) - {first}) * {step}) * {1 - error} END"
+    for c in FEATURES:
+        place = f"CASE WHEN abs({c}) < 1e-12 THEN 0 ELSE sign({c}) * (ceil(ln(abs({c})) / {step}) + {first}) END"
+        parts += [
+            f"h_{c} AS (SELECT date, {place} AS b, count(*) AS n FROM feat WHERE {c} IS NOT NULL GROUP BY ALL)",
+            f"g_{c} AS (SELECT d.date, k.b, coalesce(sum(n) OVER (PARTITION BY k.b ORDER BY d.date), 0) AS m FROM (SELECT DISTINCT date FROM h_{c}) d CROSS JOIN (SELECT DISTINCT b FROM h_{c}) k LEFT JOIN h_{c} h ON h.date = d.date AND h.b = k.b)",
+            f"r_{c} AS (SELECT date, b, sum(m) OVER (PARTITION BY date ORDER BY b) AS upto, sum(m) OVER (PARTITION BY date) AS held FROM g_{c})",
+            f"p_{c} AS (SELECT date, " + ", ".join(f"min(b) FILTER (upto > floor({q}::DOUBLE * (held - 1)::DOUBLE)) AS {name}" for name, q in (("lo", 0.01), ("hi", 0.99))) + f" FROM r_{c} GROUP BY date)",
+            f"q_{c} AS (SELECT date, {value('lo')} AS lo_{c}, {value('hi')} AS hi_{c} FROM p_{c})",
+        ]
+    return ",\n".join(parts)
+
+
 def _panel() -> dict[str, str]:
     base, lab, pred = stages(FEAT), stages(FEAT, LABELLED), stages(FEAT, LABELLED, PRED)
     last = stages(FEAT, LABELLED, PRED, LATEST)
@@ -261,6 +278,9 @@ def _panel() -> dict[str, str]:
     bounds = "q AS (SELECT " + ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}" for c in FEATURES) + " FROM feat)"
     clipped = {c: f"greatest(lo_{c}, least(hi_{c}, {c}))" for c in FEATURES}
     out["winsorize"] = select(clipped, "feat, q", "symbol, date", "", f"{base}, {bounds}")
+    to_date, ends = _to_date(), {c: f"greatest(lo_{c}, least(hi_{c}, {c}))" for c in FEATURES}
+    known = "feat" + "".join(f" LEFT JOIN q_{c} USING (date)" for c in FEATURES)
+    out["winsorize_to_date"] = select({c: f"CASE WHEN {c} IS NOT NULL THEN {x} END" for c, x in ends.items()}, known, "symbol, date", "", f"{base}, {to_date}")
     out["cs_rank"] = select({c: pct(c, "date") for c in FEATURES}, "feat", "market, symbol, date", "", base)
     clip = "c AS (SELECT market, symbol, date, " + ", ".join(f"{x} AS {c}" for c, x in clipped.items()) + " FROM feat, q)"
     out["preprocess"] = select({c: pct(c, "date") for c in FEATURES}, "c", "market, symbol, date", "", f"{base}, {bounds}, {clip}")
@@ -436,6 +456,7 @@ _DATES = {name: ("date",) for name in (
     "latest_cross_section topk_daily cum_returns wfa_linear ndcg_at_k sentiment_daily sentiment_merge"
 ).split()} | {
     "cache_freshness_split": ("last_date",),
+    "winsorize_to_date": ("date",),
     "cv_folds": ("train_last", "val_first", "val_last"),
     "wfa_windows": ("train_first", "train_last", "test_first", "test_last"),
     "yesterday_buys": ("entry_date",),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import clamp
-from quantloom.operators import factors, models, preprocess, selection, text, timeline, validation
+from quantloom.operators import causal, factors, models, preprocess, selection, text, timeline, validation
 from quantloom.sources import feeds, views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -204,6 +204,12 @@ def winsorize(spark, sf_dir):
     return rounded(preprocess.winsorize(_features(spark, sf_dir).select("symbol", "date", *FEATURES), FEATURES))
 
 
+@_query
+def winsorize_to_date(spark, sf_dir):
+    """Bounds without the future."""
+    return rounded(causal.winsorize_to_date(_features(spark, sf_dir).select("symbol", "date", *FEATURES), FEATURES))
+
+
 @_query
 def cs_rank(spark, sf_dir):
     return rounded(preprocess.cross_sectional_rank(_features(spark, sf_dir).select("market", "symbol", "date", *FEATURES), FEATURES))

@@ -215,7 +215,7 @@ def _shown(html: Column) -> Column:
     return out
 
 
-def social_articles(posts: DataFrame, source: str, shown: str, market: str | None = None) -> DataFrame:
+def social_articles(posts: DataFrame, source: str, shown: str | Column, market: str | None = None) -> DataFrame:
     """Articles of posts (content, url, published, market, collected_at and, where known, engagement).
 
     Posts without content go.  ``market`` is that of all posts of a source that has one market.
@@ -262,6 +262,35 @@ def social_mix(articles: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy("_place", "_nth").limit(limit).drop("_place", "_nth")
 
 
+#: The communities of Reddit, and of Telegram by market, that are read.
+SUBREDDITS = ["wallstreetbets", "stocks", "investing", "stockmarket"]
+CHANNELS = {"CN": ["A股情报", "财经早报", "股票交流"], "US": ["stockmarketnews", "wallstreetbets", "cryptomarket"]}
+OTHER_CHANNELS = ["financialnews"]
+
+
+def community_articles(posts: DataFrame, limit: int, order: Sequence[str | Column] = ()) -> DataFrame:
+    """Articles of the posts (network, market, community, and those of ``social_articles``) of communities that are read.
+
+    A limit is shared alike among a network's communities, those of Telegram in each market;
+    the first posts in ``order`` count (without one the latest as published, ties by URL), and those without content take their place but go.
+    """
+    lists = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in CHANNELS.items() for x in pair))
+    of_market = F.coalesce(F.try_element_at(lists, "market"), F.array(*map(F.lit, OTHER_CHANNELS)))
+    found = None
+    for network, listed, keys, before, market in (
+        ("reddit", F.array(*map(F.lit, SUBREDDITS)), ["community"], "r/", "US"),
+        ("telegram", of_market, ["market", "community"], "Telegram/", None),
+    ):
+        own = posts.where((F.col("network") == network) & F.array_contains(listed, F.col("community")))
+        first = Window.partitionBy(*keys).orderBy(*(order or (F.desc("published"), "url", "content")))
+        quota = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.size(listed)))
+        # The fixed bound lets Spark keep so many rows a task before it shuffles them.
+        own = own.withColumn("_nth", F.row_number().over(first)).where((F.col("_nth") <= max(1, limit)) & (F.col("_nth") <= quota))
+        rows = social_articles(own, network, F.concat(F.lit(before), F.col("community")), market)
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 def sources_for(sources: DataFrame, market: str) -> DataFrame:
     """The enabled feeds (source, language, enabled) that a market reads, by language."""
     rows = sources.where("enabled")

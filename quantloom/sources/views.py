@@ -185,7 +185,7 @@ def social_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of four networks with their engagement."""
     rows = articles(spark, sf_dir)
     network = _pick(("twitter", "weibo", "reddit", "telegram"), F.col("seq") % 4)
-    return rows.select(network.alias("network"), F.col("text").alias("content"), "url", "published", "market", "collected_at", "followers", "retweets", "likes", "comments")
+    return rows.select("seq", network.alias("network"), F.col("text").alias("content"), "url", "published", "market", "collected_at", "followers", "retweets", "likes", "comments")
 
 
 def feed_sources(spark: SparkSession) -> DataFrame:
