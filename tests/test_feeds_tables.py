@@ -133,3 +133,15 @@ def test_article_cache_and_journal(spark, sf_dir, tmp_path):
     for part in (0, 1):
         tables.append_journal(entries.where(F.col("seq") % 2 == part), str(tmp_path / "j"))
     assert tables.read_journal(spark, str(tmp_path / "j")).count() == entries.count()
+
+
+def test_communities_share_a_limit_and_empty_posts_take_a_place(spark):
+    schema = "network string, market string, community string, content string, url string, published string, collected_at string, likes long"
+    posts = [("reddit", m, "stocks", "" if i == 3 else f"post {i}", f"u{i}", f"2024-01-0{i}", "now", None) for i, m in enumerate(("CN", "US", "US", "KR"))]
+    posts += [("reddit", "US", "pics", "no", "p", "2024-01-09", "now", 1), ("telegram", None, "financialnews", "a", "t0", "2024-01-01", "now", 1), ("telegram", "US", "financialnews", "b", "t1", "2024-01-01", "now", 1)]
+    df = spark.createDataFrame(posts, schema)
+    found = {(r.url, r.source_cn, r.market) for r in feeds.community_articles(df, 8).collect()}
+    assert found == {("u2", "r/stocks", "US"), ("t0", "Telegram/financialnews", None)}  # two of a subreddit, one of them empty
+    oldest = {r.url for r in feeds.community_articles(df, 8, ["published"]).collect()}
+    assert oldest == {"u0", "u1", "t0"}
+    assert feeds.community_articles(df.where("false"), 8).collect() == []
