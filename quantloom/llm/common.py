@@ -8,9 +8,7 @@ a word's hash does not depend on where it stands.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -73,6 +71,19 @@ def discarding() -> Iterator[None]:
             scratch._clean()
 
 
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete an execution's shuffle files at its end; else they stay until the driver
+    collects garbage.  A write plans anew, so no later execution reads those files."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 class Scratch:
     """Tables that an operator writes to the shared folder to cut its lineage.
 
@@ -97,22 +108,15 @@ class Scratch:
             pass
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        """The table once it is written; what the write itself has shuffled is deleted then."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        with _short_lived_shuffles(self.spark):
+            df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         drop_path(self.spark, f"{self.root}/{name}")
 
-    def release(self) -> None:
-        """Has the shuffle files of finished steps deleted now: Spark deletes them when the
-        driver's garbage is collected, which without memory pressure is long after.  Those of
-        a DataFrame that still has a name stay."""
-        for _ in range(2):  # the first pass frees what holds the last step's references
-            gc.collect()
-            time.sleep(0.3)
-            self.spark.sparkContext._jvm.System.gc()
-
 
 def text_bytes(column: str = "text"):
     """A string column as UTF-8 bytes, null as empty."""

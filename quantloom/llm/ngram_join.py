@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import Scratch, Texts, mix, packed, signed, steps, text_bytes, unpacked, windows
-from quantloom.llm.components import components
+from quantloom.llm.components import components, contracted, extended
 
 WORDS, PERCENT = 4, 85
 #: Upper end of a band over its lower end.
@@ -423,14 +423,17 @@ def _with_long_sketch(rows: DataFrame, words: list[int]) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in kept) + ", w array<long>")
 
 
-def _round(placed: DataFrame, stars: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _round(placed: DataFrame, stars: int, percent: int, scratch: Scratch, step: int) -> tuple[DataFrame, DataFrame]:
     """The pairs of one round of stars that may be similar, and what is left of ``placed``.
 
     A signature's ``stars`` least members meet all its members of other components; rows
     that share an earlier signature have their meeting there.
     """
-    first = placed.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("place") <= stars).drop("place")
-    x = first.select(*(F.col(c).alias(f"x_{c}") for c in first.columns))
+    by_key = Window.partitionBy("key")
+    first = placed.withColumn("place", F.row_number().over(by_key.orderBy("rep"))).where(F.col("place") <= stars).drop("place")
+    # Written before it is joined, so that Spark can split the rows of a frequent signature.
+    first = scratch.write(first.withColumn("last", F.max("rep").over(by_key)), f"centres{step}")
+    x = first.select(*(F.col(c).alias(f"x_{c}") for c in placed.columns))
     y = placed.select(*(F.col(c).alias(f"y_{c}") for c in placed.columns))
     wide = "aggregate(zip_with(x_w, y_w, (a, b) -> bit_count(a ^ b)), 0, (s, v) -> s + v)"
     earlier = ", ".join(f"{{0}}_k{i}" for i in range(1, REMEMBERED + 1))
@@ -441,21 +444,20 @@ def _round(placed: DataFrame, stars: int, percent: int) -> tuple[DataFrame, Data
         f" AND (x_w IS NULL OR y_w IS NULL OR {wide} <= {_bound('x_n', 'y_n', percent)})"
     )
     pairs = x.join(y, F.expr(near)).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b")).distinct()
-    done = first.groupBy("key").agg(F.max("rep").alias("last"))
+    done = first.where("rep = last").select("key", "last").distinct()
     return pairs, placed.join(done, "key").where("rep > last").drop("last")
 
 
-def _undecided(placed: DataFrame) -> DataFrame:
+def _undecided(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """The rows of signatures whose members are of several components."""
     split = placed.groupBy("key").agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first != last")
-    return placed.join(split.select("key"), "key", "left_semi")
+    return placed.join(scratch.write(split.select("key"), name), "key", "left_semi")
 
 
 def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     scratch = Scratch(docs.sparkSession, "ngram_join")
     members = scratch.write(shared_signatures(signature_rows(docs, text, words, percent)), "members")
-    scratch.release()
     sets = scratch.write(set_table(docs, text, words), "sets")
     # Equal sets are one class, named by its least document.
     filled = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -481,44 +483,40 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     centres = scratch.write(met.groupBy("key").agg(F.min("rep").alias("a")), "centres")
     pairs = met.join(centres, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
-    def linked(pairs: DataFrame, links: DataFrame, step: int) -> tuple[DataFrame, bool]:
-        """The links so far with what the pairs add, and whether they add any."""
+    def linked(pairs: DataFrame, step: int) -> DataFrame:
+        """Of the pairs those that are similar."""
         asked = scratch.write(_open_pairs(pairs, classes, percent), f"asked{step}")
         found = scratch.write(verified(asked, texts, text, words, percent), f"links{step}")
         scratch.drop(f"asked{step}")
-        return (links.unionAll(found), True) if found.take(1) else (links, False)
+        return found
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
 
-    links, _ = linked(pairs, links, 0)
-    del pairs, centres
+    links = links.unionAll(linked(pairs, 0))
     scratch.drop("centres")
-    scratch.release()
     labels = components(links, scratch, "stars0_")
     halves = [F.expr(f"p{i} ^ p{i + SKETCH // 2}").alias(q) for i, q in enumerate(_Q)]
     bands = Bands(int(largest), percent)
     # A table of its own, so that no task holds the buffers of both halves at once.
-    opened = scratch.write(_undecided(labelled(met)).drop("label").distinct(), "opened")
-    del met
+    opened = scratch.write(_undecided(labelled(met), scratch, "split0").drop("label").distinct(), "opened")
     scratch.drop("met")
-    scratch.release()
     placed = _placed(opened, bands.leave, scratch).join(classes.select("rep", "n", *halves, "sketch"), "rep")
     placed = scratch.write(labelled(_with_long_sketch(placed, bands.words)), "placed0")
-    scratch.drop("opened")
-    scratch.drop("popular")
-    scratch.release()
+    for done in ("opened", "popular", "split0"):
+        scratch.drop(done)
     stars, step = STARS, 1
     while placed.take(1):
-        pairs, rest = _round(placed, stars, percent)
-        links, more = linked(pairs, links, step)
-        if more:
-            labels = components(links, scratch, f"stars{step}_")
+        pairs, rest = _round(placed, stars, percent, scratch, step)
+        links = linked(pairs, step)
+        if links.take(1):
+            # Only between the components so far, of which the new labels are then made.
+            more = components(contracted(links, labels), scratch, f"stars{step}_")
+            labels = scratch.write(extended(labels, more), f"labels{step}")
             rest = labelled(rest.drop("label"))
-        placed = scratch.write(_undecided(rest), f"placed{step}")
-        scratch.drop(f"placed{step - 1}")
-        del pairs, rest
-        scratch.release()
+        placed = scratch.write(_undecided(rest, scratch, f"split{step}"), f"placed{step}")
+        for done in (f"placed{step - 1}", f"centres{step}", f"split{step}", f"links{step}"):
+            scratch.drop(done)
         stars, step = stars * MORE_STARS, step + 1
     # All classes of a doc_id are of one component.
     own = labelled(nodes.select("doc", "rep")).where("label != doc").groupBy("doc").agg(F.min("label").alias("label"))

@@ -182,13 +182,10 @@ def cross_entropy_difference(docs: DataFrame, targets: DataFrame, text: str = "t
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "word_lm")
-    # No name is given to what is shuffled, so that release() finds it unused.
     chunks = scratch.write(_marked(docs, targets, text).mapInArrow(_chunked(chunk), _CHUNK), "chunks")
-    scratch.release()
     size = chunks.agg(F.sum("size")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / BUCKET_BYTES))
     totals = scratch.write(_totals(chunks, buckets), "totals")
-    scratch.release()
     sums = [x or 0 for x in totals.agg(F.sum("words"), F.sum("n_target"), F.sum("n_background")).first()]
     back = totals.select("chunk", "bucket", "target", "background")
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lambda a, b: _losses(a, b, *sums, prior), _SCORES)
