@@ -1,12 +1,14 @@
+import glob
 import random
 import re
+import time
 
 import numpy as np
 import pyspark.sql.functions as F
 import pytest
 
 from quantloom.llm import ngram_join
-from quantloom.llm.components import components
+from quantloom.llm.components import components, contracted, extended
 from quantloom.llm.common import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -133,6 +135,39 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "s").select(F.count("*")).first()[0] == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_later_links_extend_earlier_ones(spark, seed):
+    dice = random.Random(seed)
+    links = [(dice.randrange(90), dice.randrange(90)) for _ in range(70)]
+    scratch = Scratch(spark, "t")
+
+    def table(rows):
+        return spark.createDataFrame(rows, "a long, b long")
+
+    labels = components(table(links[:40]), scratch, "first")
+    later = components(contracted(table(links[40:]), labels), scratch, "later")
+    found = extended(labels, later).collect()
+    assert len(found) == len({r.node for r in found})
+    assert set(map(tuple, found)) == set(map(tuple, components(table(links), scratch, "all").collect()))
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def files():
+        return set(glob.glob(spark.conf.get("spark.local.dir") + "/**/shuffle_*.data", recursive=True))
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_before = files(), spark.conf.get(key, None)
+    numbers = spark.range(1000).selectExpr("id % 10 AS k").groupBy("k").agg(F.count("*").alias("n"))
+    table = Scratch(spark, "t").write(numbers, "numbers")
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert {r.n for r in table.collect()} == {100}
+    assert spark.conf.get(key, None) == set_before
+
+
 def test_repeated_rows_are_compared_once(make, monkeypatch):
     """Copies of whole rows, of texts under other ids, and ids with several texts."""
     base = [f"w{i}" for i in range(60)]
