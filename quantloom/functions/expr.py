@@ -96,16 +96,6 @@ def with_emas(df: DataFrame, means: dict[str, tuple[str, int]], key: str = "symb
     return df
 
 
-def rolling_corr(x: str | Column, y: str | Column, w: int, least: int | None = None) -> Column:
-    """Pearson correlation over the last w rows where both are known; null without variance."""
-    x, y = col(x), col(y)
-    both = x.isNotNull() & y.isNotNull()
-    x, y, f = F.when(both, x), F.when(both, y), frame(w)
-    spread = F.stddev_pop(x).over(f) * F.stddev_pop(y).over(f)
-    enough = F.count(x).over(f) >= (w // 2 if least is None else least)
-    return F.when(enough & (spread > EPS), F.covar_pop(x, y).over(f) / spread)
-
-
 def sorted_frame(x: str | Column, w: int) -> Column:
     """The values of the last w rows that are not null, ascending."""
     return F.sort_array(F.collect_list(col(x)).over(frame(w)))

@@ -28,6 +28,27 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of input files, as they are stored, that a task of a dealt table stands for.
+BYTES_A_TASK = 4 << 20
+
+
+def tasks_of(df: DataFrame) -> int | None:
+    """Tasks that the files df reads call for; None where spark.sql.shuffle.partitions has as many."""
+    files = df.inputFiles()
+    if not files:
+        return None
+    spark = df.sparkSession
+    size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
+    n = -(-size // BYTES_A_TASK)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:
+    """df with the rows of equal keys in one task; the tasks grow in number with the files it reads, not in size."""
+    tasks = tasks or tasks_of(df)
+    return df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
+
+
 def running_total(df: DataFrame, order: list[str], weight: str | None = None, name: str = "before") -> DataFrame:
     """Adds to each row the weights (or number) of the rows before it in the whole order.
 
