@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.functions.session import materialised
+from quantloom.functions.session import Tables
 from quantloom.operators import boosting, models, sentiment, text, validation
 from quantloom.plans import queries as base
 from quantloom.sources import views
@@ -55,7 +55,7 @@ def newton_stump(spark, sf_dir):
 @_query
 def rank_boost(spark, sf_dir):
     """Listwise boosting with early stopping, judged by NDCG on the last fifth of the dates."""
-    rows = materialised(_rows(spark, sf_dir))  # read for the cut, the bins and both sides
+    rows = Tables(spark, "rank_boost").write(_rows(spark, sf_dir), "rows")  # read for the cut, the bins and both sides
     cut = rows.agg(F.percentile_approx(F.unix_date("date"), 0.8).alias("c")).first()["c"]
     if cut is None:
         return spark.createDataFrame([], "date date, ndcg double")
