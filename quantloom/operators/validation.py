@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import EPS, pct_rank
-from quantloom.functions.session import materialised, running_total
+from quantloom.functions.session import materialised, running_total, tasks_of
 
 
 def query_groups(df: DataFrame) -> DataFrame:
@@ -83,27 +84,42 @@ def walk_forward_linear(df: DataFrame, x: str, y: str, train: int = 504, step: i
     return tested.withColumn("pred_ret", F.col("slope") * a + F.col("intercept"))
 
 
-def average_ranks(long: DataFrame) -> DataFrame:
-    """name, value, rank: average ranks of the distinct values of each name, over the whole table."""
-    counts = long.where("value IS NOT NULL").groupBy("name", "value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counts, ["name", "value"], "_n", "_before")
+def average_ranks(counts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Adds rank, over the whole table, to the distinct values (name, value, _n) of each name; ties at their mean."""
+    ranked = running_total(counts, ["name", "value"], "_n", "_before", tasks)
     first = ranked.groupBy("name").agg(F.min("_before").alias("_first"))
-    return ranked.join(F.broadcast(first), "name").select("name", "value", (F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2.0).alias("rank"))
-
-
-def correlation(x: Column, y: Column) -> Column:
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.when(spread > EPS, F.covar_pop(x, y) / spread).otherwise(0.0)
+    rank = F.col("_before") - F.col("_first") + (F.col("_n") + 1) / 2.0
+    return ranked.join(F.broadcast(first), "name").withColumn("rank", rank).drop("_before", "_first")
 
 
 def rank_ic(df: DataFrame, features: list[str], label: str = "label") -> DataFrame:
-    """name, ic, n: Spearman correlation of each feature with the label."""
-    rows = df.where(F.col(label).isNotNull())
-    pairs = materialised(rows.unpivot([label], features, "name", "value").where("value IS NOT NULL"))  # read four times
-    labels = average_ranks(pairs.select("name", F.col(label).alias("value"))).select("name", F.col("value").alias(label), F.col("rank").alias("_ry"))
-    values = average_ranks(pairs.select("name", "value")).withColumnRenamed("rank", "_rx")
-    ranked = pairs.join(values, ["name", "value"]).join(labels, ["name", label])
-    return ranked.groupBy("name").agg(correlation(F.col("_rx"), F.col("_ry")).alias("ic"), F.count(F.lit(1)).alias("n"))
+    """name, ic, n: Spearman correlation of each feature with the label.
+
+    The label's ranks are joined to the rows once, for features without nulls; those with nulls have
+    ranks of their own rows.  Then a feature's distinct values with sums of their rows' label ranks
+    are ranked, so no rows are joined to the features' ranks.  Ranks are taken about their known mean.
+    """
+    tasks = tasks_of(df)
+    rows = materialised(df.where(F.col(label).isNotNull()).select(F.col(label).alias("_y"), *features))  # read for counts, ranks and rows
+    held = rows.agg(F.count(F.lit(1)), *(F.count(f) for f in features)).first()  # a number a feature
+    of = dict(zip(features, held[1:], strict=True))
+    whole, holed = [f for f in features if of[f] == held[0]], [f for f in features if of[f] < held[0]]
+    tied = lambda long: average_ranks(long.groupBy("name", "value").agg(F.count(F.lit(1)).alias("_n")), tasks).select("name", F.col("value").alias("_y"), F.col("rank").alias("_ry"))
+    pairs = []
+    if whole:
+        ranks = tied(rows.select(F.lit("").alias("name"), F.col("_y").alias("value"))).drop("name")
+        pairs.append(rows.select("_y", *whole).join(ranks, "_y").unpivot(["_ry"], whole, "name", "value"))
+    if holed:
+        long = rows.unpivot(["_y"], holed, "name", "value").where("value IS NOT NULL")
+        pairs.append(long.join(tied(long.select("name", F.col("_y").alias("value"))), ["name", "_y"]).select("_ry", "name", "value"))
+    middle = F.coalesce(*(F.when(F.col("name") == f, F.lit((n + 1) / 2.0)) for f, n in of.items()))
+    apart = F.col("_ry") - middle
+    per = reduce(DataFrame.unionByName, pairs).groupBy("name", "value").agg(F.count(F.lit(1)).alias("_n"), F.sum(apart).alias("_sy"), F.sum(apart * apart).alias("_syy"))
+    x = F.col("rank") - middle
+    n = F.sum("_n")
+    xx, xy, yy = F.sum(F.col("_n") * x * x) / n, F.sum(x * F.col("_sy")) / n, F.sum("_syy") / n
+    spread = F.sqrt(xx) * F.sqrt(yy)
+    return average_ranks(per, tasks).groupBy("name").agg(F.when(spread > EPS, xy / spread).otherwise(0.0).alias("ic"), n.alias("n"))
 
 
 def p_value(t: float | None, freedom: float) -> float | None:
