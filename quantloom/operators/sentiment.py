@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.functions.session import Tables, dealt
+
 #: Words that turn what follows, strengthen and weaken it; forms in n't turn it too.
 NEGATIONS = ["not", "no", "never", "none", "nor", "neither", "cannot", "without", "nothing"]
 STRONGER = ["very", "extremely", "highly", "really", "sharply", "strongly", "significantly", "hugely"]
@@ -54,9 +56,9 @@ def scoped(words: Column, negations: list[str] = NEGATIONS, stronger: list[str]
 
 
 def weighted_words(texts: DataFrame, key: str, words: Column, **scopes) -> DataFrame:
-    """key, word, weight: each text's words once, their weights added up."""
+    """key, word, weight: each text's words once, their weights added up.  Texts are dealt by key, so their words are not."""
     # The tokens have a column of their own: inside the lambdas they would be found anew for each word.
-    rows = texts.select(key, words.alias("_tokens")).select(key, F.inline(scoped(F.col("_tokens"), **scopes)))
+    rows = dealt(texts, key).select(key, words.alias("_tokens")).select(key, F.inline(scoped(F.col("_tokens"), **scopes)))
     return rows.groupBy(key, "word").agg(F.sum("weight").cast("long").alias("weight"))
 
 
@@ -70,8 +72,10 @@ def class_counts(words: DataFrame, classes: DataFrame, key: str) -> DataFrame:
 def bayes_scores(words: DataFrame, counts: DataFrame, texts: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """key, log_odds, score (-1 to 1) of every text: the class's prior and its words' odds, smoothed by one.
 
-    Words that no text of a class has, and texts without words, leave the prior.
+    Words that no text of a class has, and texts without words, leave the prior.  The model is
+    written, so that Spark knows its size: where it can be sent to all tasks no word is shuffled.
     """
+    counts = Tables(counts.sparkSession, "bayes").write(counts, "counts")
     whole = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("all_neg"), F.count(F.lit(1)).alias("size"))
     sides = classes.where("positive IS NOT NULL").agg(*(F.count(F.when(F.col("positive") == side, 1)).alias(name) for name, side in (("n_pos", True), ("n_neg", False))))
     odds = F.log((F.col("pos") + 1.0) / (F.col("all_pos") + F.col("size"))) - F.log((F.col("neg") + 1.0) / (F.col("all_neg") + F.col("size")))
