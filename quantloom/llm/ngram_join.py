@@ -7,10 +7,10 @@ subpart of some part, so leaving one subpart out at a time (the enumeration of s
 gives them a signature in common.  A set that may meet sets of the band below has
 signatures there too.
 
-Some parts are spare: similar sets agree in more parts than one, so a set may leave out
-its most popular signatures, as many as its band's spare parts allow, and still meets
-every similar set under another one.  Equal sets are one class that its least document
-stands for.
+Some parts are spare: similar sets have more signatures in common than one, t at least.
+All sets rank signatures by popularity alike, so the least popular common one is not among
+the t - 1 most popular of either set.  A set leaves those out and still meets every similar
+set.  Equal sets are one class that its least document stands for.
 
 No group of equal signatures is turned into all its pairs.  Each task links its own rows
 of a signature to their least and sends one of them on, so a signature that a third of
@@ -135,27 +135,40 @@ def bits_apart(a: bytes, b: bytes) -> int:
 class Bands:
     """The bands up to a size: lower and upper ends, reach (the largest partner) and k.
 
-    Of a band's parts, similar sets differ in two or more subparts of k // 2 at most.  Of
-    the others one must remain; ``spare`` ones may be without elements in a signature and
-    each of two sets may leave out ``leave`` more.  ``words`` is the length of a sketch with a
-    bit an element or so, which sets apart what 256 bits cannot; 0 where those do.
+    Of a band's parts, similar sets differ in two or more subparts of k // 2 at most.  One
+    more must remain, ``spare`` ones may be without elements in a signature, others are there
+    for popular signatures.  Of the p parts that are not spare, a equal ones, b with one differing
+    subpart and c with more give 3 a + b common signatures; as b + 2 c is at most the number of
+    elements that the sets differ in, d, these are 2 p - d at least.  ``common`` is 2 p.  ``words``
+    is the length of a sketch with a bit an element or so, which sets apart what 256 bits cannot; 0
+    where those do.
     """
 
     def __init__(self, largest: int, percent: int = PERCENT, ratio: float = BAND_RATIO):
-        low, self.low, self.reach, self.parts, self.spare, self.leave, self.words = 1, [], [], [], [], [], []
+        self.percent = percent
+        low, self.low, self.high, self.reach, self.parts, self.spare, self.common, self.words = 1, [], [], [], [], [], [], []
         while low <= largest:
             high = max(low, ceil(low * ratio) - 1)
             reach = high * 100 // percent
             k = (100 - percent) * (high + reach) // (100 + percent)
             self.low.append(low)
+            self.high.append(high)
             self.reach.append(reach)
-            spare, leave = k // 40, 0 if k < 16 else 1 + k // 16
+            spare, more = k // 40, 0 if k < 16 else 2 + k // 16 * 2
+            p = 0 if k == 0 else k // 2 + 1 + more
             self.spare.append(spare)
-            self.leave.append(leave)
+            self.common.append(2 * p)
             self.words.append(0 if reach < 512 else 1 << int(0.75 * low / 64).bit_length())
-            self.parts.append(0 if k == 0 else k // 2 + 1 + spare + 2 * leave)
+            self.parts.append(0 if k == 0 else p + spare)
             low = high + 1
 
+    def leave(self) -> str:
+        """How many popular signatures of ``band`` a set of ``n`` elements may leave out: one less than it has in common with any
+        similar set that is to be met there, of ``high`` elements at most if this one has more."""
+        high, reach, common = (f"array({', '.join(map(str, x))})[band]" for x in (self.high, self.reach, self.common))
+        partner = f"if(n > {high}, {high}, least({reach}, n * 100 div {self.percent}))"
+        return f"greatest(0, {common} - 1 - {_bound('n', partner, self.percent)})"
+
 
 def signatures(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, key and band of every signature of the sets."""
@@ -396,15 +409,15 @@ def _open_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
     return met.select("a", "b", "na", "nb", "sketch_a", "sketch_b").mapInArrow(_screen(percent), "a long, b long")
 
 
-def _placed(met: DataFrame, leave: list[int], scratch: Scratch) -> DataFrame:
-    """Of rows with key, band and rep what the classes keep, with each row's earlier keys k1, k2, ...
+def _placed(met: DataFrame, bands: Bands, scratch: Scratch) -> DataFrame:
+    """Of rows with key, band, rep and its size n what the classes keep, with each row's earlier keys k1, k2, ...
 
-    Each class leaves out its ``leave[band]`` most popular signatures of a band.
+    Each class leaves out as many of its most popular signatures of a band as ``bands`` allow.
     """
     popular = scratch.write(met.groupBy("key").agg(F.count(F.lit(1)).alias("m")), "popular")
     met = met.join(popular, "key").repartition("rep")
     by_popularity = Window.partitionBy("rep", "band").orderBy(F.desc("m"), "key")
-    allowed = F.element_at(F.array(*map(F.lit, leave)), F.col("band").cast("int") + 1)
+    allowed = F.expr(bands.leave())
     met = met.withColumn("place", F.row_number().over(by_popularity)).where((F.col("m") <= UNPOPULAR) | (F.col("place") > allowed))
     by_key = Window.partitionBy("rep").orderBy("key")
     return met.drop("m", "place").withColumns({f"k{i}": F.lag("key", i).over(by_key) for i in range(1, REMEMBERED + 1)})
@@ -478,7 +491,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
         texts = scratch.write(once, "texts")
     largest = nodes.agg(F.max("n")).first()[0] or 1
 
-    met = scratch.write(members.join(nodes.select("doc", "rep"), "doc").select("key", "band", "rep"), "met")
+    met = scratch.write(members.join(nodes.select("doc", "rep", "n"), "doc").select("key", "band", "rep", "n"), "met")
     scratch.drop("members")
     centres = scratch.write(met.groupBy("key").agg(F.min("rep").alias("a")), "centres")
     pairs = met.join(centres, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
@@ -501,7 +514,7 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
     # A table of its own, so that no task holds the buffers of both halves at once.
     opened = scratch.write(_undecided(labelled(met), scratch, "split0").drop("label").distinct(), "opened")
     scratch.drop("met")
-    placed = _placed(opened, bands.leave, scratch).join(classes.select("rep", "n", *halves, "sketch"), "rep")
+    placed = _placed(opened, bands, scratch).join(classes.select("rep", *halves, "sketch"), "rep")
     placed = scratch.write(labelled(_with_long_sketch(placed, bands.words)), "placed0")
     for done in ("opened", "popular", "split0"):
         scratch.drop(done)
@@ -514,8 +527,12 @@ def similar_documents(docs: DataFrame, text: str = "text", words: int = WORDS, p
             more = components(contracted(links, labels), scratch, f"stars{step}_")
             labels = scratch.write(extended(labels, more), f"labels{step}")
             rest = labelled(rest.drop("label"))
+        # Written, as it is read twice.
+        rest = scratch.write(rest, f"rest{step}")
+        for done in (f"placed{step - 1}", f"centres{step}"):
+            scratch.drop(done)
         placed = scratch.write(_undecided(rest, scratch, f"split{step}"), f"placed{step}")
-        for done in (f"placed{step - 1}", f"centres{step}", f"split{step}", f"links{step}"):
+        for done in (f"rest{step}", f"split{step}", f"links{step}"):
             scratch.drop(done)
         stars, step = stars * MORE_STARS, step + 1
     # All classes of a doc_id are of one component.

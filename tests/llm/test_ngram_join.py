@@ -202,3 +202,51 @@ def test_copies_make_no_links(make, monkeypatch):
     found = sorted(map(tuple, ngram_join.similar_documents(make(rows)).collect()), key=str)
     assert found == brute(rows)
     assert not any(seen)
+
+
+def test_similar_sets_have_more_signatures_in_common_than_either_leaves_out(spark):
+    """Sets as unlike as the threshold allows, whose other elements fall into as many parts as they can."""
+    rng = np.random.default_rng(11)
+    bands = ngram_join.Bands(3000)
+    met = []
+    for size in [7, 8, 12, 25, 40, 77, 113, 114, 147, 170, 300, 700, 1500]:
+        for only in range(6):  # how much of the difference is the first set's own
+            out = size * 15 // 100 * only // 5
+            differ = out + 100 * (size - out) // 85 - size
+            n = max(1, bands.parts[np.searchsorted(bands.low, size, "right") - 1])
+            pool = rng.integers(0, 1 << 63, 40 * (differ + 1), dtype=np.uint64)
+            _, first = np.unique((pool >> np.uint64(32)) * np.uint64(n) >> np.uint64(32), return_index=True)
+            odd = np.concatenate([pool[first], np.delete(pool, first)])[:differ]
+            same = rng.integers(0, 1 << 63, size - out, dtype=np.uint64)
+            a, b = np.unique(np.concatenate([same, odd[:out]])), np.unique(np.concatenate([same, odd[out:]]))
+            assert 100 * len(same) >= 85 * len(np.union1d(a, b)) > 100 * len(same) - 185
+            at, keys, of = ngram_join.signatures(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), np.array([len(a), len(b)]), bands)
+            band = int(of[at == (len(b) < len(a))].max())
+            both = set(keys[(at == 0) & (of == band)]) & set(keys[(at == 1) & (of == band)])
+            met += [(band, len(x), len(both)) for x in (a, b)]
+    rows = spark.createDataFrame(met, "band short, n long, common long").withColumn("leave", F.expr(bands.leave()))
+    assert rows.where("leave > 4").count() > 80
+    assert rows.where("common <= leave").collect() == []
+
+
+def test_what_is_left_of_crowded_signatures_is_written_and_little(make, monkeypatch):
+    placed, left, real_placed, real_undecided = [], [], ngram_join._placed, ngram_join._undecided
+
+    def counted(met, *rest):
+        out = real_placed(met, *rest)
+        placed.append((met.count(), out.count()))
+        return out
+
+    def seen(rows, scratch, name):
+        if name != "split0":
+            left.append(rows._jdf.queryExecution().executedPlan().toString())
+        return real_undecided(rows, scratch, name)
+
+    monkeypatch.setattr(ngram_join, "_placed", counted)
+    monkeypatch.setattr(ngram_join, "_undecided", seen)
+    rows = crowd(4, groups=2, members=40)
+    found = sorted(map(tuple, ngram_join.similar_documents(make(rows)).collect()), key=str)
+    assert found == brute(rows)
+    (met, kept), *_ = placed
+    assert kept < 0.6 * met
+    assert left and not any("Join" in plan for plan in left)
