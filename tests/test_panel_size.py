@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from quantloom.functions import session
 from quantloom.operators import boosting, preprocess, sentiment, validation
+from quantloom.sources import views
 
 
 def plan(df):
@@ -59,3 +61,12 @@ def test_words_are_not_shuffled(spark):
     df = spark.createDataFrame([(1, "good very good"), (2, "bad")], "doc_id int, text string")
     words = sentiment.weighted_words(df, "doc_id", sentiment.tokens(df["text"]))
     assert plan(words).count("Exchange") == 1
+
+
+def test_lines_are_dealt_before_they_are_summed(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(session, "BYTES_A_TASK", 1 << 10)
+    tasks = session.tasks_of(views.table(spark, sf_dir, "lineitem"))
+    above, _, below = plan(views.bars(spark, sf_dir)).partition("REPARTITION_BY_NUM")
+    assert f", {tasks})" in above.rsplit("Exchange hashpartitioning(l_suppkey", 1)[1] and tasks > 4
+    assert "Aggregate" in above and "Aggregate" not in below
+    assert above.count("Exchange hashpartitioning(l_suppkey") == 1
