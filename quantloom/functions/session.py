@@ -37,14 +37,18 @@ BYTES_A_TASK = 4 << 20
 
 
 def tasks_of(df: DataFrame) -> int | None:
-    """Tasks that the files df reads call for; None where spark.sql.shuffle.partitions has as many."""
+    """Tasks that the files df reads call for; None where a plain exchange keeps as many.
+
+    Spark joins an exchange's small partitions until about one a core is left, whatever
+    spark.sql.shuffle.partitions says; an exchange into a given number is left alone.
+    """
     files = df.inputFiles()
     if not files:
         return None
     spark = df.sparkSession
     size = spark.read.format("binaryFile").load(files).agg(F.sum("length")).first()[0] or 0
     n = -(-size // BYTES_A_TASK)
-    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+    return n if n > min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism) else None
 
 
 def dealt(df: DataFrame, *keys: str, tasks: int | None = None) -> DataFrame:

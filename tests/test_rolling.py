@@ -57,3 +57,15 @@ def test_tasks_grow_with_the_input(spark, sf_dir, monkeypatch):
     assert many > 10
     assert factors.family(bars, "rsi").rdd.getNumPartitions() == many
     assert factors.family(bars, "cord").rdd.getNumPartitions() == many
+
+
+@pytest.mark.parametrize("name", ["macd", "rsi"])
+def test_tasks_grow_below_the_shuffle_partitions(spark, sf_dir, monkeypatch, name):
+    bars = queries.views.bars(spark, sf_dir)
+    monkeypatch.setattr(session, "BYTES_A_TASK", 10_000)
+    many = session.tasks_of(bars)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(2 * many))  # as the default is: AQE would leave one a core
+    found = factors.family(bars, name).rdd.getNumPartitions()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found == many > 4
