@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.expr import clamp
+from quantloom.functions.session import dealt
 from quantloom.operators import causal, factors, models, preprocess, selection, text, timeline, validation
 from quantloom.sources import feeds, views
 
@@ -31,8 +32,13 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*(F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars dealt by symbol, for windows over a symbol's rows: tasks grow in number with the input."""
+    return dealt(views.bars(spark, sf_dir), "symbol")
+
+
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = views.bars(spark, sf_dir)
+    bars = _series(spark, sf_dir)
     out = factors.volume(factors.momentum(factors.roc(factors.ma(bars, (5,)), (5,)), (10,)))
     return out.withColumns({c: F.round(c, 12) for c in FEATURES})
 
@@ -53,7 +59,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def src_bars(spark, sf_dir):
-    return rounded(factors.pct_change(views.bars(spark, sf_dir)))
+    return rounded(factors.pct_change(_series(spark, sf_dir)))
 
 
 @_query
@@ -158,12 +164,12 @@ for _name in factors.FAMILIES:
 
 @_query
 def label_t1(spark, sf_dir):
-    return rounded(factors.label(views.bars(spark, sf_dir)).select("symbol", "date", "label"))
+    return rounded(factors.label(_series(spark, sf_dir)).select("symbol", "date", "label"))
 
 
 @_query
 def label_neutral(spark, sf_dir):
-    return rounded(preprocess.neutral_label(factors.label(views.bars(spark, sf_dir))).select("symbol", "date", "label"))
+    return rounded(preprocess.neutral_label(factors.label(_series(spark, sf_dir))).select("symbol", "date", "label"))
 
 
 # ------------------------------------------------------------------ joins and preprocessing
@@ -217,13 +223,13 @@ def cs_rank(spark, sf_dir):
 
 @_query
 def ts_zscore(spark, sf_dir):
-    return rounded(preprocess.time_series_zscore(views.bars(spark, sf_dir).select("symbol", "date", "close", "volume"), ["close", "volume"]))
+    return rounded(preprocess.time_series_zscore(_series(spark, sf_dir).select("symbol", "date", "close", "volume"), ["close", "volume"]))
 
 
 @_query
 def ffill(spark, sf_dir):
     holes = F.when(F.day("date") % 3 != 0, F.col("close"))
-    return rounded(preprocess.fill_missing(views.bars(spark, sf_dir).select("symbol", "date", holes.alias("x")), ["x"]))
+    return rounded(preprocess.fill_missing(_series(spark, sf_dir).select("symbol", "date", holes.alias("x")), ["x"]))
 
 
 @_query
@@ -238,7 +244,7 @@ _found["preprocess"] = _found.pop("preprocess_panel")
 
 
 def _ruled(spark, sf_dir) -> DataFrame:
-    bars = factors.pct_change(factors.volume(views.bars(spark, sf_dir)))
+    bars = factors.pct_change(factors.volume(_series(spark, sf_dir)))
     name = F.when(F.col("symbol").endswith("7"), F.concat(F.lit("ST "), F.col("name"))).otherwise(F.col("name"))
     return bars.withColumn("name", name)
 

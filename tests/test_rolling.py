@@ -1,6 +1,7 @@
 """Rolling moments over Arrow batches against pandas, and tasks that grow in number with the input."""
 
 import datetime
+import re
 
 import numpy as np
 import pandas as pd
@@ -69,3 +70,11 @@ def test_tasks_grow_below_the_shuffle_partitions(spark, sf_dir, monkeypatch, nam
     found = factors.family(bars, name).rdd.getNumPartitions()
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert found == many > 4
+
+
+@pytest.mark.parametrize("name", ["src_bars", "label_t1", "ts_zscore", "ffill", "filter_liquidity", "s_rolling"])
+def test_windows_over_bars_deal_them(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(session, "BYTES_A_TASK", 10_000)
+    many = session.tasks_of(queries.views.bars(spark, sf_dir))
+    plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"hashpartitioning\(symbol#\d+, {many}\), REPARTITION_BY_NUM", plan)
