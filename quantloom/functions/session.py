@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
@@ -24,11 +25,22 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/quantloom/{name}-{uuid.uuid4().hex}"
 
 
+def checkpointing(spark: SparkSession) -> None:
+    """Has checkpoints go to the folder that spark.checkpoint.dir names."""
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(spark, "checkpoints"))
+
+
+def deleted(context: SparkContext, path: str) -> None:
+    """Deletes a file or folder in a store of Spark's."""
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint, in the folder that spark.checkpoint.dir names."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(df.sparkSession, "checkpoints"))
+    checkpointing(df.sparkSession)
     return df.checkpoint()
 
 
@@ -112,9 +124,7 @@ class Tables:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        deleted(self.spark.sparkContext, path)
 
     def clean(self) -> None:
         try:
