@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.operators import boosting, validation
 from quantloom.operators.boosting import Settings
-from quantloom.plans import fitting
+from quantloom.plans import fitting, queries
 from test_boosting import panel
 
 
@@ -70,3 +70,17 @@ def test_rank_boost_has_all_of_the_settings_rounds(spark, sf_dir, monkeypatch):
     fitted = kept(monkeypatch)
     assert fitting.queries()["rank_boost"](spark, sf_dir).count() > 0
     assert [x.settings for x in fitted] == [Settings()] and whole(fitted[0])
+
+
+def test_gbt_rank_has_all_of_the_settings_rounds(spark, sf_dir, monkeypatch):
+    fitted = kept(monkeypatch)
+    assert queries.queries()["gbt_rank"](spark, sf_dir).count() > 0
+    assert [x.settings for x in fitted] == [Settings(objective="squared", judge="ndcg")] and whole(fitted[0])
+
+
+def test_a_target_other_than_the_label_judged_by_ndcg(spark):
+    rows = panel(spark, 16, 25).withColumn("target", -F.col("x")).withColumn("label", F.col("z"))
+    fitted = boosting.boost(rows.where("date < 12"), rows.where("date >= 12"), ["x", "y", "z"], Settings(objective="squared", judge="ndcg", rounds=6, depth=3, rate=0.3, least_rows=5, feature_share=1), label="target")
+    predicted = fitted.predict(rows.where("date >= 12"))
+    mine = validation.ndcg(predicted.withColumn("label", F.col("target")), 10).agg(F.avg("ndcg")).first()[0]
+    assert fitted.importance()[0][0] == "x" and mine == pytest.approx(max(fitted.history)) and mine > 0.8
